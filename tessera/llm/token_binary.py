@@ -177,20 +177,25 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Read the segments back: a row a document with `start`, `n_tokens` and `ids_crc32` of its ids."""
+    """Read the segments back: a row a document with `start`, `n_tokens` and `ids_crc32` of its ids.
+
+    Segments are decoded where they are read; only the documents' few numbers meet the index.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, image in zip(batch.column("first_token").to_pylist(), batch.column("image"), strict=True):
+            for part, at, image in zip(batch.column("part").to_pylist(), batch.column("at").to_pylist(), batch.column("image"), strict=True):
                 seg = DacReader(image.as_buffer().to_pybytes())
                 off = seg.doc_offsets
                 crcs = bpe.crc32_of_slices(seg.tokens(0, seg.n_tokens), off[:-1], off[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(seg.doc_ids), pa.array(first + off[:-1]), pa.array(np.diff(off)), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                n = len(seg.doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, at, np.int32)), pa.array(seg.doc_ids), pa.array(off[:-1]), pa.array(np.diff(off)), pa.array(crcs)], ["part", "at", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
+    images = spark.read.schema(SEGMENT).parquet(path).select("part", "at", "image")
+    docs = images.mapInArrow(decode, "part int, at int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     index = read_index(spark, path).select("part", "at", "first_token")
-    images = spark.read.schema(SEGMENT).parquet(path).select("part", "at", "image").join(index, ["part", "at"])
-    out = images.select("first_token", "image").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") >= 0, F.col("doc_id")))
+    named = F.when(F.col("doc_id") >= 0, F.col("doc_id")).alias("doc_id")
+    return docs.join(index, ["part", "at"]).select(named, (F.col("first_token") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
