@@ -74,12 +74,12 @@ def quantise(df: DataFrame, dims: dict[str, Column], bits: int, accuracy: int =
     """
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = df.agg(*(F.percentile_approx(c, shares, accuracy).alias(name) for name, c in dims.items())).first()
-    out = {}
-    for name, c in dims.items():
-        edges = sorted(set(cuts[name] or []))
+
+    def code(value: Column, edges: list[float]) -> Column:
         listed = F.array(*(F.lit(float(e)) for e in edges)) if edges else F.array().cast("array<double>")
-        out[name] = F.size(F.filter(listed, lambda e, c=c: e < c))
-    return out
+        return F.size(F.filter(listed, lambda e: e < value))
+
+    return {name: code(c, sorted(set(cuts[name] or []))) for name, c in dims.items()}
 
 
 def shard(docs: DataFrame, shards: int = 16, bits: int = 4, rows_per_part: int = 20_000) -> DataFrame:
