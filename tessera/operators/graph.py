@@ -154,7 +154,7 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def lineage(spark: SparkSession, view: str, start: str, most: int = 200) -> DataFrame:
+def lineage(spark: SparkSession, view: str, start: int | str, most: int = 90) -> DataFrame:
     """(session_id, parent_session_id, depth) from a session up its parents; a loop or a missing parent ends it."""
     return spark.sql(
         f"""with recursive up(session_id, parent_session_id, depth, seen) as (

@@ -77,7 +77,7 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return c.select(
         F.col("c_custkey").alias("session_id"),
         F.when(F.col("c_custkey") >= 2, F.floor(F.col("c_custkey") / 2).cast("long")).alias("parent_session_id"),
-        F.concat(F.lit("a"), F.pmod("c_nationkey", F.lit(3))).alias("agent_id"),
+        F.concat(F.lit("a"), F.pmod(F.floor(F.col("c_custkey") / 4).cast("long"), F.lit(3))).alias("agent_id"),
         F.col("c_mktsegment").alias("operator_id"),
         F.concat(F.lit("w"), F.col("c_nationkey")).alias("workspace_key"),
         F.when(F.pmod("c_custkey", F.lit(3)) == 0, "side").otherwise("default").alias("lane"),
@@ -88,7 +88,7 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_SESSIONS = """sessions as (
-  select c_custkey as session_id, case when c_custkey >= 2 then c_custkey // 2 end as parent_session_id, 'a' || (c_nationkey % 3) as agent_id, c_mktsegment as operator_id,
+  select c_custkey as session_id, case when c_custkey >= 2 then c_custkey // 2 end as parent_session_id, 'a' || (c_custkey // 4 % 3) as agent_id, c_mktsegment as operator_id,
     'w' || c_nationkey as workspace_key, case when c_custkey % 3 = 0 then 'side' else 'default' end as lane,
     ['parked', 'open', 'open', 'closed'][c_custkey % 4 + 1] as status,
     timestamp '2024-01-20 00:00:00' + to_minutes(c_custkey * 37 % 14000) as updated_at,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import search
+from tessera.plans import conversations, graphs, lifecycle, search
 
-_MODULES = (search,)
+_MODULES = (search, conversations, lifecycle, graphs)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

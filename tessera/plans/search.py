@@ -62,7 +62,7 @@ def channel_search(spark, d):
 
 
 def _tfidf_sql(source: str, content: str) -> str:
-    tf = ", ".join(f"len(list_filter(w, x -> x = '{t}')) as tf{i}" for i, t in enumerate(TOKENS))
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as tf{i}" for i, t in enumerate(TOKENS))
     df = ", ".join(f"case when count(*) filter (tf{i} > 0) > 0 then log10(count(*)::double / count(*) filter (tf{i} > 0)) else 0.0 end as idf{i}" for i in range(len(TOKENS)))
     score = " + ".join(f"tf{i} * idf{i} * idf{i}" for i in range(len(TOKENS)))
     return f"""tf as (select id, {tf} from (select id, string_split_regex(lower({content}), '[^a-z0-9_./:@-]+') as w from {source})),
