@@ -113,6 +113,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def _links(a: list[np.ndarray], b: list[np.ndarray], threshold: float, width: int = 4096) -> np.ndarray:
     """Which sets of a and b have a Jaccard similarity of at least the threshold: counts of common
     members are sums of products of 0/1 incidence matrices, `width` members at a time."""
+    if not a or not b:
+        return np.zeros((len(a), len(b)), bool)
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     flat = np.concatenate([*a, *b])
     _, ids, df = np.unique(flat, return_inverse=True, return_counts=True)
