@@ -35,7 +35,7 @@ def _runs(texts: pa.Array) -> Spans:
 class RunEncoder:
     """Encodes batches of texts; the cache is dropped whole when it holds `cache_runs` runs."""
 
-    def __init__(self, path: str, cache_runs: int = 1_000_000, longest_cached: int = 64):
+    def __init__(self, path: str, cache_runs: int = 400_000, longest_cached: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
