@@ -41,6 +41,11 @@ def content_of(title, body, item):
     return F.struct(F.when(long, F.concat(title, F.lit("\n\n"), body)).otherwise(F.concat(title, F.lit("\n\n"), item)).alias("content"), F.when(long, "markdown").otherwise("json").alias("content_source"))
 
 
+def _bare(path):
+    """A local path in one spelling: `file:/a` and `file:///a` are `/a`."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
 def chunks(items: DataFrame, bodies: DataFrame, root: str = "") -> DataFrame:
     """(id, node_id, node_type, topic, content, content_source, content_sha256): a chunk a live item; of a repeated id the last."""
     j = lambda p: F.get_json_object("item", f"$.{p}")
@@ -49,8 +54,8 @@ def chunks(items: DataFrame, bodies: DataFrame, root: str = "") -> DataFrame:
     path = T.normalise_path(F.coalesce(*(F.nullif(j(p), F.lit("")) for p in PATH_FIELDS)))
     live = ~(F.coalesce(j("archived") == "true", F.lit(False)) | F.coalesce(F.lower(j("status")).isin(*ARCHIVED), F.lit(False)))
     rows = items.withColumn("node_id", j("id")).filter(F.coalesce(F.col("node_id") != "", F.lit(False)) & live & ~((F.col("prefix") == "kg:doc:") & F.endswith("node_id", F.lit("-root"))))
-    named = bodies.select(F.col("path").alias("_path"), "body")
-    joined = rows.withColumn("_path", F.concat(F.lit(root), path)).join(named, "_path", "left")
+    named = bodies.select(_bare(F.col("path")).alias("_path"), "body")
+    joined = rows.withColumn("_path", _bare(F.concat(F.lit(root), path))).join(named, "_path", "left")
     title = F.coalesce(F.nullif(j("name"), F.lit("")), F.nullif(j("label"), F.lit("")), F.nullif(j("data.label"), F.lit("")), F.col("node_id"))
     built = joined.select(F.concat("prefix", "node_id").alias("id"), "spec_no", "pos", "node_id", F.coalesce(F.nullif(j("type"), F.lit("")), F.col("default_type")).alias("node_type"), title.alias("topic"), content_of(title, F.col("body"), F.col("item")).alias("c"))
     built = built.select("id", "spec_no", "pos", "node_id", "node_type", "topic", "c.*").filter(F.length("content") >= 30)
