@@ -9,12 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """Number all rows from 1 in a total order without bringing them to one task: rows are dealt by ranges of the
+    order, numbered in their range, and shifted by the sizes of the ranges before (one row a range)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    return inside.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_k")).drop("_range", "_before", "_k")
+
+
 def numbered(df: DataFrame, score: Column, key: str = "id", depth: int | None = None) -> DataFrame:
-    """(key, score, rank): ranks from 1 by score descending, then key. With a depth, a bounded top-k that no sort of all rows precedes."""
+    """(key, score, rank): ranks from 1 by score descending, then key. With a depth, a bounded top-k, which one task can number."""
     rows = df.select(key, score.alias("score")).filter("score is not null")
-    if depth is not None:
-        rows = rows.orderBy(F.desc("score"), key).limit(depth)
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
+    order = (F.desc("score"), F.asc(key))
+    if depth is None:
+        return global_rank(rows, *order)
+    return rows.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def rrf(lists: list[DataFrame], key: str = "id", k: int = 60) -> DataFrame:
@@ -34,15 +46,9 @@ def fused_rank(fused: DataFrame, key: str = "id") -> DataFrame:
     return fused.withColumn("fused_rank", F.row_number().over(W.orderBy(*order)))
 
 
-def collapse(ranked: DataFrame, group: str, granularity: Column, key: str = "id", limit: int = 8) -> DataFrame:
-    """One pointer a group: its best window if it has one, else its best row; the score and place of its best row."""
-    return (
-        ranked.groupBy(group)
-        .agg(
-            F.min_by(key, F.struct((granularity != "window").cast("int"), "fused_rank")).alias(key),
-            F.max("rrf").alias("score"),
-            F.min("fused_rank").alias("place"),
-        )
-        .orderBy("place")
-        .limit(limit)
-    )
+def collapse(fused: DataFrame, group: str, granularity: Column, key: str = "id", limit: int = 8) -> DataFrame:
+    """(group, key, score, place): one pointer a group, its best window if it has one, else its best row, with the score of
+    its best row, in the order of the groups' best rows. Grouped minima and a top-k; nothing is ranked as a whole."""
+    at = F.struct((-F.round("rrf", 12)).alias("s"), "list_no", "list_rank", F.col(key).alias("k"))
+    best = fused.groupBy(group).agg(F.min_by(key, F.struct((granularity != "window").cast("int"), at)).alias(key), F.max("rrf").alias("score"), F.min(at).alias("_at"))
+    return best.orderBy("_at").limit(limit).withColumn("place", F.row_number().over(W.orderBy("_at"))).drop("_at")

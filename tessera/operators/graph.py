@@ -131,9 +131,9 @@ def stubs_to_supersede(nodes: DataFrame) -> DataFrame:
 
 def coverage(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: total, linked and unlinked documents, and stubs."""
-    n_stubs = nodes.agg(F.count_if(F.col("graph") == "docshare-stub").alias("stubs"))
+    n_stubs = nodes.agg(F.count_if(F.col("graph") == "docshare-stub").alias("stubs")).scalar()
     counts = docs.agg(F.count("*").alias("total"), F.count_if("kg_indexed").alias("linked"))
-    return counts.crossJoin(F.broadcast(n_stubs)).select("total", "linked", F.greatest(F.lit(0), F.col("total") - F.col("linked")).alias("unlinked"), "stubs")
+    return counts.select("total", "linked", F.greatest(F.lit(0), F.col("total") - F.col("linked")).alias("unlinked"), n_stubs.alias("stubs"))
 
 
 def expand(start: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:

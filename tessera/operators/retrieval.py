@@ -39,8 +39,7 @@ def hybrid_rank(items: DataFrame, query: str, vector: list[float] | None, limit:
     lists = [fusion.numbered(items, F.when(T.coverage(T.tokenize(query), F.col("content")) > 0, T.coverage(T.tokenize(query), F.col("content"))))]
     if vector is not None:
         lists.append(fusion.numbered(items, F.round(V.cosine(F.col("embedding"), vector), 9)))
-    fused = fusion.fused_rank(fusion.rrf(lists, k=k))
-    ranked = fused.join(items.select("id", group, "granularity"), "id")
+    ranked = fusion.rrf(lists, k=k).join(items.select("id", group, "granularity"), "id")
     return fusion.collapse(ranked, group, F.col("granularity"), limit=limit)
 
 
@@ -59,7 +58,7 @@ def channel_search(items: DataFrame, query: str, vector: list[float] | None, lim
     lists = [lexical]
     if vector is not None:
         lists.append(fusion.numbered(items, F.round(V.cosine(F.col("embedding"), vector), 9), depth=depth))
-    fused = fusion.fused_rank(fusion.rrf(lists, k=k))
+    fused = fusion.rrf(lists, k=k)
     return fusion.collapse(fused.join(items.select("id", group, "granularity"), "id"), group, F.col("granularity"), limit=limit)
 
 
@@ -76,10 +75,11 @@ def tfidf(items: DataFrame, query: str, content: str = "content") -> DataFrame:
     tf = {w: times(w) for w in words}
     counted = items.select("id", *(n.alias(f"tf{i}") for i, n in enumerate(tf.values())))
     stats = counted.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
-    idf = [F.when(F.col(f"df{i}") > 0, F.log10(F.col("n") / F.col(f"df{i}"))).otherwise(0.0) for i in range(len(words))]
-    score = sum((F.col(f"tf{i}") * w * w for i, w in enumerate(idf)), F.lit(0.0))
-    # The statistics are one row, so this side is broadcast whatever the corpus's size.
-    return counted.crossJoin(F.broadcast(stats)).select("id", F.round(score, 9).alias("score")).filter("score > 0")
+    idf = F.array(*(F.when(F.col(f"df{i}") > 0, F.log10(F.col("n") / F.col(f"df{i}"))).otherwise(0.0) for i in range(len(words))))
+    # One row of statistics, as a scalar subquery.
+    weighed = counted.withColumn("idf", stats.select(idf.alias("idf")).scalar())
+    score = sum((F.col(f"tf{i}") * F.get("idf", F.lit(i)) * F.get("idf", F.lit(i)) for i in range(len(words))), F.lit(0.0))
+    return weighed.select("id", F.round(score, 9).alias("score")).filter("score > 0")
 
 
 def keyword_search(df: DataFrame, query: str, limit: int, content: str = "content", topic: str | None = None, key: str = "id") -> DataFrame:
@@ -94,10 +94,10 @@ def keyword_search(df: DataFrame, query: str, limit: int, content: str = "conten
 
 
 def search_with_fallback(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
-    """Vector hits if there are any, else keyword hits; one plan, the choice is a one-row join."""
+    """Vector hits if there are any, else keyword hits; one plan, the choice is a scalar subquery."""
     a = vector_hits.withColumn("mode", F.lit("vector-index"))
-    none = vector_hits.agg((F.count("*") == 0).alias("_none"))
-    b = keyword_hits.withColumn("mode", F.lit("keyword")).crossJoin(F.broadcast(none)).filter("_none").drop("_none")
+    none = vector_hits.agg((F.count("*") == 0).alias("none")).scalar()
+    b = keyword_hits.withColumn("mode", F.lit("keyword")).filter(none)
     return a.unionByName(b)
 
 

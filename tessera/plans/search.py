@@ -39,8 +39,9 @@ _FUSED = """, lists as (
 ), ranked as (
   select f.*, row_number() over (order by round(rrf, 12) desc, list_no, list_rank, f.id) as fused_rank, i.conv_id, i.granularity from fused f join items i using (id)
 ), best as (
-  select conv_id, arg_min(id, (case when granularity <> 'window' then 1000000000 else 0 end) + fused_rank) as id, max(rrf) as score, min(fused_rank) as place
-  from ranked group by conv_id order by place limit 8
+  select *, row_number() over (order by at_rank) as place from (
+    select conv_id, arg_min(id, (case when granularity <> 'window' then 1000000000 else 0 end) + fused_rank) as id, max(rrf) as score, min(fused_rank) as at_rank
+    from ranked group by conv_id order by at_rank limit 8)
 )"""
 
 SQL_HYBRID = f"""with {D.SQL_ITEMS}, lex as (select id, {_cov('content')} as score from items where {_cov('content')} > 0),

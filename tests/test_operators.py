@@ -66,17 +66,25 @@ def test_rrf(spark):
 
 def test_collapse(spark):
     rng = random.Random(2)
-    rows = [(i, rng.randrange(6), rng.choice(["window", "session"]), 1 / (i + 1), i + 1) for i in range(40)]
+    rows = [(i, rng.randrange(6), rng.choice(["window", "session"]), 1 / (i + 1), 0, i + 1) for i in range(40)]
     want = {}
-    for key, conv, kind, score, rank in rows:
-        best = want.setdefault(conv, [key, score, rank, kind])
+    for key, conv, kind, score, _, _ in rows:
+        best = want.setdefault(conv, [key, score, len(want) + 1, kind])
         if kind == "window" and best[3] != "window":
             best[0], best[3] = key, kind
-    ranked = spark.createDataFrame(rows, "id long, conv_id long, granularity string, rrf double, fused_rank int")
-    got = fusion.collapse(ranked, "conv_id", F.col("granularity"), limit=99).collect()
+    fused = spark.createDataFrame(rows, "id long, conv_id long, granularity string, rrf double, list_no int, list_rank int")
+    got = fusion.collapse(fused, "conv_id", F.col("granularity"), limit=99).collect()
     assert {r["conv_id"]: (r["id"], r["score"], r["place"]) for r in got} == {c: tuple(v[:3]) for c, v in want.items()}
 
 
+def test_global_rank(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(7)) for i in range(500)]
+    ranked = fusion.global_rank(spark.createDataFrame(rows, "id int, score int").repartition(5), F.desc("score"), F.asc("id"))
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert [(r["id"], r["rank"]) for r in ranked.orderBy("rank").collect()] == [(i, k) for k, (i, _) in enumerate(order, 1)]
+
+
 def test_lexical_search_does_not_read_vectors(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, "window", "hello world", [0.1, 0.2])], "id string, conv_id long, granularity string, content string, embedding array<float>")
     df.write.parquet(f"{tmp_path}/items")
