@@ -131,23 +131,24 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, gram: int = 3, dims: int = 1024, texts_per_lang: int = 2000, most_chars: int = 1 << 20) -> Profiles:
+def train(docs: DataFrame, gram: int = 3, dims: int = 1024, texts_per_lang: int = 2000, most_langs: int = 1024, most_chars: int = 1 << 20) -> Profiles:
     """Fit profiles on texts of `docs` (doc_id, text, lang) that aren't held out.
 
-    A bounded sample: of each language the `texts_per_lang` texts of the smallest hashes, as a
-    Spark aggregate finds them; texts of over `most_chars` characters are no training texts.
-    Its vectors are bundled in tasks, so the driver gets a vector a language and letter counts.
-    Without training rows the profiles know no language and predict `und`.
+    A bounded sample: of each of the `most_langs` commonest languages the texts whose hash lies
+    under a cut that about `texts_per_lang` texts pass; the scan itself takes them, so nothing is
+    shuffled. Texts of over `most_chars` characters are no training texts. Vectors are bundled in
+    tasks: the driver gets a vector a task and language, and letter counts. Without training rows
+    the profiles know no language and predict `und`.
     """
-    from pyspark.sql import Window as W
-
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    key = rows.select(F.col("doc_id"), F.col("lang"), F.xxhash64("doc_id", F.lit("language")).alias("h"))
-    # The cut is a hash that leaves about twice the bound, so no window sees a whole language.
-    sizes = key.groupBy("lang").agg(F.count("*").alias("n"))
-    near = key.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.lit(2.0 * texts_per_lang + 64) / F.col("n") * (1 << 20))
-    chosen = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= texts_per_lang)
-    sample = rows.join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text").persist()
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    span = 1 << 30
+    cuts = {r["lang"]: min(span, texts_per_lang * span // r["n"] + 1) for r in sizes}
+    chosen = F.lit(False)
+    if cuts:
+        cut = F.create_map(*(F.lit(x) for kv in cuts.items() for x in kv))[F.col("lang")]
+        chosen = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(span)) < F.coalesce(cut, F.lit(0))
+    sample = rows.filter(chosen & (F.length("text") <= most_chars)).select("lang", "text").persist()
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
