@@ -148,6 +148,14 @@ def dense_ranks(keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Integer keys in order, each once."""
+    ordered = np.sort(keys)
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return ordered[first]
+
+
 def hash_words(values: pa.Array, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each distinct word, the same in every task."""
     import xxhash

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textarrow import ALNUM, slices, spans
+from tessera.llm.textarrow import ALNUM, distinct, slices, spans
 
 _BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -34,40 +34,46 @@ def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of each distinct word (sorted, once each): values and the words' offsets."""
+    """Hashed features of each distinct word, a row a place where one is: values and the words that they are of."""
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
     data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
     offsets = offsets - offsets[0]
     word = np.repeat(np.arange(n), np.diff(offsets))
     place = np.arange(len(data)) - offsets[:-1][word]
-    left = offsets[1:][word] - np.arange(len(data))
-    powers = np.ones(int(place.max()) + 1, np.uint64)
-    powers[1:] = _MULT
+    powers = np.full(int(place.max()) + 1, _MULT)
+    powers[0] = 1
     powers = np.cumprod(powers)
     feats, owner = [_bucket(np.add.reduceat(data * powers[place], offsets[:-1]), 1)], [np.arange(n)]
     for k in (4, 5):
-        at = np.flatnonzero(left >= k)
-        value = np.zeros(len(at), np.uint64)
+        m = len(data) - k + 1
+        if m <= 0:
+            continue
+        value = np.zeros(m, np.uint64)
         for i in range(k):
-            value = value * np.uint64(257) + data[at + i]
-        feats.append(_bucket(value, 2 * k))
-        owner.append(word[at])
-        first = place[at] == 0
-        feats.append(_bucket(value[first], 2 * k + 1))
-        owner.append(word[at[first]])
-    key = np.unique(np.concatenate(owner) << _BITS | np.concatenate(feats))
-    return key & ((1 << _BITS) - 1), np.searchsorted(key >> _BITS, np.arange(n + 1))
+            value = value * np.uint64(257) + data[i : i + m]
+        inside = np.flatnonzero(word[:m] == word[k - 1 :])
+        value, of = value[inside], word[inside]
+        first = place[inside] == 0
+        feats += [_bucket(value, 2 * k), _bucket(value[first], 2 * k + 1)]
+        owner += [of, of[first]]
+    return np.concatenate(feats), np.concatenate(owner)
+
+
+def grouped_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same in the order of the words, with the words' offsets."""
+    feats, owner = word_features(words)
+    return feats[np.argsort(owner, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(np.int64)
 
 
 def doc_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Each text's distinct words once: text numbers, word codes, and the words by code."""
     found = spans(texts, ALNUM, fold=True)
-    codes, distinct = found.codes()
-    key = np.unique(found.text_of() << 32 | codes)
-    return key >> 32, key & 0xFFFFFFFF, distinct
+    codes, words = found.codes()
+    key = distinct(found.text_of() << 32 | codes)
+    return key >> 32, key & 0xFFFFFFFF, words
 
 
 @dataclass
@@ -82,10 +88,9 @@ class OrdinalModel:
         """w.x of each text: the sum over its distinct words of their features' weights."""
         weights = np.zeros(1 << _BITS)
         weights[self.features] = self.values
-        doc, word, distinct = doc_words(texts)
-        feats, of = word_features(distinct)
-        sums = np.concatenate([[0], np.cumsum(weights[feats])])
-        each = np.round(sums[of[1:]] - sums[of[:-1]], 9)
+        doc, word, words = doc_words(texts)
+        feats, owner = word_features(words)
+        each = np.bincount(owner, weights=weights[feats], minlength=len(words))
         return np.bincount(doc, weights=each[word], minlength=len(texts)) if len(word) else np.zeros(len(texts))
 
     def chances(self, texts: pa.Array) -> np.ndarray:
@@ -143,11 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_featur
         counts, docs_of = np.zeros((2, 1 << _BITS), np.int32), [0, 0]
         for batch in slices(batches, "text", 4 << 20):
             toxic = batch.column("toxic").to_numpy().astype(np.int64)
-            doc, word, distinct = doc_words(batch.column("text"))
-            feats, of = word_features(distinct)
+            doc, word, words = doc_words(batch.column("text"))
+            feats, of = grouped_features(words)
             per = np.diff(of)[word]
             at = np.repeat(of[:-1][word] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-            key = np.unique(np.repeat(doc, per) << _BITS | feats[at])
+            key = distinct(np.repeat(doc, per) << _BITS | feats[at])
             for t in (0, 1):
                 counts[t] += np.bincount(key[toxic[key >> _BITS] == t] & ((1 << _BITS) - 1), minlength=1 << _BITS).astype(np.int32)
                 docs_of[t] += int((toxic == t).sum())
@@ -171,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_featur
         slot = np.full(1 << _BITS, -1, np.int64)
         slot[features] = np.arange(len(features))
         for batch in slices(batches, "text", 4 << 20):
-            doc, word, distinct = doc_words(batch.column("text"))
-            feats, of = word_features(distinct)
+            doc, word, words = doc_words(batch.column("text"))
+            feats, of = grouped_features(words)
             marked = np.concatenate([[0], np.cumsum((slot[feats] >= 0) & marks[slot[feats]])])
             strong = np.bincount(doc, weights=(marked[of[1:]] > marked[of[:-1]])[word], minlength=batch.num_rows)
             kept = np.flatnonzero(slot[feats] >= 0)
