@@ -203,11 +203,15 @@ def summarise_tool_input(pairs: Column, value_most: int = 200, total_most: int =
 _SENSITIVE = r"(?i)(^|/)(\.env[^/]*|\.ssh/.*|\.aws/.*|secrets?/.*|credentials?[^/]*|[^/]*\.(pem|key|p12|pfx))$"
 
 
+def is_sensitive_path(path: Column) -> Column:
+    return F.rlike(path, F.lit(_SENSITIVE))
+
+
 def vcs_summary(status: Column, most: int = 40) -> Column:
     """A porcelain status as its first lines, the new name of renames, sensitive paths only counted."""
     lines = F.filter(F.split(F.coalesce(status, F.lit("")), "\n"), lambda x: F.trim(x) != "")
     named = F.transform(lines, lambda x: F.concat(F.substring(x, 1, 3), F.regexp_replace(F.substr(x, F.lit(4)), r"^.* -> ", "")))
-    shown = F.filter(named, lambda x: ~F.rlike(F.substr(x, F.lit(4)), F.lit(_SENSITIVE)))
+    shown = F.filter(named, lambda x: ~is_sensitive_path(F.substr(x, F.lit(4))))
     hidden = F.size(named) - F.size(shown)
     more = F.size(shown) - most
     rows = F.concat(

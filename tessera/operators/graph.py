@@ -129,6 +129,15 @@ def stubs_to_supersede(nodes: DataFrame) -> DataFrame:
     return nodes.filter(stub).join(nodes.filter(~stub).select("source_path"), "source_path", "left_semi")
 
 
+def repair_stub_docs(nodes: DataFrame) -> DataFrame:
+    """Stubs whose attributes name another document than their id does get the id's; other nodes stay as they are."""
+    own = F.regexp_replace("node_id", "^stub-", "")
+    attrs = F.from_json("attributes", "map<string,string>")
+    wrong = (F.col("graph") == "docshare-stub") & ~F.element_at(attrs, "docshare_doc_id").eqNullSafe(own)
+    fixed = F.to_json(F.map_concat(F.map_filter(F.coalesce(attrs, F.create_map().cast("map<string,string>")), lambda k, v: k != "docshare_doc_id"), F.create_map(F.lit("docshare_doc_id"), own)))
+    return nodes.withColumn("attributes", F.when(wrong, fixed).otherwise(F.col("attributes")))
+
+
 def coverage(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: total, linked and unlinked documents, and stubs."""
     n_stubs = nodes.agg(F.count_if(F.col("graph") == "docshare-stub").alias("stubs")).scalar()

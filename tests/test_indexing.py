@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tessera.operators import batching, indexing
+from tessera.operators import batching, graph, indexing
 
 HISTORY = "node_id string, node_type string, graph string, title string, attributes string, source_path string, content_hash string, valid_from timestamp_ntz, superseded_at timestamp_ntz"
 ITEM = "spec_no int, pos int, graph string, source_file string, default_type string, item string"
@@ -52,6 +52,12 @@ def test_graph_sync(spark):
     assert three.filter("node_id = 'stub-2' and superseded_at is not null").count() == 1 and three.filter("node_id = 'b' and superseded_at is null").count() == 1
 
 
+def test_repair_stubs(spark):
+    rows = [("stub-7", "docshare-stub", '{"tier":"stub","docshare_doc_id":"x"}'), ("stub-8", "docshare-stub", '{"docshare_doc_id":"8"}'), ("n", "domain", "{}"), ("stub-9", "docshare-stub", None)]
+    fixed = {r["node_id"]: r["attributes"] for r in graph.repair_stub_docs(spark.createDataFrame(rows, "node_id string, graph string, attributes string")).collect()}
+    assert fixed == {"stub-7": '{"tier":"stub","docshare_doc_id":"7"}', "stub-8": '{"docshare_doc_id":"8"}', "n": "{}", "stub-9": '{"docshare_doc_id":"9"}'}
+
+
 def test_presentation(spark):
     def made(title, turns):
         df = spark.range(1).select(F.lit(title).alias("t") if title else F.lit(None).cast("map<string,string>").alias("t"), F.lit(None).cast("map<string,string>").alias("d"), F.from_json(F.lit(turns), "map<string,map<string,array<string>>>").alias("b"))
