@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.staging import staged
+
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Number all rows from 1 in a total order without bringing them to one task: rows are dealt by ranges of the
-    order, numbered in their range, and shifted by the sizes of the ranges before (one row a range)."""
+    order, numbered in their range, and shifted by the sizes of the ranges before (one row a range). The dealt
+    rows are written, because ranges are sampled and a second run of the plan could cut them elsewhere."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    dealt = staged(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
     inside = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
