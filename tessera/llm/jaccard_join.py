@@ -7,7 +7,7 @@
    never meet in a task.
 3. Band hashes are shuffled; a star (smallest member to each other member) stands for each
    bucket, and the stars' components are the candidate groups. No pairs are listed.
-4. Groups are dealt in blocks of about `block` texts, each pair of blocks to one task, which
+4. Groups are dealt in blocks of about `block` texts and `block_shingles` shingles at most, each pair of blocks to one task, which
    compares all texts of the two blocks on their full sets by a product of incidence matrices.
    It returns only each text's number of links and a spanning forest of the linked texts.
 5. Components of the forest are the classes.
@@ -178,22 +178,24 @@ def _verifier(n: int, threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 1000, block_shingles: int = 1 << 20) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, class_id (the smallest doc_id linked to
     it, over any number of links), n_copies (texts of equal sets, itself included) and n_links (other
     rows whose sets have a similarity of the threshold or more)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bands, per_band = choose_bands(threshold, recall)
     signed = store.written(signatures(rows, n, bands, per_band), "signatures")
-    classes = signed.filter("doc_id is not null and size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = signed.filter("doc_id is not null and size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = store.written(classes, "classes")
 
     buckets = classes.select("doc", F.posexplode("bands").alias("band", "hash"))
     least = buckets.groupBy("band", "hash").agg(F.min("doc").alias("v"), F.count("*").alias("m")).filter("m > 1").drop("m")
     stars = buckets.join(least, ["band", "hash"]).filter("doc <> v").select(F.col("doc").alias("u"), "v").distinct()
     groups = components.components(stars)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("m"))
-    groups = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    groups = groups.join(classes.select(F.col("doc").alias("node"), "size"), "node")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("m"), F.sum("size").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("shingles") / block_shingles)).cast("int")
+    groups = groups.join(sizes, "component").withColumn("blocks", F.greatest(blocks, F.lit(1)))
     groups = groups.withColumn("blk", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
     members = groups.select(F.col("node").alias("doc"), "component", "blocks", "blk").join(classes.select("doc", "copies", "d1", "d2"), "doc")
 
