@@ -159,7 +159,7 @@ class Phrases:
         self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
         for length in sorted({len(w) for w in windows}):
             which = np.array([k for k, w in enumerate(windows) if len(w) == length])
-            self.by_length.append((which, np.stack([windows[k] for k in which])))
+            self.by_length.append((which, np.stack([windows[k] for k in which]).astype(np.int32)))
         self.shortest = min((len(w) for w in windows), default=0)
         self.owner_of = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
         self.owners = np.array([i for o in owners for i in sorted(o)], np.int64)
@@ -225,7 +225,7 @@ def _searcher(phrases: Phrases):
     return work
 
 
-def phrase_blocks(benchmark: DataFrame, width: int = 10, block_bytes: int = 16 << 20) -> Iterator[Phrases]:
+def phrase_blocks(benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> Iterator[Phrases]:
     """The test items (item_id, text) in blocks of at most `block_bytes` of text (one item at least), by id.
 
     Items without an id or text have no windows. A block is fetched when its turn comes.
@@ -233,15 +233,16 @@ def phrase_blocks(benchmark: DataFrame, width: int = 10, block_bytes: int = 16 <
     rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     held, size = [], 0
     for r in rows.toLocalIterator():
-        if held and size + len(r["text"]) * 4 > block_bytes:
+        own = len(r["text"].encode())
+        if held and size + own > block_bytes:
             yield Phrases(held, width)
             held, size = [], 0
         held.append((r["item_id"], r["text"]))
-        size += len(r["text"]) * 4
+        size += own
     yield Phrases(held, width)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, n_words, `spans` (merged: words first..last - 1,
     bytes begin..end - 1 of the UTF-8 text) and `items` (distinct item ids as strings, sorted).
 
@@ -266,7 +267,7 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes:
     return merged.select("doc_id", "n_words", folded.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "rows")).alias("copy")).drop("copy")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of `docs`, all columns, that hold no window of any test item."""
 
     def keeper(phrases: Phrases):
