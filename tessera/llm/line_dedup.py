@@ -54,6 +54,12 @@ class LineRuns:
             keys = keys.join(known.select("h1", "h2"), ["h1", "h2"], "left_anti")
         self._place(self._write(keys, "run"), 0)
 
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """The keys of a batch that no run holds: what a keep-first deduplication lets through, before `add`."""
+        for run in [*(r for level in self.levels for r in level), *self.repeated]:
+            keys = keys.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return keys
+
     def _place(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
