@@ -198,6 +198,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(index, ["part", "at"]).select(named, (F.col("first_token") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def token_at(spark: SparkSession, path: str, position: int) -> int:
+    """Token `position` of the whole corpus: its segment by the index, then one chunk a level."""
+    held = read_index(spark, path).filter((F.col("first_token") <= position) & (F.col("first_token") + F.col("n_tokens") > position)).first()
+    if held is None:
+        raise IndexError(position)
+    row = spark.read.schema(SEGMENT).parquet(path).filter((F.col("part") == held["part"]) & (F.col("at") == held["at"])).select("image").first()
+    return DacReader(bytes(row["image"])).token(position - held["first_token"])
+
+
 def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write the corpus to the shared folder and return what its files hold of each document."""
     spark = docs.sparkSession
