@@ -68,6 +68,16 @@ def test_op3(spark):
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op3_token_binary(spark, SF).collect()} == want
 
 
+def test_token_at(spark, tmp_path):
+    tok, docs = encoder(), documents(spark).filter("doc_id < 20")
+    token_binary.write_corpus(docs, path := f"file://{tmp_path}/corpus", queries.tokenizer_path(), 1, tokens_per_segment=500)
+    ids = [i for r in docs.orderBy("doc_id").collect() for i in [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1]]
+    for k in (0, 1, 499, 777, len(ids) - 1):
+        assert token_binary.token_at(spark, path, k) == ids[k]
+    with pytest.raises(IndexError):
+        token_binary.token_at(spark, path, len(ids))
+
+
 def test_op5(spark):
     tok = encoder()
     ids = {r["doc_id"]: [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in documents(spark).collect()}
@@ -147,12 +157,12 @@ def near_corpus():
     return list(enumerate([*texts, "short one", "Short, one", "", None]))
 
 
-@pytest.mark.parametrize("block", [1000, 3])
-def test_op1(spark, block):
+@pytest.mark.parametrize("block,shingles", [(1000, 1 << 20), (3, 1 << 20), (1000, 200)])
+def test_op1(spark, block, shingles):
     rows = near_corpus()
     links = brute_links(rows)
     want = classes([i for i, _ in rows], links)
-    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block, block_shingles=shingles).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (want[i], len(links[i])) for i, _ in rows}
 
 
@@ -250,6 +260,17 @@ def test_op4(spark, batches, fanout):
         assert (r["n_lines"], r["n_dropped"], r["kept_text"]) == (n, n - len(kept), "\n".join(kept))
 
 
+def test_keep_first_over_batches(spark):
+    runs, seen = line_dedup.LineRuns(spark, most=10**9, fanout=2), set()
+    rng = random.Random(7)
+    for _ in range(5):
+        batch = {(rng.randrange(30), 0) for _ in range(12)}
+        keys = spark.createDataFrame([(*k, 1) for k in batch], "h1 long, h2 long, n_docs long")
+        assert {(r["h1"], r["h2"]) for r in runs.unseen(keys).collect()} == batch - seen
+        runs.add(keys)
+        seen |= batch
+
+
 # --- decontamination, archives, toxicity, shards ------------------------------------------------
 
 
