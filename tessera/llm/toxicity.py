@@ -127,7 +127,7 @@ def fit_cumulative_links(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, g
     return params[:n_features], raw[0] + np.concatenate([[0], np.cumsum(np.logaddexp(0, raw[1:]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 8000, most_features: int = 4096, least_docs: int = 5) -> OrdinalModel | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 5000, most_features: int = 4096, least_docs: int = 5) -> OrdinalModel | None:
     """Fit on a bounded sample: of each class the `per_class` labelled documents of the smallest hashes.
 
     Labels without an id or a class are left out; a document with several is toxic if one says so.
@@ -213,7 +213,7 @@ def rate(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5) -> DataF
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             p = _rated(batch, model)
             grade = (p >= cut).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(p[:, 0]), pa.array(grade > 0)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
@@ -226,7 +226,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5) ->
     """The rows of `docs`, all columns, that aren't rated toxic."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             yield batch.filter(pa.array(_rated(batch, model)[:, 0] < cut))
 
     return docs.mapInArrow(work, docs.schema)
