@@ -86,7 +86,66 @@ lines as (
   select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10
 )"""
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _windows(width: int) -> str:
+    """The windows of `w`: runs of so many words, or all of fewer."""
+    return f"case when len(w) = 0 then [] else [array_to_string(w[i : i + {width - 1}], ' ') for i in range(1, greatest(len(w) - {width - 1}, 1) + 1)] end"
+
+
+SQL_JACCARD = f"""
+with recursive d as (select doc_id, {_WORDS} as w from documents),
+s as (select distinct doc_id, unnest({_windows(5)}) as g from d),
+n as (select doc_id, count(*) as n, md5(string_agg(g, '|' order by g)) as h from s group by doc_id),
+copies as (select h, count(*) as c from n group by h),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where k >= 0.8 * (x.n + y.n - k) - 1e-9),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on l.a = r.b),
+class as (select a, min(b) as class_id from reach group by a),
+counts as (select a, count(*) as n_links from links group by a)
+select d.doc_id, class_id, coalesce(c, 1) as n_copies, coalesce(n_links, 0) as n_links
+from d join class on class.a = d.doc_id left join counts on counts.a = d.doc_id left join n on n.doc_id = d.doc_id left join copies on copies.h = n.h
+"""
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(hex, {5 * g + 1}, 5) as bigint) >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+SQL_WARC = f"""
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hex, min(page_id) over (partition by coalesce(html, '')) as least from pages)
+select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id = least then 'response' else 'revisit' end as record_type, case when page_id <> least then least end as refers_to from p
+"""
+
+SQL_QUALITY = rf"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i : i + 7], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from win) where c > 1),
+rep as (select doc_id, count(distinct j) as n_repeat_words from (select doc_id, unnest(range(i, i + 8)) as j from twice) group by doc_id),
+lines as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
+dup as (select doc_id, count(*) as n_lines, sum(case when regexp_matches(line, '[^\x20\x09-\x0D]') then 1 else 0 end) - count(distinct case when regexp_matches(line, '[^\x20\x09-\x0D]') then line end) as n_dup_lines from lines group by doc_id),
+m as (select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_lines from d join dup using (doc_id) left join rep using (doc_id)),
+f as (select *, {" + ".join(f"(case when {fails} then {quality_rules.BIT[name]} else 0 end)" for name, fails in quality_rules.RULES)} as failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {quality_rules.BASE}) <> 0 as base_failed, (failed & {quality_rules.POLICIES["v1"]}) = 0 as kept, failed from f
+"""
+
+SQL_DECONTAMINATION = f"""
+with b as (select item_id, {_WORDS} as w from benchmark),
+g as (select distinct cast(item_id as varchar) as item, least(len(w), 10) as n, unnest({_windows(10)}) as g from b),
+d as (select doc_id, {_WORDS} as w from documents),
+lengths as (select distinct n from g),
+win as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, lengths)),
+found as (select doc_id, i, win.n, item from win join g on g.g = win.g and g.n = win.n),
+hits as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from found) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from found) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": SQL_JACCARD,
+    "op6_warc": SQL_WARC,
+    "op7_quality_rules": SQL_QUALITY,
+    "op8_decontamination": SQL_DECONTAMINATION,
     "op4_line_dedup": f"""
 with {_KEYED}
 select doc_id, count(*) as n_lines, count(*) filter (where key in (select key from hot)) as n_dropped,
