@@ -88,15 +88,14 @@ def structural_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     (src_id, dst_id, edge_type, provenance)
     """
-    path = T.normalise_path(F.col("source_path"))
-    parts = F.split(path, "/")
-    slug = F.get(parts, F.lit(3))
-    active = F.startswith(path, F.lit("docs/projects/active/")) & (F.size(parts) >= 4)
-    rule = F.when(active & (slug != "") & ~F.endswith(slug, F.lit(".md")), F.struct(F.concat(F.lit("doc:domain:projects:active:"), slug, F.lit(":index")).alias("target"), F.lit("belongs_to").alias("edge_type"), F.lit("path:projects/active").alias("provenance")))
-    rest = ~active
+    named = docs.select("node_id", T.normalise_path(F.col("source_path")).alias("path")).filter(F.col("path").isNotNull() & ~F.startswith("path", F.lit(EXCLUDED_PREFIX)))
+    named = named.select("node_id", "path", F.split("path", "/").alias("parts")).withColumn("slug", F.get("parts", F.lit(3)))
+    active = F.startswith("path", F.lit("docs/projects/active/")) & (F.size("parts") >= 4)
+    index = F.struct(F.concat(F.lit("doc:domain:projects:active:"), "slug", F.lit(":index")).alias("target"), F.lit("belongs_to").alias("edge_type"), F.lit("path:projects/active").alias("provenance"))
+    rule = F.when(active, F.when((F.col("slug") != "") & ~F.endswith("slug", F.lit(".md")), index))
     for prefix, target, provenance in DOMAIN_RULES:
-        rule = rule.when(rest & F.startswith(path, F.lit(prefix)), F.struct(F.lit(target).alias("target"), F.lit("in_domain").alias("edge_type"), F.lit(provenance).alias("provenance")))
-    rows = docs.filter(path.isNotNull() & ~F.startswith(path, F.lit(EXCLUDED_PREFIX))).select("node_id", rule.alias("r")).filter("r is not null").select("node_id", "r.*")
+        rule = rule.when(F.startswith("path", F.lit(prefix)), F.struct(F.lit(target).alias("target"), F.lit("in_domain").alias("edge_type"), F.lit(provenance).alias("provenance")))
+    rows = named.select("node_id", rule.alias("r")).filter("r is not null").select("node_id", "r.*")
     found = rows.join(nodes.select(F.col("node_id").alias("target")).distinct(), "target")
     out = found.select(F.col("node_id").alias("src_id"), F.col("target").alias("dst_id"), "edge_type", "provenance")
     back = found.filter("edge_type = 'belongs_to'").select(F.col("target").alias("src_id"), F.col("node_id").alias("dst_id"), F.lit("contains").alias("edge_type"), "provenance")

@@ -66,14 +66,15 @@ def tfidf(items: DataFrame, query: str, content: str = "content") -> DataFrame:
     """(id, score): sum over the query's words of tf * log10(N / df) squared, tf being whole-word counts.
 
     One scan counts the rows and each word's documents (a one-row aggregate); a second scores."""
-    words = [t for t in T.tokenize(query)]
-    low = F.lower(F.col(content))
+    words = T.tokenize(query)
 
     def times(word: str) -> Column:
-        return F.size(F.filter(F.split(low, r"[^a-z0-9_./:@-]+"), lambda x: x == word))
+        return F.size(F.filter("words", lambda x: x == word))
 
-    tf = {w: times(w) for w in words}
-    counted = items.select("id", *(n.alias(f"tf{i}") for i, n in enumerate(tf.values())))
+    split = items.select("id", F.split(F.lower(F.col(content)), r"[^a-z0-9_./:@-]+").alias("words"))
+    # Only the query's words go on, so that each count reads a short list.
+    few = split.select("id", F.filter("words", lambda x: x.isin(words)).alias("words"))
+    counted = few.select("id", *(times(w).alias(f"tf{i}") for i, w in enumerate(words)))
     stats = counted.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     idf = F.array(*(F.when(F.col(f"df{i}") > 0, F.log10(F.col("n") / F.col(f"df{i}"))).otherwise(0.0) for i in range(len(words))))
     # One row of statistics, as a scalar subquery.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking
+from tessera.operators.staging import staged
 from tessera.sources.tables import table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -59,7 +60,8 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     n = vectors.count()
     rows = chunks(spark, d).withColumn("vec_id", F.pmod(F.col("conv_id") * 31 + F.col("seq_start") * 7 + F.col("seq_end"), F.lit(n)))
-    return rows.join(vectors, "vec_id").drop("vec_id")
+    # Searches read the chunk index as a table; it is made once.
+    return staged(rows.join(vectors, "vec_id").drop("vec_id"), "items")
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
