@@ -86,7 +86,7 @@ def _gzip(raw: bytes, level: int = 6) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def with_originals(pages: DataFrame, least_bytes: int = 0, broadcast_rows: int = 100_000) -> DataFrame:
     """page_id, url, payload of every page (null html: empty) and `refers_to`: the smallest page_id of
     an equal payload, or null for that page itself, for payloads under `least_bytes` and for pages
     of a payload that no page with an id has. Rows that repeat the smallest id are all responses."""
@@ -95,6 +95,10 @@ def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     # Only groups of two pages or more, so the joined side is short; a hot payload is one row of it.
     firsts = keyed.filter(F.col("size") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("sha", "least")
     refs = keyed.filter(F.col("size") >= least_bytes).select("page_id", "sha").join(firsts, "sha").filter("page_id is null or page_id <> least").select(F.coalesce("page_id", F.lit(-1)).alias("key"), "sha", F.col("least").alias("refers_to")).distinct()
+    # A short list of revisits goes to the pages; beyond the bound both sides are shuffled.
+    refs = store.written(refs, "revisits")
+    if refs.count() <= broadcast_rows:
+        refs = F.broadcast(refs)
     return keyed.withColumn("key", F.coalesce("page_id", F.lit(-1))).join(refs, ["key", "sha"], "left").select("page_id", "url", "payload", "refers_to")
 
 

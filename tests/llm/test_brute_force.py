@@ -331,6 +331,12 @@ def test_fm_index():
             assert sorted(index.locate(np.arange(a, b))) == want
 
 
+def test_op6_joins_alike(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select(F.pmod("page_id", F.lit(40)).alias("page_id"), "url", F.substring("html", 1, 17).alias("html"))
+    few, many = (sorted(map(tuple, warc.with_originals(pages, broadcast_rows=n).collect()), key=repr) for n in (10**6, -1))
+    assert few == many and any(r[3] is not None for r in few)
+
+
 def test_op6(spark):
     rows = [(5, "http://a", "x"), (3, "http://b\r\nX: y", "x"), (9, None, None), (1, "http://c", ""), (2, "u", "é"), (7, "u", "x"), (4, "u", "only")]
     got = {r["page_id"]: r for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
