@@ -82,7 +82,7 @@ def quantise(df: DataFrame, dims: dict[str, Column], bits: int, accuracy: int =
     return {name: code(c, sorted(set(cuts[name] or []))) for name, c in dims.items()}
 
 
-def shard(docs: DataFrame, shards: int = 16, bits: int = 4, rows_per_part: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, bits: int = 4, rows_per_part: int = 5_000) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, hilbert, shard, slot of every row of `docs` (doc_id, text, lang, source).
 
     Law `rows`: the shards' row counts are at most one apart. Within a cell rows are ordered by
