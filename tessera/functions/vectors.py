@@ -21,9 +21,10 @@ def literal(vector: list[float]) -> Column:
 def cosine(vector: Column, query: list[float]) -> Column:
     """Cosine with a query of the same width; 0 for a zero vector, null for another width or a zero query."""
     length = sum(float(x) * float(x) for x in query) ** 0.5
-    n = norm(vector)
-    value = F.when(n == 0, 0.0).otherwise(dot(vector, literal(query)) / (n * F.lit(length)))
-    return F.when((F.size(vector) == len(query)) & F.lit(length > 0), value)
+    if not length:
+        return F.lit(None).cast("double")
+    value = F.coalesce(dot(vector, literal(query)) / (F.nullif(norm(vector), F.lit(0.0)) * F.lit(length)), F.lit(0.0))
+    return F.when(F.size(vector) == len(query), value)
 
 
 def cosine_eps(vector: Column, query: list[float], eps: float = 1e-9) -> Column:

@@ -17,13 +17,12 @@ def lexical_rank(df: DataFrame, query: str, content: str = "content") -> DataFra
 
 
 def top_by_vector(df: DataFrame, query: list[float], limit: int = 25, floor: float | None = None, exact: bool = False, where: Column | None = None, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """The nearest rows by cosine (rounded to 9 places so that ties are by key). Filters come before scoring."""
-    rows = df if where is None else df.filter(where)
+    """The nearest rows by cosine (rounded to 9 places so that ties are by key). Filters come before scoring; the
+    floor after the limit, which gives the same rows and scores each row once."""
+    rows = (df if where is None else df.filter(where)).filter(F.size(vector) == len(query))
     score = (V.cosine if exact else V.cosine_eps)(F.col(vector), query)
-    rows = rows.withColumn("score", F.round(score, 9)).filter("score is not null")
-    if floor is not None:
-        rows = rows.filter(F.col("score") >= floor)
-    return rows.orderBy(F.desc("score"), key).limit(limit)
+    rows = rows.withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), key).limit(limit).filter("score is not null")
+    return rows if floor is None else rows.filter(F.col("score") >= floor)
 
 
 def best_per_key(df: DataFrame, keys: list[str], tie: str = "id") -> DataFrame:
