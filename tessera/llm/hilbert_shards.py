@@ -6,7 +6,8 @@ are near in all dimensions come near each other, and the order is cut into runs
 counts: a file then covers a narrow range of every dimension and can be pruned by any.
 
 Ranks are global without a global sort. Cells are at most 2^(bits * dimensions); a cell with
-more than `rows_per_part` rows is divided by a hash, so a hot source needs no task of its own.
+more than `rows_per_part` rows is divided by a hash of the text, so a hot source needs no task of
+its own, and a part that copies of one text fill is divided again by a hash of the document's id.
 """
 
 from __future__ import annotations
@@ -86,8 +87,9 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = 4, rows_per_part: int =
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, hilbert, shard, slot of every row of `docs` (doc_id, text, lang, source).
 
     Law `rows`: the shards' row counts are at most one apart. Within a cell rows are ordered by
-    a hash of the text, then doc_id; rows that agree in all of these are alike and take their
-    places in any order. Null texts count as empty, null dimensions as the least value.
+    a hash of the text, then doc_id, but for parts over twice `rows_per_part` (many copies of one
+    text), which are ordered by a hash of doc_id first. Rows that agree in all of these are alike
+    and take their places in any order. Null texts count as empty, null dimensions as the least value.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -112,14 +114,20 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = 4, rows_per_part: int =
     dealt = placed.join(F.broadcast(cells.select(*axes, "hilbert", "parts")), axes)
     # The hash's range is cut evenly, so parts keep the order by hash and equal texts stay together.
     part = F.least(F.floor((F.shiftrightunsigned("h", 1).cast("double") / F.lit(float(1 << 63))) * F.col("parts")).cast("long"), F.col("parts") - 1)
-    dealt = store.written(dealt.select("doc_id", "size", "text_crc32", "h", "hilbert", part.alias("part")), "shard-dealt")
-    counts = dealt.groupBy("hilbert", "part").agg(F.count("*").alias("n"))
-    in_cell = F.sum("n").over(W.partitionBy("hilbert").orderBy("part")) - F.col("n")
+    dealt = dealt.select("doc_id", "size", "text_crc32", "h", "hilbert", part.alias("part"))
+    # Parts that one text fills can't be cut by the text's hash; these few are cut by doc_id.
+    crowded = dealt.groupBy("hilbert", "part").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * rows_per_part)
+    crowded = crowded.select("hilbert", "part", F.ceil(F.col("n") / rows_per_part).alias("subs"))
+    sub = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("subs")), F.lit(0)).cast("long")
+    dealt = store.written(dealt.join(crowded, ["hilbert", "part"], "left").withColumn("sub", sub).drop("subs"), "shard-dealt")
+    keys = ["hilbert", "part", "sub"]
+    counts = dealt.groupBy(*keys).agg(F.count("*").alias("n"))
+    in_cell = F.sum("n").over(W.partitionBy("hilbert").orderBy("part", "sub")) - F.col("n")
     before = cells.select("hilbert", (F.sum("n").over(W.orderBy("hilbert")) - F.col("n")).alias("before"))
-    starts = counts.withColumn("in_cell", in_cell).join(before, "hilbert").select("hilbert", "part", (F.col("before") + F.col("in_cell")).alias("start"))
+    starts = counts.withColumn("in_cell", in_cell).join(before, "hilbert").select(*keys, (F.col("before") + F.col("in_cell")).alias("start"))
     total = rows.count()
-    order = W.partitionBy("hilbert", "part").orderBy("h", "doc_id", "size")
-    ranked = dealt.withColumn("k", F.row_number().over(order)).join(starts, ["hilbert", "part"])
+    order = W.partitionBy(*keys).orderBy("h", "doc_id", "size")
+    ranked = dealt.withColumn("k", F.row_number().over(order)).join(starts, keys)
     rank = F.col("start") + F.col("k") - 1
     number = F.expr(f"(start + k - 1) * {shards} div {max(total, 1)}")
     out = ranked.select("doc_id", "size", "text_crc32", "hilbert", rank.alias("rank"), number.cast("int").alias("shard"))

@@ -398,6 +398,17 @@ def test_op10(spark, rows_per_part):
     assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in out)
 
 
+def test_op10_copies_of_one_text(spark):
+    """A text that fills most of its cell is cut by doc_id; places stay gapless and whole."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"))
+    out = hilbert_shards.shard(docs, shards=7, rows_per_part=10).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(r["doc_id"] for r in out) == list(range(600)) and sorted(slots) == list(range(7))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} <= {85, 86}
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 
