@@ -83,7 +83,7 @@ def quantise(df: DataFrame, dims: dict[str, Column], bits: int, accuracy: int =
     return {name: code(c, sorted(set(cuts[name] or []))) for name, c in dims.items()}
 
 
-def shard(docs: DataFrame, shards: int = 16, bits: int = 4, rows_per_part: int = 5_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, bits: int = 4, rows_per_part: int = 5_000, broadcast_rows: int = 100_000) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, hilbert, shard, slot of every row of `docs` (doc_id, text, lang, source).
 
     Law `rows`: the shards' row counts are at most one apart. Within a cell rows are ordered by
@@ -117,7 +117,10 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = 4, rows_per_part: int =
     dealt = dealt.select("doc_id", "size", "text_crc32", "h", "hilbert", part.alias("part"))
     # Parts that one text fills can't be cut by the text's hash; these few are cut by doc_id.
     crowded = dealt.groupBy("hilbert", "part").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * rows_per_part)
-    crowded = crowded.select("hilbert", "part", F.ceil(F.col("n") / rows_per_part).alias("subs"))
+    crowded = store.written(crowded.select("hilbert", "part", F.ceil(F.col("n") / rows_per_part).alias("subs")), "shard-crowded")
+    # A short list goes to the rows; beyond the bound both sides are shuffled.
+    if crowded.count() <= broadcast_rows:
+        crowded = F.broadcast(crowded)
     sub = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("subs")), F.lit(0)).cast("long")
     dealt = store.written(dealt.join(crowded, ["hilbert", "part"], "left").withColumn("sub", sub).drop("subs"), "shard-dealt")
     keys = ["hilbert", "part", "sub"]
