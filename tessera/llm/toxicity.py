@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.textarrow import ALNUM, distinct, slices, spans
@@ -127,12 +127,22 @@ def fit_cumulative_links(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, g
     return params[:n_features], raw[0] + np.concatenate([[0], np.cumsum(np.logaddexp(0, raw[1:]))])
 
 
+def likelihood_ratio(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """How much likelier the counts of a feature's documents are if its share differs by class (G squared); it holds at counts of zero and in small samples."""
+    n = n_toxic + n_clean
+    seen = toxic + clean
+    cells = ((toxic, seen, n_toxic), (clean, seen, n_clean), (n_toxic - toxic, n - seen, n_toxic), (n_clean - clean, n - seen, n_clean))
+    # A cell without documents adds nothing.
+    return 2 * sum((F.when(k > 0, k * F.log(k * n / (m * size))).otherwise(0.0) for k, m, size in cells), F.lit(0.0))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 5000, most_features: int = 4096, least_docs: int = 5) -> OrdinalModel | None:
     """Fit on a bounded sample: of each class the `per_class` labelled documents of the smallest hashes.
 
     Labels without an id or a class are left out; a document with several is toxic if one says so.
-    Tasks find the features; the driver gets at most `most_features` of them and the sample's
-    sparse rows. None if a class has no texts.
+    Tasks find the features; the driver gets the `most_features` of the greatest likelihood ratio and
+    the sample's sparse rows. A feature is in `least_docs` documents, or in as many as are toxic if these are fewer.
+    None if a class has no texts, or no such feature exists (no words).
     """
     named = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in named.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -164,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 5000, most_featur
     if not total or not total["clean"] or not total["toxic"]:
         return None
     odds = F.log((F.col("toxic") + 0.5) / (total["toxic"] + 1.0)) - F.log((F.col("clean") + 0.5) / (total["clean"] + 1.0))
-    strength = F.abs(odds) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = tallied.filter(f"f >= 0 and toxic + clean >= {least_docs}").select("f", odds.alias("odds"), strength.alias("z")).filter("z > 4").orderBy(F.desc("z"), "f").limit(most_features).collect()
+    ratio = likelihood_ratio(F.col("toxic"), F.col("clean"), total["toxic"], total["clean"])
+    best = tallied.filter(f"f >= 0 and toxic + clean >= {min(least_docs, total['toxic'])}").select("f", odds.alias("odds"), ratio.alias("ratio")).orderBy(F.desc("ratio"), "f").limit(most_features).collect()
     if not best:
         chosen.unpersist(), tallied.unpersist()
         return None
@@ -196,8 +206,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 5000, most_featur
     grades = np.where(toxic == 0, 0, 1 + (strong > 1) + (strong > 3))
     cols, vals = table["cols"].combine_chunks(), table["vals"].combine_chunks()
     rows = np.repeat(np.arange(len(grades)), np.asarray(cols.value_lengths()))
-    weights, theta = fit_cumulative_links(rows, np.asarray(cols.flatten()).astype(np.int64), np.asarray(vals.flatten()).astype(float), grades, len(features))
-    return OrdinalModel(features, weights, theta)
+    cols = np.asarray(cols.flatten()).astype(np.int64)
+    # Features of little evidence count for little: in small samples most of the kept ones are chance.
+    scale = np.array([max(r["ratio"], 0.0) for r in best])
+    scale = (scale / max(scale.max(), 1e-9)) ** 0.75
+    weights, theta = fit_cumulative_links(rows, cols, np.asarray(vals.flatten()) * scale[cols], grades, len(features))
+    return OrdinalModel(features, weights * scale, theta)
 
 
 def _rated(batch: pa.RecordBatch, model: OrdinalModel | None) -> np.ndarray:

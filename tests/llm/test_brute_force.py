@@ -376,6 +376,30 @@ def test_op9_on_held_out_labels(spark):
     assert all(0 <= r["severity"] <= 3 and r["toxic"] == (r["grade"] > 0) for r in rated)
 
 
+@pytest.mark.parametrize("sf,recall", [("sf0.001", 0.3), ("sf0.01", 0.6)])
+def test_op9_on_few_labels(spark, sf, recall):
+    """Trained on 11 and 51 toxic labels, rated on texts that training didn't see; the stage rejects rows."""
+    small, large = f"/root/testdata/{sf}", "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    truth = spark.read.parquet(f"{large}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    held = spark.read.parquet(f"{large}/documents.parquet").join(truth, "doc_id").join(docs.select("text"), "text", "left_anti")
+    rated = toxicity.rate(held, model).join(held.select("doc_id", "label"), "doc_id").collect()
+    clean = [r["toxic"] for r in rated if not r["label"]]
+    toxic = [r["toxic"] for r in rated if r["label"]]
+    assert sum(toxic) >= recall * len(toxic) and sum(clean) <= 0.01 * len(clean)
+    assert 0 < corpus_pipeline.remove_toxic(spark, docs, small).count() < docs.count()
+
+
+def test_op9_word_of_toxic_documents_alone(spark):
+    """A word that no clean document holds counts, though few toxic ones hold it."""
+    texts = [f"w{i % 7} v{i % 5} " + ("vermin" if i % 10 == 0 else "x") for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "such vermin", "such people"])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(80)], "doc_id long, toxic int")
+    rated = {r["doc_id"]: r["toxic"] for r in toxicity.rate(docs, toxicity.train(docs, labels)).collect()}
+    assert rated == {i: i == 80 or (i < 80 and i % 10 == 0) for i in range(82)}
+
+
 def test_hilbert_index_is_a_walk(spark):
     cells = spark.range(8**3).select((F.col("id") % 8).alias("a"), F.floor(F.col("id") / 8 % 8).alias("b"), F.floor(F.col("id") / 64).alias("c"))
     path = sorted((r["h"], (r["a"], r["b"], r["c"])) for r in cells.withColumn("h", hilbert_shards.hilbert_index([F.col(c) for c in "abc"], 3)).collect())
