@@ -7,13 +7,14 @@ texts, so one long text does not outweigh many. A text gets the language whose p
 the greatest cosine with its vector.
 
 Letters are the code points that are letters, lower-cased; all else is one gap between words.
-The commonest letters of the training texts have codes of their own, the others share the last.
+Each code point's vector comes from a seeded hash of it, so every letter of every script has its
+own, and a batch makes those of the letters that it holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ from tessera.llm.textarrow import buffers, slices
 
 #: The label of texts without letters.
 UNKNOWN = "und"
-_MOST_CODES = 64
 
 
 def _letters() -> np.ndarray:
@@ -46,45 +46,49 @@ def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     wide = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     point = _LETTERS[np.minimum(wide, 0xFFFF)]
-    # Letters beyond the basic plane share one code; the table's last place is no letter.
-    point[wide > 0xFFFF] = np.fromiter((chr(c).isalpha() for c in wide[wide > 0xFFFF]), np.int32) * 0x1FFFF if (wide > 0xFFFF).any() else 0
+    beyond = np.flatnonzero(wide > 0xFFFF)
+    if len(beyond):
+        kinds, which = np.unique(wide[beyond], return_inverse=True)
+        point[beyond] = np.array([ord(chr(c).lower()) if chr(c).isalpha() else 0 for c in kinds], np.int32)[which]
     return point, lead[offsets]
 
 
 @dataclass
 class Profiles:
-    """What a text is compared with: the letters' codes, their vectors, and a prototype a language."""
+    """What a text is compared with: a prototype a language, and what the letters' vectors are made from."""
 
-    alphabet: list[int]
     langs: list[str]
     prototypes: np.ndarray  # languages x dimensions, unit rows
     gram: int = 3
     dims: int = 1024
     seed: int = 7
-    codes: np.ndarray = field(init=False, repr=False)
-    items: np.ndarray = field(init=False, repr=False)
-
-    def __post_init__(self) -> None:
-        rng = np.random.default_rng(self.seed)
-        letters = rng.choice(np.array([-1, 1], np.int8), (_MOST_CODES, self.dims))
-        # items[k]: the letters' vectors as they stand k places before an n-gram's end.
-        self.items = np.stack([np.roll(letters, k, axis=1) for k in range(self.gram)])
-        self.codes = np.full(1 << 17, _MOST_CODES - 1, np.uint8)
-        self.codes[0] = 0
-        for i, c in enumerate(self.alphabet[: _MOST_CODES - 2]):
-            self.codes[c] = i + 1
-
-    def gram_vectors(self, grams: np.ndarray) -> np.ndarray:
-        out = np.ones((len(grams), self.dims), np.int8)
+
+    def letter_vectors(self, points: np.ndarray) -> np.ndarray:
+        """The vectors of code points: bits of a hash (splitmix64) of the seed, the code point and the place."""
+        words = -(-self.dims // 64)
+        x = points.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64) + (np.uint64(self.seed) << np.uint64(40))
+        x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(points), -1), axis=1)[:, : self.dims]
+        return bits.astype(np.int8) * np.int8(2) - np.int8(1)
+
+    def gram_vectors(self, letters: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The vectors of the n-grams that begin at the places `first` of `code` (rows of `letters`)."""
+        out = np.ones((len(first), self.dims), np.int8)
         for k in range(self.gram):
-            out *= self.items[k][grams // _MOST_CODES**k % _MOST_CODES]
+            out *= np.roll(letters[code[first + self.gram - 1 - k]], k, axis=1)
         return out.astype(np.float32)
 
     def vectors(self, texts: pa.Array, cells: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
         """Unit vectors of the texts (zeros without n-grams) and which texts have letters."""
         points, offsets = _points(texts)
         n = len(offsets) - 1
-        code = self.codes[points].astype(np.int64)
+        there = np.zeros(0x110000, bool)
+        there[points] = there[0] = True
+        alphabet = np.flatnonzero(there)
+        code = np.cumsum(there)[points] - 1
         doc = np.repeat(np.arange(n), np.diff(offsets))
         letters = np.bincount(doc[code > 0], minlength=n) > 0
         # A gap before and after each text and one for each run of other characters.
@@ -95,23 +99,48 @@ class Profiles:
         code, doc = np.insert(code, edge, 0), np.insert(doc, edge, doc[edge] if len(edge) else 0)
         code, doc = np.append(code, 0), np.append(doc, -1)
         g = self.gram
-        grams = np.zeros(max(len(code) - g + 1, 0), np.int64)
+        grams, top = np.zeros(max(len(code) - g + 1, 0), np.int64), 1
         for k in range(g):
-            grams = grams * _MOST_CODES + code[k : len(code) - g + 1 + k]
-        inside = (doc[: len(grams)] == doc[g - 1 :]) & (grams % _MOST_CODES + grams // _MOST_CODES % _MOST_CODES > 0)
-        grams, doc = grams[inside], doc[: len(inside)][inside]
-        present = np.zeros(_MOST_CODES**g, bool)
-        present[grams] = True
-        kinds = np.flatnonzero(present)
-        at = np.cumsum(present) - 1
-        vectors = self.gram_vectors(kinds)
+            if top * len(alphabet) >= 1 << 62:
+                kinds, grams = np.unique(grams, return_inverse=True)
+                top = len(kinds)
+            grams, top = grams * len(alphabet) + code[k : len(code) - g + 1 + k], top * len(alphabet)
+        # Within one text, and not of gaps at both of the last two places.
+        inside = (doc[: len(grams)] == doc[g - 1 :]) & (code[g - 1 :] + (code[g - 2 : -1] if g > 1 else 0) > 0)
+        begins = np.flatnonzero(inside)
+        grams, doc = grams[begins], doc[begins]
+        # The distinct n-grams, a place where each is, and the number of each place's.
+        if top <= 1 << 20:
+            place = np.full(top, -1, np.int64)
+            place[grams] = begins
+            kinds = np.flatnonzero(place >= 0)
+            first, at = place[kinds], (np.cumsum(place >= 0) - 1)[grams]
+        else:
+            kinds, first, at = np.unique(grams, return_index=True, return_inverse=True)
+            first = begins[first]
+        letters_of = self.letter_vectors(alphabet)
         out = np.zeros((n, self.dims), np.float32)
-        rows = max(1, cells // max(len(kinds), 1))
-        for a in range(0, n, rows):
-            b = min(a + rows, n)
-            lo, hi = np.searchsorted(doc, [a, b])
-            counts = np.bincount((doc[lo:hi] - a) * len(kinds) + at[grams[lo:hi]], minlength=(b - a) * len(kinds))
-            out[a:b] = counts.reshape(b - a, len(kinds)).astype(np.float32) @ vectors
+        pairs, times = np.unique(doc * max(len(kinds), 1) + at, return_counts=True) if n * len(kinds) > 20 * len(at) else (None, None)
+        if pairs is not None and n * len(kinds) > 20 * len(pairs):
+            # Few n-grams are shared: each text's vectors are added as they are.
+            step = max(1, cells // self.dims)
+            for lo in range(0, len(pairs), step):
+                row, kind = pairs[lo : lo + step] // len(kinds), pairs[lo : lo + step] % len(kinds)
+                heads = np.flatnonzero(np.diff(row, prepend=-1))
+                out[row[heads]] += np.add.reduceat(self.gram_vectors(letters_of, code, first[kind]) * times[lo : lo + step, None].astype(np.float32), heads)
+        else:
+            # A product of counts and vectors, at most `cells` counts and so many vectors' places at a time.
+            step = max(1, 4 * cells // self.dims)
+            for left in range(0, len(kinds), step):
+                vectors = self.gram_vectors(letters_of, code, first[left : left + step])
+                mine = np.flatnonzero((at >= left) & (at < left + step)) if len(kinds) > step else slice(None)
+                own, kind, wide = doc[mine], at[mine] - left, len(vectors)
+                rows = max(1, cells // wide)
+                for a in range(0, n, rows):
+                    b = min(a + rows, n)
+                    lo, hi = np.searchsorted(own, [a, b])
+                    counts = np.bincount((own[lo:hi] - a) * wide + kind[lo:hi], minlength=(b - a) * wide)
+                    out[a:b] += counts.reshape(b - a, wide).astype(np.float32) @ vectors
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0), letters
 
@@ -137,7 +166,7 @@ def train(docs: DataFrame, gram: int = 3, dims: int = 1024, texts_per_lang: int
     A bounded sample: of each of the `most_langs` commonest languages the texts whose hash lies
     under a cut that about `texts_per_lang` texts pass; the scan itself takes them, so nothing is
     shuffled. Texts of over `most_chars` characters are no training texts. Vectors are bundled in
-    tasks: the driver gets a vector a task and language, and letter counts. Without training rows
+    tasks: the driver gets a vector a task and language. Without training rows
     the profiles know no language and predict `und`.
     """
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -150,14 +179,7 @@ def train(docs: DataFrame, gram: int = 3, dims: int = 1024, texts_per_lang: int
         chosen = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(span)) < F.coalesce(cut, F.lit(0))
     sample = rows.filter(chosen & (F.length("text") <= most_chars)).select("lang", "text").persist()
 
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            points, _ = _points(batch.column("text"))
-            c, n = np.unique(points[points > 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(n)], ["c", "n"])
-
-    common = sample.select("text").mapInArrow(letters, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(_MOST_CODES - 2)
-    blank = Profiles(sorted(r["c"] for r in common.collect()), [], np.zeros((0, dims), np.float32), gram, dims)
+    blank = Profiles([], np.zeros((0, dims), np.float32), gram, dims)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -177,7 +199,7 @@ def train(docs: DataFrame, gram: int = 3, dims: int = 1024, texts_per_lang: int
     if not langs:
         return blank
     prototypes = np.stack([total[k] / np.linalg.norm(total[k]) for k in langs]).round(9).astype(np.float32)
-    return Profiles(blank.alphabet, langs, prototypes, gram, dims)
+    return Profiles(langs, prototypes, gram, dims)
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:

@@ -208,6 +208,42 @@ def test_op2_without_letters(spark):
     assert {(r["lang_pred"], r["score"]) for r in language_id.identify(odd, p).collect()} == {("und", 0.0)}
 
 
+def plain_vector(p, text):
+    """The sum of the n-grams' vectors, letter by letter."""
+    line = " " + re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in text))
+    item = {c: p.letter_vectors(np.array([0 if c == " " else ord(c)]))[0].astype(int) for c in set(line)}
+    total = np.zeros(p.dims, int)
+    for i in range(len(line) - p.gram + 1):
+        if line[i : i + p.gram].endswith("  "):
+            continue
+        total += np.prod([np.roll(item[line[i + k]], p.gram - 1 - k) for k in range(p.gram)], axis=0)
+    return total / np.linalg.norm(total)
+
+
+def test_op2_vectors():
+    rng = random.Random(12)
+    letters = [chr(c) for c in (*range(97, 123), *range(0x430, 0x450), *range(0x3B1, 0x3C9), *range(0x4E00, 0x5200), *range(0x20000, 0x20040))]
+    few = [" ".join("".join(rng.choice(letters[:8]) for _ in range(4)) for _ in range(30)) for _ in range(20)]
+    many = ["".join(rng.choice([*letters, " ", ", "]) for _ in range(200)) for _ in range(40)]
+    for texts in (few, many, few + many):
+        for p in (language_id.Profiles([], np.zeros((0, 96), np.float32), dims=96), language_id.Profiles([], np.zeros((0, 70), np.float32), gram=2, dims=70)):
+            for cells in (2 << 20, 500):
+                unit, has = p.vectors(pa.array(texts), cells)
+                assert has.all() and np.allclose(unit, [plain_vector(p, t) for t in texts], atol=1e-5)
+
+
+def test_op2_with_many_letters(spark):
+    """Pairs of languages that share a rare or large script, next to a Latin one with most of the letters' uses."""
+    rng = random.Random(13)
+    scripts = {"la": (0x61, 26, 900), "ru": (0x430, 32, 40), "uk": (0x430, 32, 40), "zh": (0x4E00, 3000, 40), "ja": (0x4E00, 3000, 40), "xa": (0x20000, 500, 40), "xb": (0x20000, 500, 40)}
+    words = {k: ["".join(chr(a + rng.randrange(n)) for _ in range(rng.randint(2, 4))) for _ in range(200)] for k, (a, n, _) in scripts.items()}
+    rows = [" ".join(rng.choice(words[k]) for _ in range(40)) for k, (_, _, m) in scripts.items() for _ in range(m)]
+    langs = [k for k, (_, _, m) in scripts.items() for _ in range(m)]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(rows, langs, strict=True))], "doc_id long, text string, lang string")
+    held = [(r["lang_pred"], langs[r["doc_id"]]) for r in language_id.identify(docs, language_id.train(docs, dims=512)).collect() if r["held_out"]]
+    assert {k for _, k in held} == set(scripts) and sum(a == b for a, b in held) >= 0.98 * len(held)
+
+
 def brute_quality(text):
     space = "\x20\x09\x0a\x0b\x0c\x0d"
     words = re.findall(rf"[^{space}]+", text or "")
