@@ -29,7 +29,16 @@ def _runs(texts: pa.Array) -> Spans:
     cuts = np.zeros(len(data) + 1, bool)
     cuts[1:-1] = _LETTER[data[:-1]] & _STOP[data[1:]]
     # The strings of special tokens count only as they are written: then nothing is folded.
-    return Spans(data if b"<|" in data.tobytes() else FOLD[data], offsets, _CUT, cuts)
+    return Spans(data if b"<|" in data.tobytes() else _folded(data), offsets, _CUT, cuts)
+
+
+def _folded(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased but before a byte that isn't ASCII. The normaliser composes before it lower-cases,
+    and a small letter may compose with the marks behind it where the capital doesn't."""
+    out = FOLD[data]
+    kept = np.flatnonzero(data[1:] >= 128)
+    out[kept] = data[kept]
+    return out
 
 
 class RunEncoder:

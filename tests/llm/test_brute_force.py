@@ -47,6 +47,17 @@ def test_run_encoder_gives_the_ids_of_whole_texts():
         assert got[offsets[i] : offsets[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 7], t
 
 
+def test_run_encoder_composes_before_it_folds():
+    """A small letter composes with these marks, the capital doesn't; other runs of the batch are folded."""
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = [*pairs, *(f"Word {p}.Word, aB{p}Cd Word" for p in pairs), "Word WORD word", "\u00dcBER Gr\u00f6\u00dfe"]
+    tok = encoder()
+    for batch in (texts, [*texts, "<|"], *([t] for t in texts)):
+        got, offsets = bpe.RunEncoder(queries.tokenizer_path())(pa.array(batch), 7)
+        for i, t in enumerate(batch):
+            assert got[offsets[i] : offsets[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 7], t
+
+
 def test_dac_round_trip():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 1 << k, 700, dtype=np.uint32) for k in (3, 8, 9, 16, 17, 31)])
