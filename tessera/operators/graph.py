@@ -162,18 +162,26 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def lineage(spark: SparkSession, view: str, start: int | str, most: int = 90) -> DataFrame:
-    """(session_id, parent_session_id, depth) from a session up its parents; a loop or a missing parent ends it."""
-    return spark.sql(
-        f"""with recursive up(session_id, parent_session_id, depth, seen) as (
-              select session_id, parent_session_id, 0, array(session_id) from {view} where session_id = :start
-              union all
-              select s.session_id, s.parent_session_id, u.depth + 1, array_append(u.seen, s.session_id)
-              from up u join {view} s on s.session_id = u.parent_session_id
-              where not array_contains(u.seen, s.session_id) and u.depth < {most})
-            select session_id, parent_session_id, depth from up""",
-        args={"start": start},
-    )
+def lineage(spark: SparkSession, view: str, start: int | str) -> DataFrame:
+    """(session_id, parent_session_id, depth) from a session up its parents; a loop or a missing parent ends it.
+
+    Each round doubles how far the walk has come, until nothing is added.
+    """
+    from tessera.operators.staging import staged
+
+    rows = spark.table(view)
+    jump = rows.select("session_id", F.col("parent_session_id").alias("up")).join(rows.select(F.col("session_id").alias("up")), "up", "left_semi")
+    jump = staged(jump.select("session_id", "up").distinct(), "lineage")
+    seen = rows.filter(F.col("session_id") == F.lit(start)).select("session_id", F.lit(0).alias("depth")).distinct()
+    n, far = 1, 1
+    while True:
+        further = seen.join(jump, "session_id").select(F.col("up").alias("session_id"), (F.col("depth") + far).alias("depth"))
+        seen = staged(seen.unionByName(further).groupBy("session_id").agg(F.min("depth").alias("depth")), "lineage")
+        now = seen.count()
+        if now <= n:
+            return rows.join(seen, "session_id").select("session_id", "parent_session_id", "depth")
+        n, far = now, 2 * far
+        jump = staged(jump.join(jump.select(F.col("session_id").alias("up"), F.col("up").alias("_up")), "up").select("session_id", F.col("_up").alias("up")).distinct(), "lineage")
 
 
 def ancestors(sessions: DataFrame, rounds: int = 40) -> DataFrame:

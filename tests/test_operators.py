@@ -131,6 +131,12 @@ def test_host_switch(spark):
     assert [r["s"] for r in df.select(sessions.host_switch(F.col("live"), F.col("host"), F.lit("me")).alias("s")).collect()] == ["contention", "handoff", "none", "none"]
 
 
+def test_lineage_of_a_long_chain(spark):
+    spark.createDataFrame([(i, i - 1 if i else -5) for i in range(150)], "session_id long, parent_session_id long").createOrReplaceTempView("long_sessions")
+    assert [(r["depth"], r["session_id"]) for r in graph.lineage(spark, "long_sessions", 149).orderBy("depth").collect()] == [(k, 149 - k) for k in range(150)]
+    assert graph.lineage(spark, "long_sessions", 500).collect() == []
+
+
 def test_lineage_survives_a_loop(spark):
     spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 2), (5, 99)], "session_id int, parent_session_id int").createOrReplaceTempView("loop_sessions")
     assert [r["session_id"] for r in graph.lineage(spark, "loop_sessions", 4).orderBy("depth").collect()] == [4, 2, 1, 3]
