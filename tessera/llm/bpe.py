@@ -42,15 +42,15 @@ def _folded(data: np.ndarray) -> np.ndarray:
 
 
 class RunEncoder:
-    """Encodes batches of texts; the cache is dropped whole when it holds `cache_runs` runs."""
+    """Encodes batches of texts; the cache of runs is dropped whole when it takes `cache_bytes`."""
 
-    def __init__(self, path: str, cache_runs: int = 400_000, longest_cached: int = 64):
+    def __init__(self, path: str, cache_bytes: int = 32 << 20, longest_cached: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self._ids(_MARK)
-        self.cache_runs, self.longest = cache_runs, longest_cached
+        self.cache_bytes, self.longest = cache_bytes, longest_cached
         self.known: dict[bytes, int] = {}
         self._reset()
 
@@ -64,6 +64,10 @@ class RunEncoder:
         self.size = np.zeros(1 << 12, np.int64)
         self.used_ids = self.used_runs = 0
 
+    def _held(self) -> int:
+        """About the bytes of the cache: its arrays, and a dictionary entry with its key and number for each run."""
+        return self.ids.nbytes + self.begin.nbytes + self.size.nbytes + 200 * len(self.known)
+
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
@@ -92,7 +96,7 @@ class RunEncoder:
         cut = _runs(texts)
         codes, distinct = cut.codes()
         runs = distinct.to_pylist()
-        if self.used_runs > self.cache_runs:
+        if self._held() > self.cache_bytes:
             self._reset()
         slots = np.fromiter((self.known.get(r, -1) for r in runs), np.int64, len(runs))
         new = np.flatnonzero(slots < 0)

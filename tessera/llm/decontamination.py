@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textarrow import ALNUM, Spans, dense_ranks, slices, spans
+from tessera.llm.textarrow import ALNUM, Spans, dense_ranks, slices, spans, tidied
 
 
 class Ranks:
@@ -250,7 +250,7 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
-    parts = [rows.mapInArrow(_searcher(block), _FOUND) for block in phrase_blocks(benchmark, width, block_bytes)]
+    parts = [rows.mapInArrow(tidied(_searcher(block)), _FOUND) for block in phrase_blocks(benchmark, width, block_bytes)]
     if len(parts) == 1:
         return parts[0].select("doc_id", "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
     union = parts[0]
@@ -281,5 +281,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, bl
         return work
 
     for block in phrase_blocks(benchmark, width, block_bytes):
-        docs = docs.mapInArrow(keeper(block), docs.schema)
+        docs = docs.mapInArrow(tidied(keeper(block)), docs.schema)
     return docs

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import components, store
-from tessera.llm.textarrow import ALNUM, hash_words, slices, spans
+from tessera.llm.textarrow import ALNUM, hash_words, slices, spans, tidied
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, bands), pa.int32()), pa.array(hashes.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.diff(offsets)), lists], ["doc_id", "d1", "d2", "size", "bands"])
 
-    return docs.mapInArrow(sign, "doc_id long, d1 long, d2 long, size long, bands array<long>")
+    return docs.mapInArrow(tidied(sign), "doc_id long, d1 long, d2 long, size long, bands array<long>")
 
 
 def _links(a: list[np.ndarray], b: list[np.ndarray], threshold: float, width: int = 4096) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textarrow import buffers, slices
+from tessera.llm.textarrow import buffers, slices, tidied
 
 #: The label of texts without letters.
 UNKNOWN = "und"
@@ -192,7 +192,7 @@ def train(docs: DataFrame, gram: int = 3, dims: int = 1024, texts_per_lang: int
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([v.tolist()], pa.list_(pa.float64()))], ["lang", "v"])
 
     total: dict[str, np.ndarray] = {}
-    for row in sample.mapInArrow(bundle, "lang string, v array<double>").collect():
+    for row in sample.mapInArrow(tidied(bundle), "lang string, v array<double>").collect():
         total[row["lang"]] = total.get(row["lang"], 0) + np.array(row["v"])
     sample.unpersist()
     langs = sorted(k for k, v in total.items() if np.linalg.norm(v) > 0)
@@ -211,4 +211,4 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidied(label), "doc_id long, held_out boolean, lang_pred string, score double")

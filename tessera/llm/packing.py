@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, store
-from tessera.llm.textarrow import slices
+from tessera.llm.textarrow import slices, tidied
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -28,7 +28,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe.encoder(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids, offsets = encode(batch.column("text"), end_id)
             n = np.diff(offsets)
             per = -(-n // capacity)
@@ -39,7 +39,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(bpe.crc32_of_slices(ids, begin, begin + length)), pa.array(n[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, PIECE)
+    return rows.mapInArrow(tidied(cut), PIECE)
 
 
 def closest_subset(lengths: list[int], counts: list[int], room: int) -> list[int]:
@@ -128,7 +128,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, pieces_per_cell: int = 4096) -
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cells)
     order = ["cell", "length", "doc_id", "start", "ids_crc32"]
     dealt = kept.select("*", cell).repartition(parts, "cell").sortWithinPartitions(*order)
-    return dealt.mapInArrow(fill, PIECE + ", sequence_id long, offset long")
+    return dealt.mapInArrow(tidied(fill), PIECE + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textarrow import LEAD, SPACED, byte_class, dense_ranks, lines, slices, spans
+from tessera.llm.textarrow import LEAD, SPACED, byte_class, dense_ranks, lines, slices, spans, tidied
 
 _SYMBOLS = byte_class(b"#*$%&|<>")
 _WINDOW = 8
@@ -91,7 +91,7 @@ def ledger(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[m].astype(np.int64)) for m in MEASURES)], ["doc_id", *MEASURES])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = rows.mapInArrow(evaluate, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = rows.mapInArrow(tidied(evaluate), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = [F.when(F.expr(fails), F.lit(BIT[name])).otherwise(F.lit(0)) for name, fails in RULES]
     return measured.withColumn("failed", reduce(Column.bitwiseOR, bits))
 

@@ -2,38 +2,83 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: list[str] = []
+_KNOWN: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; one of our own only where that is unset (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tessera-shared"
-    return named.rstrip("/")
+    """The folder named by `spark.checkpoint.dir`. Where it is unset, a temporary folder serves a single
+    machine (`local[...]`); on a cluster that is an error, as no other machine would see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return f"file://{tempfile.gettempdir()}/tessera-shared"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder; it goes when Python ends."""
+    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    if path not in _KNOWN:
+        _KNOWN.add(path)
+        atexit.register(_clear_at_exit, spark, path)
+    return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([own_dir(spark), *_SCRATCH, f"{name}-{uuid.uuid4().hex}"])
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Drop this application's intermediate tables, once no result that reads them is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, own_dir(spark))
+
+
+def _clear_at_exit(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        drop(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside are dropped at the end; write what is needed of the result before."""
+    _SCRATCH.append(f"scratch-{uuid.uuid4().hex}")
+    path = "/".join([own_dir(spark), *_SCRATCH])
+    try:
+        yield path
+    finally:
+        _SCRATCH.pop()
+        drop(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back: the plan starts anew there."""
-    spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    return written_to(df, new_path(df.sparkSession, name))
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of `make()` as a table of its own; the intermediate tables behind it are dropped."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        return written_to(make(), path)

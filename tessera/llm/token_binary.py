@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, store
-from tessera.llm.textarrow import slices
+from tessera.llm.textarrow import slices, tidied
 
 #: Fixed values of the format: magic, bits of each level's chunks, bits counted by one rank entry.
 MAGIC = b"TDAC1\0\0\0"
@@ -144,7 +144,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int, tokens
             at, held = at + 1, 0
             return row
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             got, offsets = encode_(batch.column("text"), end_id)
             ids.append(got)
             counts.append(np.diff(offsets))
@@ -159,7 +159,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int, tokens
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = max(rows.select("doc_id").count() // docs_per_part, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(encode, SEGMENT).write.parquet(path)
+    rows.mapInArrow(tidied(encode), SEGMENT).write.parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +192,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, at, np.int32)), pa.array(seg.doc_ids), pa.array(off[:-1]), pa.array(np.diff(off)), pa.array(crcs)], ["part", "at", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
     images = spark.read.schema(SEGMENT).parquet(path).select("part", "at", "image")
-    docs = images.mapInArrow(decode, "part int, at int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = images.mapInArrow(tidied(decode), "part int, at int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     index = read_index(spark, path).select("part", "at", "first_token")
     named = F.when(F.col("doc_id") >= 0, F.col("doc_id")).alias("doc_id")
     return docs.join(index, ["part", "at"]).select(named, (F.col("first_token") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textarrow import ALNUM, distinct, slices, spans
+from tessera.llm.textarrow import ALNUM, distinct, slices, spans, tidied
 
 _BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 5000, most_featur
         some = np.flatnonzero(counts.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[0][some], docs_of[0]).astype(np.int64)), pa.array(np.append(counts[1][some], docs_of[1]).astype(np.int64))], ["f", "clean", "toxic"])
 
-    tallied = chosen.mapInArrow(tally, "f long, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
+    tallied = chosen.mapInArrow(tidied(tally), "f long, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
     total = tallied.filter("f = -1").first()
     if not total or not total["clean"] or not total["toxic"]:
         return None
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 5000, most_featur
             vals = pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(strong.astype(np.int32)), cols, vals], ["toxic", "strong", "cols", "vals"])
 
-    table = chosen.mapInArrow(rows_of, "toxic int, strong int, cols array<int>, vals array<int>").toArrow()
+    table = chosen.mapInArrow(tidied(rows_of), "toxic int, strong int, cols array<int>, vals array<int>").toArrow()
     chosen.unpersist(), tallied.unpersist()
     toxic, strong = table["toxic"].to_numpy(), table["strong"].to_numpy()
     grades = np.where(toxic == 0, 0, 1 + (strong > 1) + (strong > 3))
@@ -233,7 +233,7 @@ def rate(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(p[:, 0]), pa.array(grade > 0)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
+    return rows.mapInArrow(tidied(work), "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5) -> DataFrame:
@@ -243,4 +243,4 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5) ->
         for batch in slices(batches, "text", 4 << 20):
             yield batch.filter(pa.array(_rated(batch, model)[:, 0] < cut))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidied(work), docs.schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import store
+from tessera.llm.textarrow import tidied
 
 ARCHIVE = "archive string, content binary"
 INDEXED = "archive string, content binary, index array<struct<record:string,offset:long,length:long>>"
@@ -129,7 +130,7 @@ def write_archives(pages: DataFrame, path: str, bytes_per_archive: int = 16 << 2
         if z is not None:
             yield closed()
 
-    pages.select("page_id", "url", "payload", "refers_to").mapInArrow(work, ARCHIVE).write.parquet(path)
+    pages.select("page_id", "url", "payload", "refers_to").mapInArrow(tidied(work), ARCHIVE).write.parquet(path)
 
 
 def normalise(archives: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                 kind = pa.list_(pa.struct([("record", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(members)], pa.binary()), pa.array([index], kind)], ["archive", "content", "index"])
 
-    return archives.select("archive", "content").mapInArrow(work, INDEXED)
+    return archives.select("archive", "content").mapInArrow(tidied(work), INDEXED)
 
 
 def _page(value: str) -> int | None:
@@ -177,7 +178,7 @@ def read_pages(indexed: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return indexed.mapInArrow(work, schema)
+    return indexed.mapInArrow(tidied(work), schema)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
