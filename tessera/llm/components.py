@@ -30,13 +30,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     `edges` has columns u and v (long, no nulls); loops and repeats are ignored.
     """
-    now, seen = store.written(_small_star(edges), "star"), None
+    spark = edges.sparkSession
+    path = store.new_path(spark, "star")
+    now, seen = store.written_to(_small_star(edges), path), None
     for _ in range(most_rounds):
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if sums == seen or not sums["n"]:
             break
         seen = sums
-        now = store.written(_small_star(_large_star(now)), "star")
+        # Nothing but the next round reads a round's edges.
+        last, path = path, store.new_path(spark, "star")
+        now = store.written_to(_small_star(_large_star(now)), path)
+        store.drop(spark, last)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -21,7 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, n=5, recall=0.9999)
+    found = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, n=5, recall=0.9999)
+    return found.select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
