@@ -1,29 +1,35 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a slice of a task's documents. Its words are numbered by the vocabulary of the test
-phrases; other words, and the ends of documents, are separators no phrase can hold, and runs of
-words shorter than the shortest phrase are left out, so the index has every place where a
-phrase can be and no other. Over these runs:
+A shard is a slice of a task's documents. Its words are numbered; words that no test phrase has,
+and the ends of documents, are separators no phrase can hold, and runs of words shorter than the
+shortest phrase are left out, so the index has every place where a phrase can be. Over these runs:
 
 * suffixes are ranked by prefix doubling, each separator smaller than any word and unlike any other;
 * the Burrows-Wheeler transform is kept in a wavelet matrix with rank directories;
 * all phrases are searched backward at once, two ranks a word;
 * occurrences are located by stepping back to the nearest sampled suffix position.
 
-Occurrences are merged into spans. Test phrases are broadcast in blocks of bounded size; each
-block is searched in all documents.
+Occurrences are merged into spans. Test phrases are prepared by tasks in blocks of bounded size,
+files in the shared folder. A shard's index is built once, and all blocks are searched in it, one
+after the other; the driver has the blocks' names and a bitmap of fixed size that says which words
+may be in a phrase (a word that is let through by chance is only one more word in the index).
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textarrow import ALNUM, Spans, dense_ranks, slices, spans, tidied
+from tessera.llm import files, store
+from tessera.llm.textarrow import ALNUM, Spans, dense_ranks, hash_words, slices, spans, tidied
 
 
 class Ranks:
@@ -135,151 +141,221 @@ class FMIndex:
         return out
 
 
+#: Bits of the bitmap of words that may be in a phrase.
+VOCABULARY_BITS = 1 << 20
+
+
 class Phrases:
-    """The windows of a block of test items: a vocabulary, distinct windows by length, and the items of each."""
+    """The windows of a block of test items: the words, distinct windows by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
-        texts = pa.array([t for _, t in items], pa.string())
+    def __init__(self, names: list[str], texts: pa.Array, width: int):
         found = spans(texts, ALNUM, fold=True)
-        codes, distinct = found.codes()
-        self.names = [i for i, _ in items]
-        self.vocabulary = {w: k + 1 for k, w in enumerate(distinct.to_pylist())}
-        seen: dict[bytes, int] = {}
-        windows: list[np.ndarray] = []
-        owners: list[set[int]] = []
-        for item in range(len(items)):
-            words = codes[found.of[item] : found.of[item + 1]] + 1
-            for at in range(max(len(words) - width + 1, 1) if len(words) else 0):
-                window = words[at : at + width]
-                k = seen.setdefault(window.tobytes(), len(windows))
-                if k == len(windows):
-                    windows.append(window)
-                    owners.append(set())
-                owners[k].add(item)
-        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
-        for length in sorted({len(w) for w in windows}):
-            which = np.array([k for k, w in enumerate(windows) if len(w) == length])
-            self.by_length.append((which, np.stack([windows[k] for k in which]).astype(np.int32)))
-        self.shortest = min((len(w) for w in windows), default=0)
-        self.owner_of = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owners = np.array([i for o in owners for i in sorted(o)], np.int64)
-
-
-def find(texts: pa.Array, phrases: Phrases) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
-    """Build the index of one shard and search it: the words, which are hit, and (text, item) pairs once each."""
+        codes, self.words = found.codes()
+        self.names = names
+        counts = found.counts()
+        per = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+        item = np.repeat(np.arange(len(counts)), per)
+        first = np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per) + found.of[:-1][item]
+        length = np.minimum(counts, width)[item]
+        #: For each length: the distinct windows as words, and the items of window k: owners[of[k] : of[k + 1]].
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(length).tolist():
+            mine = np.flatnonzero(length == n)
+            table = np.ascontiguousarray(codes[first[mine][:, None] + np.arange(n)], np.int32)
+            kind = pa.Array.from_buffers(pa.binary(4 * n), len(mine), [None, pa.py_buffer(table)]).dictionary_encode().indices.to_numpy().astype(np.int64)
+            distinct = np.zeros((int(kind.max()) + 1, n), np.int32)
+            distinct[kind] = table
+            pair = np.unique(kind << 32 | item[mine])
+            self.by_length.append((distinct, np.searchsorted(pair >> 32, np.arange(len(distinct) + 1)), pair & 0xFFFFFFFF))
+        self.shortest = int(length.min()) if len(length) else 0
+
+
+@dataclass
+class PhraseBlocks:
+    """Where the blocks are, the words that may be in a phrase (bits by hash), and the shortest phrase's words."""
+
+    addresses: list[str]
+    vocabulary: np.ndarray
+    shortest: int
+
+    def may_hold(self, words: pa.Array) -> np.ndarray:
+        at = (hash_words(words) % np.uint64(VOCABULARY_BITS)).astype(np.int64)
+        return self.vocabulary[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) > 0
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for address in self.addresses:
+            yield _block(address)
+
+
+_HELD: OrderedDict[str, tuple[Phrases, int]] = OrderedDict()
+
+
+def _block(address: str, most_bytes: int = 48 << 20) -> Phrases:
+    """A block of phrases; a worker keeps those used last, of so many bytes together."""
+    if address in _HELD:
+        _HELD.move_to_end(address)
+    else:
+        raw = files.read(address)
+        _HELD[address] = (pickle.loads(raw), len(raw))
+        while len(_HELD) > 1 and sum(n for _, n in _HELD.values()) > most_bytes:
+            _HELD.popitem(last=False)
+    return _HELD[address][0]
+
+
+def phrase_blocks(benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> PhraseBlocks:
+    """The test items (item_id, text) in blocks of about `block_bytes` of text (one item at least), dealt by a hash.
+
+    Items without an id or text have no windows. Tasks prepare the blocks; the driver gets their names.
+    """
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    folder = files.new_folder(spark, store.new_path(spark, "phrases"))
+
+    def prepare(table: pa.Table) -> pa.Table:
+        phrases = Phrases(table["item_id"].to_pylist(), table["text"].combine_chunks(), width)
+        address = files.new_name(folder, "block", ".phrases")
+        files.write(address, [pickle.dumps(phrases, protocol=5)])
+        bits = np.zeros(VOCABULARY_BITS // 64, np.uint64)
+        at = hash_words(phrases.words) % np.uint64(VOCABULARY_BITS)
+        np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        return pa.table({"address": [address], "shortest": pa.array([phrases.shortest], pa.int32()), "bits": pa.array([bits.view(np.int64)], pa.list_(pa.int64()))})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    made = store.written(dealt.groupBy("block").applyInArrow(prepare, "address string, shortest int, bits array<long>"), "phrase-blocks")
+    named = made.filter("shortest > 0").select("address", "shortest").collect()
+    words = made.select(F.posexplode("bits").alias("at", "word")).filter("word <> 0").groupBy("at").agg(F.bit_or("word").alias("word")).collect()
+    vocabulary = np.zeros(VOCABULARY_BITS // 64, np.int64)
+    vocabulary[[r["at"] for r in words]] = [r["word"] for r in words]
+    return PhraseBlocks(sorted(r["address"] for r in named), vocabulary.view(np.uint64), min((r["shortest"] for r in named), default=0))
+
+
+def find(texts: pa.Array, blocks: PhraseBlocks) -> tuple[Spans, np.ndarray, np.ndarray, list[str]]:
+    """Build the index of one shard and search all blocks in it: the words, which are hit, and in the texts' order
+    the texts with an item and those items (a pair may come twice if several blocks hold an id)."""
     found = spans(texts, ALNUM, fold=True)
     codes, distinct = found.codes()
-    hit = np.zeros(len(found), bool)
-    nothing = np.zeros(0, np.int64)
-    if not phrases.shortest or not len(found):
-        return found, hit, nothing, nothing
-    known = np.fromiter((phrases.vocabulary.get(w, 0) for w in distinct.to_pylist()), np.int64, len(distinct))
-    symbols = known[codes]
+    cover = np.zeros(len(found) + 1, np.int64)
+    nothing = found, cover[:-1] > 0, np.zeros(0, np.int64), []
+    if not blocks.shortest or not len(found):
+        return nothing
+    known = np.flatnonzero(blocks.may_hold(distinct))
+    number = np.zeros(len(distinct), np.int64)
+    number[known] = np.arange(1, len(known) + 1)
+    symbols = number[codes]
     runs = Spans((symbols > 0).view(np.uint8), found.of, np.arange(256) > 0)
     size = runs.ends - runs.starts
-    long = size >= phrases.shortest
+    long = size >= blocks.shortest
     start, size = runs.starts[long], size[long]
     if not len(start):
-        return found, hit, nothing, nothing
+        return nothing
     begin = np.cumsum(size + 1) - size - 1
     place = np.repeat(start - begin, size + 1) + np.arange(int((size + 1).sum()))
     text = symbols[np.minimum(place, len(symbols) - 1)]
     text[begin + size] = 0
-    index = FMIndex(text, len(phrases.vocabulary))
-    cover = np.zeros(len(found) + 1, np.int64)
-    text_of, pairs = found.text_of(), []
-    for which, words in phrases.by_length:
-        low, high = index.search(words)
-        n = np.maximum(high - low, 0)
-        some = np.flatnonzero(n)
-        per = n[some]
-        suffixes = np.repeat(low[some] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-        at = place[index.locate(suffixes)]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + words.shape[1], -1)
-        window = which[np.repeat(some, per)]
-        times = phrases.owner_of[window + 1] - phrases.owner_of[window]
-        item = phrases.owners[np.repeat(phrases.owner_of[window] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
-        pairs.append(np.unique(np.repeat(text_of[at], times) * np.int64(len(phrases.names)) + item))
-    pair = np.unique(np.concatenate(pairs))
-    return found, np.cumsum(cover)[:-1] > 0, pair // len(phrases.names), pair % len(phrases.names)
-
-
-_FOUND = "doc_id long, h1 long, h2 long, n_words long, spans array<struct<first:long,last:long,begin:long,end:long>>, items array<string>"
-
-
-def _searcher(phrases: Phrases):
+    index = FMIndex(text, len(known))
+    words, text_of = distinct.take(pa.array(known)), found.text_of()
+    docs, items = [], []
+    for phrases in blocks:
+        # The shard's number of each of the block's words; windows with a word that the shard lacks aren't there.
+        own = pc.index_in(phrases.words, value_set=words).fill_null(-1).to_numpy().astype(np.int64) + 1
+        for windows, of, owners in phrases.by_length:
+            table = own[windows]
+            there = np.flatnonzero(table.all(axis=1))
+            low, high = index.search(table[there])
+            n = np.maximum(high - low, 0)
+            some = np.flatnonzero(n)
+            per = n[some]
+            suffixes = np.repeat(low[some] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            at = place[index.locate(suffixes)]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + windows.shape[1], -1)
+            window = np.repeat(there[some], per)
+            times = of[window + 1] - of[window]
+            item = owners[np.repeat(of[window] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+            pair = np.unique(np.repeat(text_of[at], times) << 32 | item)
+            docs.append(pair >> 32)
+            items += [phrases.names[i] for i in (pair & 0xFFFFFFFF).tolist()]
+    doc = np.concatenate(docs)
+    order = np.argsort(doc, kind="stable")
+    return found, np.cumsum(cover)[:-1] > 0, doc[order], [items[i] for i in order.tolist()]
+
+
+_FOUND = "doc_id long, n_words long, spans array<struct<first:long,last:long,begin:long,end:long>>, items array<string>"
+
+
+def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """A row for each row of `docs` (doc_id, text): doc_id, n_words, `spans` (merged: words first..last - 1,
+    bytes begin..end - 1 of the UTF-8 text) and `items` (distinct item ids as strings, sorted).
+
+    Null and empty texts have no words; rows that repeat come as often; an empty table stays empty, and
+    with no items nothing is found. Further columns are left out.
+    """
+    blocks = phrase_blocks(benchmark, width, block_bytes)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found, hit, doc, item = find(batch.column("text"), phrases)
-            n = batch.num_rows
+        for batch in slices(batches, "text", 8 << 20):
+            found, hit, doc, item = find(batch.column("text"), blocks)
             runs = Spans(hit.view(np.uint8), found.of, np.arange(256) > 0)
             text = runs.text_of()
             base = found.offsets[:-1][text]
             fields = [runs.starts - found.of[:-1][text], runs.ends - found.of[:-1][text], found.starts[runs.starts] - base, found.ends[runs.ends - 1] - base]
             each = pa.StructArray.from_arrays([pa.array(f) for f in fields], ["first", "last", "begin", "end"])
             spans_ = pa.ListArray.from_arrays(pa.array(runs.of, pa.int32()), each)
-            items = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.array([phrases.names[i] for i in item], pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(found.counts()), spans_, items], ["doc_id", "h1", "h2", "n_words", "spans", "items"])
+            items = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(item, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.counts()), spans_, items], ["doc_id", "n_words", "spans", "items"])
 
-    return work
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(tidied(work), _FOUND).withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
-def phrase_blocks(benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> Iterator[Phrases]:
-    """The test items (item_id, text) in blocks of at most `block_bytes` of text (one item at least), by id.
-
-    Items without an id or text have no windows. A block is fetched when its turn comes.
-    """
-    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    held, size = [], 0
-    for r in rows.toLocalIterator():
-        own = len(r["text"].encode())
-        if held and size + own > block_bytes:
-            yield Phrases(held, width)
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += own
-    yield Phrases(held, width)
-
-
-def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """A row for each row of `docs` (doc_id, text): doc_id, n_words, `spans` (merged: words first..last - 1,
-    bytes begin..end - 1 of the UTF-8 text) and `items` (distinct item ids as strings, sorted).
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no window of any test item.
 
-    Null and empty texts have no words. With several blocks their spans and items are merged.
+    Null and empty texts stay, as do rows that repeat; an empty table stays empty.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
-    parts = [rows.mapInArrow(tidied(_searcher(block)), _FOUND) for block in phrase_blocks(benchmark, width, block_bytes)]
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    merged = union.groupBy("doc_id", "h1", "h2").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("rows"))
-    folded = F.expr(
-        """aggregate(all, cast(array() as array<struct<first:bigint,last:bigint,begin:bigint,end:bigint>>), (acc, s) ->
-             case when size(acc) > 0 and element_at(acc, -1).last >= s.first
-                  then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, s.last),
-                       'begin', element_at(acc, -1).begin, 'end', greatest(element_at(acc, -1).end, s.end))))
-                  else concat(acc, array(s)) end)"""
-    )
-    return merged.select("doc_id", "n_words", folded.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "rows")).alias("copy")).drop("copy")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no window of any test item."""
+    blocks = phrase_blocks(benchmark, width, block_bytes)
 
-    def keeper(phrases: Phrases):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
-                _, _, doc, _ = find(batch.column("text"), phrases)
-                clean = np.ones(batch.num_rows, bool)
-                clean[doc] = False
-                yield batch.filter(pa.array(clean))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            _, _, doc, _ = find(batch.column("text"), blocks)
+            clean = np.ones(batch.num_rows, bool)
+            clean[doc] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(tidied(work), docs.schema)
+
+
+def without_spans(texts: pa.Array, blocks: PhraseBlocks) -> tuple[pa.Array, np.ndarray]:
+    """The texts with their merged spans cut out, and which were cut. What a cut joins is searched again, until
+    no text holds a window; a gap between two words stays where a span was."""
+    values, cut = texts.to_pylist(), np.zeros(len(texts), bool)
+    left = np.arange(len(texts))
+    while len(left):
+        found, hit, doc, _ = find(pa.array([values[i] for i in left], pa.string()), blocks)
+        doc = np.unique(doc)
+        runs = Spans(hit.view(np.uint8), found.of, np.arange(256) > 0)
+        for d in doc.tolist():
+            base = found.offsets[d]
+            raw, at, parts = values[left[d]].encode(), 0, []
+            for r in range(runs.of[d], runs.of[d + 1]):
+                parts.append(raw[at : found.starts[runs.starts[r]] - base])
+                at = found.ends[runs.ends[r] - 1] - base
+            values[left[d]] = b"".join([*parts, raw[at:]]).decode()
+        left = left[doc]
+        cut[left] = True
+    return pa.array(values, texts.type), cut
+
+
+def cut_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of `docs`, all columns, with every merged span cut out of `text`. Texts without one are as they were."""
+    blocks = phrase_blocks(benchmark, width, block_bytes)
 
-        return work
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            k = batch.schema.get_field_index("text")
+            text, _ = without_spans(batch.column(k), blocks)
+            yield batch.set_column(k, batch.schema.field(k), text)
 
-    for block in phrase_blocks(benchmark, width, block_bytes):
-        docs = docs.mapInArrow(tidied(keeper(block)), docs.schema)
-    return docs
+    return docs.mapInArrow(tidied(work), docs.schema)
