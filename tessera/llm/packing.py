@@ -1,7 +1,7 @@
 """Packing by minimum bin slack.
 
 Each document's ids are cut into full windows of `capacity` and one remainder. Remainders go
-to cells (a hash of document and place, about `pieces_per_cell` each, so that no cell grows
+to cells (a hash of document, piece and row, about `pieces_per_cell` each, so that no cell grows
 with the input); each cell is packed alone. A window starts with the longest remainder left.
 A bitset of the sums that the multiset of the other lengths can reach, built length by
 length, finds the sum closest to what is left; backtracking through the bitsets gives how
@@ -106,31 +106,44 @@ def fill_windows(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, pieces_per_cell: int = 4096) -> DataFrame:
-    """Add `sequence_id` and `offset` to pieces of 1 to `capacity` tokens; an empty table stays empty."""
+    """Add `sequence_id` and `offset` to pieces of 1 to `capacity` tokens; an empty table stays empty.
+
+    A cell holds about `pieces_per_cell` pieces, and a partition many cells, of which a task holds one at
+    a time. A piece's cell comes from its row and its place in the table, so rows that repeat spread too.
+    """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows).combine_chunks()
-        cells = table.column("cell").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
-        for b, e in zip(edges, edges[1:], strict=False):
-            part = table.slice(b, e - b)
+        for part in by_cell(batches):
+            cell = part.column("cell")[0].as_py()
             window, offset = fill_windows(part.column("length").to_numpy(), capacity)
-            part = part.drop_columns(["cell"]).append_column("sequence_id", pa.array(cells[b] * (1 << 32) + window)).append_column("offset", pa.array(offset))
+            part = part.drop_columns(["cell"]).append_column("sequence_id", pa.array(cell * (1 << 32) + window)).append_column("offset", pa.array(offset))
             yield from part.to_batches()
 
-    spark = pieces.sparkSession
     kept = store.written(pieces, "pieces")
     cells = max(1, -(-kept.count() // pieces_per_cell))
-    cell = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(cells)).alias("cell")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cells)
+    cell = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(cells)).alias("cell")
     order = ["cell", "length", "doc_id", "start", "ids_crc32"]
-    dealt = kept.select("*", cell).repartition(parts, "cell").sortWithinPartitions(*order)
+    dealt = kept.select("*", cell).repartition("cell").sortWithinPartitions(*order)
     return dealt.mapInArrow(tidied(fill), PIECE + ", sequence_id long, offset long")
 
 
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by `cell`, a table a cell."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cells = batch.column("cell").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+        for b, e in zip(edges, edges[1:], strict=False):
+            if b == e:
+                continue
+            if held and held[-1].column("cell")[0].as_py() != cells[b]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(b, e - b))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:
     """Pack whole documents (doc_id, text; further columns are left out) into sequences of at most `capacity` ids."""
     return pack(cut_pieces(docs, tokenizer, end_id, capacity), capacity)
