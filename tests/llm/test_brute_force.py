@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -63,11 +64,37 @@ def test_dac_round_trip():
     ids = np.concatenate([rng.integers(0, 1 << k, 700, dtype=np.uint32) for k in (3, 8, 9, 16, 17, 31)])
     rng.shuffle(ids)
     offsets = np.sort(np.concatenate([[0, len(ids)], rng.integers(0, len(ids), 20)]))
-    seg = token_binary.DacReader(token_binary.dac_encode(ids, offsets, np.arange(len(offsets) - 1)))
+    named = np.arange(len(offsets) - 1) % 3 > 0
+    seg = token_binary.DacReader.of(token_binary.dac_encode(ids, offsets, -np.arange(len(offsets) - 1), named))
     assert [seg.token(i) for i in range(len(ids))] == ids.tolist()
-    for d in range(len(offsets) - 1):
-        assert seg.document(d).tolist() == ids[offsets[d] : offsets[d + 1]].tolist()
-    assert token_binary.DacReader(token_binary.dac_encode(ids[:0], np.zeros(1, int), [])).n_tokens == 0
+    for b, e in zip(offsets, offsets[1:], strict=False):
+        assert seg.tokens(int(b), int(e)).tolist() == ids[b:e].tolist()
+    names, where = seg.documents()
+    assert names.to_pylist() == [-i if named[i] else None for i in range(len(named))] and where.tolist() == offsets.tolist()
+    assert token_binary.DacReader.of(token_binary.dac_encode(ids[:0], np.zeros(1, int), [], np.zeros(0, bool))).n_tokens == 0
+
+
+def test_token_reads_few_bytes():
+    """A token is read from its file by a few short reads, whatever the segment's size."""
+    ids = np.random.default_rng(2).integers(0, 49_000, 200_000, dtype=np.uint32)
+    image = token_binary.dac_encode(ids, np.array([0, len(ids)]), np.array([1]), np.array([True]))
+    took = []
+    seg = token_binary.DacReader(lambda at, n: took.append(n) or image[at : at + n])
+    took.clear()
+    assert seg.token(123_456) == ids[123_456] and sum(took) < 200
+
+
+def test_op3_odd_ids(spark):
+    """Negative, missing and repeated ids: missing ones come first, equal ones stay apart."""
+    tok = encoder()
+    rows = [(-5, "five below"), (None, "no id"), (None, None), (-1, "one below"), (3, "twice"), (3, "twice"), (3, "another")]
+    got = token_binary.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path()).collect()
+    crc = lambda t: zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["ids_crc32"]) for r in got) == sorted((i is not None, i or 0, crc(t)) for i, t in rows)
+    start, last = 0, -100
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == start and (-100 if r["doc_id"] is None else r["doc_id"]) >= last
+        start, last = start + r["n_tokens"], -100 if r["doc_id"] is None else r["doc_id"]
 
 
 def test_op3(spark):
@@ -108,6 +135,16 @@ def test_op5(spark):
     assert len(windows) <= -(-sum(map(len, ids.values())) // 4096) + 1
 
 
+def test_op5_rows_that_repeat(spark):
+    """Rows alike in everything fill many cells, and each lies in one window."""
+    pieces = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(1000).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"), F.lit(1000).cast("long").alias("doc_tokens"))
+    windows = defaultdict(list)
+    for r in packing.pack(pieces, pieces_per_cell=100).collect():
+        windows[r["sequence_id"]].append(r["offset"])
+    assert sum(map(len, windows.values())) == 3000 and all(sorted(w) == [1000 * k for k in range(len(w))] for w in windows.values())
+    assert len({w >> 32 for w in windows}) > 20 and len(windows) <= 750 + 31
+
+
 def test_closest_subset_is_exact():
     rng = random.Random(2)
     for _ in range(200):
@@ -177,6 +214,52 @@ def test_op1(spark, block, shingles):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (want[i], len(links[i])) for i, _ in rows}
 
 
+def brute_rows(rows):
+    """For each row: the rows linked to it, and the least id that it reaches."""
+    links = brute_links(list(enumerate(t for _, t in rows)))
+    links = {k: v for k, v in links.items()}
+    alone = {k for k, (i, t) in enumerate(rows) if i is None or not shingles(t)}
+    links = defaultdict(set, {k: {x for x in v if x not in alone} for k, v in links.items() if k not in alone})
+    group = classes(range(len(rows)), links)
+    least = {}
+    for k, g in group.items():
+        least[g] = min((rows[k][0] for k in group if group[k] == g and rows[k][0] is not None), default=None)
+    return links, group, {k: least[g] for k, g in group.items()}
+
+
+def test_op1_repeated_rows_and_ids(spark):
+    """Rows that repeat, ids with several texts, and texts with several ids; by value, row by row."""
+    base = [t for _, t in near_corpus()]
+    rows = [(i, t) for i, t in enumerate(base)] + [(3, base[3])] * 3 + [(5, base[40 % len(base)]), (7, base[0]), (2, "a text of its own under an id that another text has"), (None, base[0]), (1, None), (1, None)]
+    links, group, least = brute_rows(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs, block=4).collect())
+    assert got == Counter((i, least[k], len(links[k])) for k, (i, _) in enumerate(rows))
+    kept = Counter(map(tuple, jaccard_join.keep_one(docs, block=4).collect()))
+    grouped = defaultdict(list)
+    for k, (i, t) in enumerate(rows):
+        grouped[group[k]].append((i, t))
+    # One row of each group's smallest id; rows without words or an id all stay.
+    assert sum(kept.values()) == len(grouped)
+    for own in grouped.values():
+        ids = [i for i, _ in own if i is not None]
+        assert sum(kept[x] for x in set(own) if not ids or x[0] == min(ids)) >= 1
+
+
+def test_op1_chain(spark):
+    """A chain of groups, each near the next: units are cut by star, no link is lost."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        words = [*words[3:], *(f"w{rng.randrange(10_000)}" for _ in range(3))]
+        rows.append((i, " ".join(words)))
+    links = brute_links(rows)
+    want = classes([i for i, _ in rows], links)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=5).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (want[i], len(links[i])) for i, _ in rows}
+
+
 def test_op1_on_the_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     links = brute_links(rows)
@@ -243,6 +326,25 @@ def test_op2_vectors():
                 assert has.all() and np.allclose(unit, [plain_vector(p, t) for t in texts], atol=1e-5)
 
 
+def test_op2_against_a_plain_loop(spark):
+    """Training and prediction, text by text and letter by letter."""
+    docs = documents(spark).filter("length(text) < 1500").limit(120)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    blank = language_id.Profiles([], np.zeros((0, 64), np.float32), dims=64)
+    unit = {i: plain_vector(blank, t) for i, t, _ in rows if any(c.isalpha() for c in t)}
+    sums = defaultdict(lambda: np.zeros(64))
+    for i, _, lang in rows:
+        if lang is not None and i in unit and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] += unit[i]
+    langs = sorted(sums)
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.train(docs, dims=64, texts_per_lang=10**6)).collect()}
+    for i, v in unit.items():
+        cosines = {k: v @ sums[k] / np.linalg.norm(sums[k]) for k in langs}
+        best = max(cosines.values())
+        assert abs(got[i]["score"] - max(best, 0)) < 1e-4 and cosines[got[i]["lang_pred"]] > best - 1e-4
+
+
 def test_op2_with_many_letters(spark):
     """Pairs of languages that share a rare or large script, next to a Latin one with most of the letters' uses."""
     rng = random.Random(13)
@@ -365,6 +467,29 @@ def test_op8_on_the_table(spark):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0)
 
 
+def test_op8_cuts_spans(spark):
+    """Cut texts hold no window, also where a cut joins words to one; the rest of each text stays."""
+    rng = random.Random(10)
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = spark.createDataFrame([("a", passage), ("b", "short one")], "item_id string, text string")
+    filler = lambda: " ".join(f"f{rng.randrange(50)}" for _ in range(30))
+    nested = " ".join(f"p{i}" for i in range(6)) + " short one " + " ".join(f"p{i}" for i in range(6, 12))
+    rows = [(1, f"{filler()}. {passage.upper()}! {filler()}"), (2, filler()), (3, None), (4, passage), (5, f"x {nested} y"), (6, f"é {passage} é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in decontamination.cut_contaminated(docs, items).collect()}
+    assert out[2] == rows[1][1] and out[3] is None and out[4] == "" and out[6] == "é  é"
+    assert out[1] == rows[0][1].replace(passage.upper(), "") and out[5].split() == ["x", "y"]
+    assert not any(r["items"] for r in decontamination.search(spark.createDataFrame(list(out.items()), "doc_id long, text string"), items).collect())
+
+
+def test_op8_long_text(spark):
+    """A text over the size of a slice is a shard of its own."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    text = "word " * 900_000 + passage + " word" * 900_000
+    got = decontamination.search(spark.createDataFrame([(1, text), (2, passage)], "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert rows_of(got) == {1: (1_800_012, 12, ["1"]), 2: (12, 12, ["1"])}
+
+
 def test_fm_index():
     rng = np.random.default_rng(9)
     text = np.where(rng.random(3000) < 0.05, 0, rng.integers(1, 5, 3000))
@@ -397,15 +522,30 @@ def test_op6(spark):
         assert (r["record_type"], r["refers_to"]) == (("response", None) if i == first else ("revisit", first))
 
 
-def test_normaliser(spark):
-    records = [warc.record_bytes(i, f"http://x/{i}", b"payload %d" % i, None) for i in range(20)]
-    whole = gzip.compress(b"".join(records[:12])) + gzip.compress(b"".join(records[12:]))
-    out = warc.normalise(spark.createDataFrame([("a.warc.gz", whole)], "archive string, content binary")).first()
-    assert gzip.decompress(bytes(out["content"])) == b"".join(records)
-    for record, e in zip(records, out["index"], strict=True):
-        assert warc.inflate(bytes(out["content"])[e["offset"] : e["offset"] + e["length"]]) == record
+def test_op6_odd_ids(spark):
+    """A page -1 and a page without an id: the first is the response, the other revisits it."""
+    rows = [(-1, "u", "same"), (None, "u", "same"), (None, "u", "alone"), (4, "u", "x"), (4, "u", "x"), (6, "u", "x")]
+    got = Counter(tuple(r)[0:1] + tuple(r)[3:] for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == Counter([(-1, "response", None), (None, "revisit", -1), (None, "response", None), (4, "response", None), (4, "response", None), (6, "revisit", 4)])
+
+
+def test_normaliser(spark, tmp_path):
+    """Real files: one stream in, a member a record out, and an index that finds each member."""
+    records = [warc.record_bytes(i, f"http://x/{i}", b"payload %d " % i * (1 if i % 5 else 200_000), None) for i in range(20)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(records[:12])) + gzip.compress(b"".join(records[12:])))
+    source = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "archive string")
+    out = warc.normalise(source, f"file://{tmp_path}/out").first()
+    path = out["archive"].removeprefix("file:")
+    assert path.endswith(".warc.gz") and gzip.open(path).read() == b"".join(records)
+    entries = [json.loads(x) for x in open(out["index"].removeprefix("file:"))]
+    whole = open(path, "rb").read()
+    for i, (record, e) in enumerate(zip(records, entries, strict=True)):
+        assert gzip.decompress(whole[e["offset"] : e["offset"] + e["length"]]) == record and e["target"] == f"http://x/{i}"
+        assert warc.record_at(out["archive"], e["offset"], e["length"])[0]["warc-type"] == "response"
+    with pytest.raises(ValueError):
+        warc.inflate(gzip.compress(b"x" * 100)[:-3])
     with pytest.raises(ValueError):
-        warc.inflate(whole[:-3])
+        list(warc.records_of(iter([gzip.compress(records[1][:-9])])))
 
 
 def test_op9_on_held_out_labels(spark):
@@ -454,10 +594,10 @@ def test_hilbert_index_is_a_walk(spark):
     assert all(sum(abs(x - y) for x, y in zip(p, q, strict=True)) == 1 for (_, p), (_, q) in zip(path, path[1:], strict=False))
 
 
-@pytest.mark.parametrize("rows_per_part", [20_000, 3])
-def test_op10(spark, rows_per_part):
+@pytest.mark.parametrize("least_rows", [20_000, 1])
+def test_op10(spark, least_rows):
     docs = documents(spark)
-    out = hilbert_shards.shard(docs, rows_per_part=rows_per_part).collect()
+    out = hilbert_shards.shard(docs, least_rows=least_rows).collect()
     slots = defaultdict(list)
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
     for r in out:
@@ -472,7 +612,7 @@ def test_op10(spark, rows_per_part):
 def test_op10_copies_of_one_text(spark):
     """A text that fills most of its cell is cut by doc_id; places stay gapless and whole."""
     docs = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"))
-    out = hilbert_shards.shard(docs, shards=7, rows_per_part=10).collect()
+    out = hilbert_shards.shard(docs, shards=7, least_rows=1).collect()
     slots = defaultdict(list)
     for r in out:
         slots[r["shard"]].append(r["slot"])
@@ -480,6 +620,37 @@ def test_op10_copies_of_one_text(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} <= {85, 86}
 
 
+def test_op10_strings_are_ranked_whole(spark):
+    """Sources with a long common start lie apart; their codes follow the order and the counts of whole strings."""
+    docs = spark.range(1600).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("common_crawl_"), F.lit(2000) + F.col("id") % 8).alias("source"))
+    shards = defaultdict(set)
+    for r in hilbert_shards.shard(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        shards[r["source"]].add(r["shard"])
+    assert all(len(v) == 2 for v in shards.values()) and len({s for v in shards.values() for s in v}) == 16
+
+
+def test_op10_codes(spark):
+    """Quantisation against a plain version."""
+    docs = documents(spark).withColumn("source", F.when(F.col("doc_id") % 7 > 0, F.col("source")))
+    codes = hilbert_shards.quantise(docs, {}, {"s": F.col("source"), "l": F.col("lang")}, 3)
+    got = docs.select("source", "lang", codes["s"].alias("s"), codes["l"].alias("l")).collect()
+    for column, code in (("source", "s"), ("lang", "l")):
+        values = sorted((r[column] or "").encode() for r in got)
+        below = {v: values.index(v) for v in set(values)}
+        assert all(r[code] == below[(r[column] or "").encode()] * 8 // len(values) for r in got)
+
+
+def test_op10_writes_every_row_once(spark, tmp_path):
+    rows = [(1, "a", "en", "s", 7), (1, "a", "en", "s", 7), (None, "b", None, None, 8), (2, None, "de", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int")
+    hilbert_shards.write_shards(docs, f"{tmp_path}/out", shards=2)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert Counter(map(tuple, back.select(docs.columns).collect())) == Counter(rows) and "_shard" in back.columns
+    docs.select("doc_id", "text", "lang", "source").write.mode("overwrite").parquet(f"{tmp_path}/in")
+    hilbert_shards.write_shards(spark.read.parquet(f"{tmp_path}/in"), f"{tmp_path}/out2", shards=2)
+    assert {r["shard"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out2").groupBy("shard").count().collect()} == {0: 2, 1: 2}
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 
