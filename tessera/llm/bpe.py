@@ -44,7 +44,7 @@ def _folded(data: np.ndarray) -> np.ndarray:
 class RunEncoder:
     """Encodes batches of texts; the cache of runs is dropped whole when it takes `cache_bytes`."""
 
-    def __init__(self, path: str, cache_bytes: int = 32 << 20, longest_cached: int = 64):
+    def __init__(self, path: str, cache_bytes: int = 96 << 20, longest_cached: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
