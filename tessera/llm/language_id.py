@@ -160,45 +160,44 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, gram: int = 3, dims: int = 1024, texts_per_lang: int = 2000, most_langs: int = 1024, most_chars: int = 1 << 20) -> Profiles:
-    """Fit profiles on texts of `docs` (doc_id, text, lang) that aren't held out.
-
-    A bounded sample: of each of the `most_langs` commonest languages the texts whose hash lies
-    under a cut that about `texts_per_lang` texts pass; the scan itself takes them, so nothing is
-    shuffled. Texts of over `most_chars` characters are no training texts. Vectors are bundled in
-    tasks: the driver gets a vector a task and language. Without training rows
-    the profiles know no language and predict `und`.
-    """
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
-    span = 1 << 30
-    cuts = {r["lang"]: min(span, texts_per_lang * span // r["n"] + 1) for r in sizes}
-    chosen = F.lit(False)
-    if cuts:
-        cut = F.create_map(*(F.lit(x) for kv in cuts.items() for x in kv))[F.col("lang")]
-        chosen = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(span)) < F.coalesce(cut, F.lit(0))
-    sample = rows.filter(chosen & (F.length("text") <= most_chars)).select("lang", "text").persist()
+def train(docs: DataFrame, gram: int = 3, dims: int = 1024, texts_per_lang: int = 2000) -> Profiles:
+    """Fit profiles on whole texts of `docs` (doc_id, text, lang) that aren't held out.
 
+    A bounded sample: of each language the texts whose hash lies under a cut that about `texts_per_lang`
+    texts pass, found in the scan. Tasks bundle them and Spark adds the bundles up, as whole numbers so
+    that their order doesn't count; the driver gets a vector a language. Without training rows the
+    profiles know no language and predict `und`.
+    """
+    spark = docs.sparkSession
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
     blank = Profiles([], np.zeros((0, dims), np.float32), gram, dims)
+    span = 1 << 30
+    cuts = [(r["lang"], min(span, texts_per_lang * span // r["n"] + 1)) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    if not cuts:
+        return blank
+    # A row a language, as many as there are prototypes.
+    chosen = rows.join(F.broadcast(spark.createDataFrame(cuts, "lang string, cut long")), "lang")
+    chosen = chosen.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(span)) < F.col("cut")).select("lang", "text")
+    one = float(1 << 32)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             unit, _ = blank.vectors(batch.column("text"))
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in set(langs):
-                sums[lang] = sums.get(lang, 0) + unit[langs == lang].sum(axis=0, dtype=np.float64)
+                sums[lang] = sums.get(lang, 0) + np.rint(unit[langs == lang].astype(np.float64) * one).astype(np.int64).sum(axis=0)
         for lang, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([v.tolist()], pa.list_(pa.float64()))], ["lang", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(v)], ["lang", "dim", "v"])
 
-    total: dict[str, np.ndarray] = {}
-    for row in sample.mapInArrow(tidied(bundle), "lang string, v array<double>").collect():
-        total[row["lang"]] = total.get(row["lang"], 0) + np.array(row["v"])
-    sample.unpersist()
-    langs = sorted(k for k, v in total.items() if np.linalg.norm(v) > 0)
+    added = chosen.mapInArrow(tidied(bundle), "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
+    vectors: dict[str, np.ndarray] = {}
+    for r in added.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("all")).collect():
+        vectors[r["lang"]] = np.array([x["v"] for x in r["all"]], np.float64)
+    langs = sorted(k for k, v in vectors.items() if np.linalg.norm(v) > 0)
     if not langs:
         return blank
-    prototypes = np.stack([total[k] / np.linalg.norm(total[k]) for k in langs]).round(9).astype(np.float32)
+    prototypes = np.stack([vectors[k] / np.linalg.norm(vectors[k]) for k in langs]).astype(np.float32)
     return Profiles(langs, prototypes, gram, dims)
 
 
