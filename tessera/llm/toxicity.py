@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import store
 from tessera.llm.textarrow import ALNUM, distinct, slices, spans, tidied
 
 _BITS = 20
@@ -139,12 +140,14 @@ def likelihood_ratio(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 5000, most_features: int = 4096, least_docs: int = 5) -> OrdinalModel | None:
     """Fit on a bounded sample: of each class the `per_class` labelled documents of the smallest hashes.
 
-    Labels without an id or a class are left out; a document with several is toxic if one says so.
+    Labels without an id, a class or a document are left out; a document with several is toxic if one says so.
     Tasks find the features; the driver gets the `most_features` of the greatest likelihood ratio and
     the sample's sparse rows. A feature is in `least_docs` documents, or in as many as are toxic if these are fewer.
     None if a class has no texts, or no such feature exists (no words).
     """
     named = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    # Labels whose document isn't there would take places of the sample.
+    named = store.written(named.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "labelled")
     sizes = {r["toxic"]: r["n"] for r in named.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
