@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Redaction rules in order (label, pattern, value class or None). A rule with a value
-#: class replaces only the value after its pattern; the others replace the whole match.
+#: class replaces only the value after its pattern; the others replace the whole match. What each rule's
+#: matches hold in lower case is in REDACTION_MARKS.
 REDACTION_RULES = (
     ("private-key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", None),
     ("api-key", r"(?U)\bsk-[A-Za-z0-9_\-]{16,}", None),
@@ -27,26 +29,51 @@ REDACTION_RULES = (
 _FOUND = "￿"
 
 
+#: Strings of which a match of each rule holds one, in lower case (and with a long s as s).
+REDACTION_MARKS = (("-----begin",), ("sk-",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), ("xox",), ("akia",), ("bearer",), ("://",), ("passw", "secret", "api", "token"))
+
+
+def holds_any(low: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (F.contains(low, F.lit(m)) for m in marks))
+
+
+def lowered(text: Column) -> Column:
+    """Lower case as patterns that ignore case see it: a long s is an s."""
+    return F.translate(F.lower(text), "ſ", "s")
+
+
 def redact(text: Column) -> Column:
     """struct(text, hits): secrets replaced by `[redacted:label]`, and how many. Idempotent; null stays null with 0 hits.
 
     A value that is a placeholder already is kept, and what is glued to it is passed over with it:
     a match first becomes its prefix and a mark, marks after placeholders go, the rest are hits.
+    A rule's pattern runs only on texts that hold one of its marks. Each step is a function of the step
+    before (a `transform` of one element), so nothing is computed twice.
     """
-    hits = F.lit(0)
-    for label, pattern, value in REDACTION_RULES:
+
+    def state(text_: Column, low: Column, hits: Column) -> Column:
+        return F.struct(text_.alias("text"), low.alias("low"), hits.cast("int").alias("hits"))
+
+    def step(label: str, pattern: str, value: tuple[str, int, str] | None, marks: tuple[str, ...]):
         placeholder = F.lit(f"[redacted:{label}]")
-        if value is None:
-            hits = hits + F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
-            text = F.regexp_replace(text, F.lit(pattern), placeholder)
-            continue
-        one, least, after = value
-        body = rf"({pattern.partition(')')[2]})(?:(\[redacted:{one}*)|{one}{{{least},}})"
-        marked = F.regexp_replace(text, F.lit(pattern.partition(")")[0] + ")" + body + (f"(?={after})" if after else "")), F.lit(f"$1$2{_FOUND}"))
-        marked = F.regexp_replace(marked, F.lit(rf"(?U)(\[redacted:{one}*){_FOUND}"), F.lit("$1"))
-        hits = hits + F.coalesce(F.length(marked) - F.length(F.replace(marked, F.lit(_FOUND), F.lit(""))), F.lit(0))
-        text = F.replace(marked, F.lit(_FOUND), placeholder)
-    return F.struct(text.alias("text"), hits.cast("int").alias("hits"))
+
+        def whole(s: Column) -> Column:
+            times = F.coalesce(F.regexp_count(s["text"], F.lit(pattern)), F.lit(0))
+            return state(F.regexp_replace(s["text"], F.lit(pattern), placeholder), s["low"], s["hits"] + times)
+
+        def after_prefix(s: Column) -> Column:
+            one, least, after = value
+            body = rf"({pattern.partition(')')[2]})(?:(\[redacted:{one}*)|{one}{{{least},}})"
+            marked = F.regexp_replace(s["text"], F.lit(pattern.partition(")")[0] + ")" + body + (f"(?={after})" if after else "")), F.lit(f"$1$2{_FOUND}"))
+            marked = F.regexp_replace(marked, F.lit(rf"(?U)(\[redacted:{one}*){_FOUND}"), F.lit("$1"))
+            return F.get(F.transform(F.array(marked), lambda m: state(F.replace(m, F.lit(_FOUND), placeholder), s["low"], s["hits"] + F.length(m) - F.length(F.replace(m, F.lit(_FOUND), F.lit(""))))), F.lit(0))
+
+        return lambda s: F.when(holds_any(s["low"], marks), whole(s) if value is None else after_prefix(s)).otherwise(s)
+
+    steps = F.array(state(text, lowered(text), F.lit(0)))
+    for rule, marks in zip(REDACTION_RULES, REDACTION_MARKS, strict=True):
+        steps = F.transform(steps, step(*rule, marks))
+    return F.get(F.transform(steps, lambda s: F.struct(s["text"].alias("text"), s["hits"].alias("hits"))), F.lit(0))
 
 
 #: A query's tokens, and the letters counted as CJK when content is indexed.

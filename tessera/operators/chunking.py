@@ -97,3 +97,24 @@ def titles(turns: DataFrame, hint: Column | None = None) -> DataFrame:
 def listing_copy(turns: DataFrame, most: int = 280) -> DataFrame:
     """The first prose of each conversation, cut for a listing."""
     return turns.filter(F.trim("text") != "").groupBy("conv_id").agg(F.substring(F.min_by("text", "seq"), 1, most).alias("description"))
+
+
+def cjk_prose(turns: DataFrame) -> DataFrame:
+    """Turns whose text holds a CJK ideograph."""
+    return turns.filter(F.rlike("text", F.lit("[\u3400-\u9fff]")))
+
+
+#: What a document's missing fields are read as.
+DOCUMENT_DEFAULTS = {"type": "text", "role": "agent", "host": "unknown"}
+
+
+def to_document(fields: list[str]) -> Column:
+    """A row's fields as JSON; those that are null are left out."""
+    return F.to_json(F.struct(*fields))
+
+
+def from_document(json: Column, schema: str) -> Column:
+    """The fields of a document, defaults in place of missing ones."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    read = F.from_json(json, schema)
+    return F.struct(*(F.coalesce(read[n], F.lit(DOCUMENT_DEFAULTS[n])).alias(n) if n in DOCUMENT_DEFAULTS else read[n].alias(n) for n in names))

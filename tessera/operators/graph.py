@@ -13,10 +13,9 @@ EDGE_FIELDS = ("governed_by", "guided_by", "applies_to", "constrains", "related_
 ATTRIBUTES = ("risk_triggers", "allowlisted_mutations", "prod_live_verification", "decision_rule", "type", "category", "priority", "status", "tier")
 PATH_FIELDS = ("path", "source_file", "file_path", "file", "content_path")
 ARCHIVED = ("archived", "deprecated", "deleted")
-#: Path prefixes whose documents belong to one node.
+#: Path prefixes whose documents belong to one node. A site adds its own by `rules`.
 DOMAIN_RULES = (
     ("docs/architecture/", "cat-architecture", "path:architecture"),
-    ("docs/research/workshop-ucgis-2026/", "cat-research-workshop-ucgis", "path:research/workshop-ucgis"),
     ("agents/skills/", "skills-root", "path:agents/skills"),
     ("agents/behaviors/", "behavior-root", "path:agents/behaviors"),
 )
@@ -83,7 +82,7 @@ def replace_edges(old: DataFrame, new: DataFrame, structural: bool) -> DataFrame
     return dedupe_edges(old.filter(mine | F.col("graph").isNull()).unionByName(new))
 
 
-def structural_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def structural_edges(docs: DataFrame, nodes: DataFrame, rules: tuple[tuple[str, str, str], ...] = DOMAIN_RULES) -> DataFrame:
     """Edges from documents' paths (node_id, source_path) to nodes that exist; the first rule that fits counts.
 
     (src_id, dst_id, edge_type, provenance)
@@ -93,7 +92,7 @@ def structural_edges(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     active = F.startswith("path", F.lit("docs/projects/active/")) & (F.size("parts") >= 4)
     index = F.struct(F.concat(F.lit("doc:domain:projects:active:"), "slug", F.lit(":index")).alias("target"), F.lit("belongs_to").alias("edge_type"), F.lit("path:projects/active").alias("provenance"))
     rule = F.when(active, F.when((F.col("slug") != "") & ~F.endswith("slug", F.lit(".md")), index))
-    for prefix, target, provenance in DOMAIN_RULES:
+    for prefix, target, provenance in rules:
         rule = rule.when(F.startswith("path", F.lit(prefix)), F.struct(F.lit(target).alias("target"), F.lit("in_domain").alias("edge_type"), F.lit(provenance).alias("provenance")))
     rows = named.select("node_id", rule.alias("r")).filter("r is not null").select("node_id", "r.*")
     found = rows.join(nodes.select(F.col("node_id").alias("target")).distinct(), "target")
@@ -122,6 +121,15 @@ def stub_nodes(unlinked: DataFrame) -> DataFrame:
     return rows.withColumn("content_hash", F.sha2(F.concat_ws("\x1f", "node_id", "title", "attributes"), 256))
 
 
+def retract_stubs(nodes: DataFrame, now: Column, prefix: str = EXCLUDED_PREFIX) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, graph, source_path, superseded_at) with current stubs under a path prefix closed, and one row:
+    `remaining`, the current stubs that are left there."""
+    own = (F.col("graph") == "docshare-stub") & F.startswith(F.coalesce(T.normalise_path(F.col("source_path")), F.lit("")), F.lit(prefix))
+    current = F.col("superseded_at").isNull()
+    after = nodes.withColumn("superseded_at", F.when(own & current, now).otherwise(F.col("superseded_at")))
+    return after, after.agg(F.count_if(own & current).alias("remaining"))
+
+
 def stubs_to_supersede(nodes: DataFrame) -> DataFrame:
     """Stubs whose path a curated node owns now, in whatever order they were loaded."""
     stub = F.col("graph") == "docshare-stub"

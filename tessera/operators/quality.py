@@ -5,28 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 BLOCK, WARN = "block", "warn"
-#: Leak rules (id, severity, pattern). A site adds the names of its own hosts, people and stores.
+#: Leak rules (id, severity, pattern) and, where it is known, strings of which a match holds
+#: one in lower case. A site adds the names of its own hosts, people, folders and stores.
 LEAK_RULES = (
-    ("private-ip-10", BLOCK, r"\b10\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
-    ("private-ip-192", BLOCK, r"\b192\.168\.\d{1,3}\.\d{1,3}\b"),
-    ("private-ip-172", BLOCK, r"\b172\.(1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}\b"),
-    ("email", BLOCK, r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"),
-    ("win-drive-path", BLOCK, r"[A-Za-z]:\\\\?(?:projects|Users|__gann__)"),
-    ("repo-abs-path", WARN, r"[Cc]:[\\/]projects[\\/]"),
-    ("assigned-secret", BLOCK, r"(?i)\b(secret|password|passwd|access[_-]?key|api[_-]?key|token)\b\s*[:=]\s*['\"][^'\"]{6,}['\"]"),
-    ("openai-key", BLOCK, r"\bsk-[A-Za-z0-9]{20,}\b"),
-    ("aws-key", BLOCK, r"\bAKIA[0-9A-Z]{16}\b"),
+    ("private-ip-10", BLOCK, r"\b10\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", ("10.",)),
+    ("private-ip-192", BLOCK, r"\b192\.168\.\d{1,3}\.\d{1,3}\b", ("192.168.",)),
+    ("private-ip-172", BLOCK, r"\b172\.(1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}\b", ("172.",)),
+    ("email", BLOCK, r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", ("@",)),
+    ("win-drive-path", BLOCK, r"[A-Za-z]:\\\\?(?:projects|Users)", (":\\",)),
+    ("repo-abs-path", WARN, r"[Cc]:[\\/]projects[\\/]", ("projects",)),
+    ("assigned-secret", BLOCK, r"(?i)\b(secret|password|passwd|access[_-]?key|api[_-]?key|token)\b\s*[:=]\s*['\"][^'\"]{6,}['\"]", ("secret", "passw", "key", "token")),
+    ("openai-key", BLOCK, r"\bsk-[A-Za-z0-9]{20,}\b", ("sk-",)),
+    ("aws-key", BLOCK, r"\bAKIA[0-9A-Z]{16}\b", ("akia",)),
 )
 
 
 def leak_scan(texts: DataFrame, key: str, text: str, rules=LEAK_RULES, allow: tuple[str, ...] = (), disable: tuple[str, ...] = (), add: tuple = ()) -> DataFrame:
     """(key, line, rule_id, severity, excerpt, allowlisted): a row a rule that a line breaks.
 
-    The rules are literals of one projection, so lines meet them without a join."""
-    rules = [r for r in rules if r[0] not in disable] + list(add)
+    The rules are literals of one projection, so lines meet them without a join. A pattern runs only on
+    lines that hold one of its rule's strings; texts that hold none of any rule's aren't split at all."""
+    rules = [(*r, ())[:4] for r in (*(r for r in rules if r[0] not in disable), *add)]
+    if all(marks for *_, marks in rules):
+        texts = texts.filter(T.holds_any(F.lower(text), tuple(dict.fromkeys(m for *_, marks in rules for m in marks))))
     lines = texts.select(key, F.posexplode(F.split(F.col(text), r"\r\n|\n|\r")).alias("at", "content"))
-    broken = F.array_compact(F.array(*(F.when(F.rlike("content", F.lit(p)), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, s, p in rules)))
+
+    def breaks(pattern: str, marks: tuple[str, ...]) -> Column:
+        hit = F.rlike("content", F.lit(pattern))
+        return F.when(T.holds_any(F.lower("content"), marks), hit).otherwise(False) if marks else hit
+
+    broken = F.array_compact(F.array(*(F.when(breaks(p, marks), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"))) for i, s, p, marks in rules)))
     allowed = F.lit(False)
     for a in allow:
         allowed = allowed | F.contains("content", F.lit(a))

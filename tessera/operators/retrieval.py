@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import fusion
+from tessera.operators.staging import staged
 
 
 def lexical_rank(df: DataFrame, query: str, content: str = "content") -> DataFrame:
@@ -64,24 +67,84 @@ def channel_search(items: DataFrame, query: str, vector: list[float] | None, lim
 def tfidf(items: DataFrame, query: str, content: str = "content") -> DataFrame:
     """(id, score): sum over the query's words of tf * log10(N / df) squared, tf being whole-word counts.
 
-    One scan counts the rows and each word's documents (a one-row aggregate); a second scores."""
-    words = T.tokenize(query)
+    One scan counts each word where a text holds it at all; the counts (texts with none left out) are kept,
+    and give both the words' documents and the scores."""
+    words = [w for w in T.tokenize(query) if w[0] < "㐀"]
+    if not words:
+        return items.select("id", F.lit(0.0).alias("score")).limit(0)
+    edge = "[a-z0-9_./:@-]"
 
     def times(word: str) -> Column:
-        return F.size(F.filter("words", lambda x: x == word))
-
-    split = items.select("id", F.split(F.lower(F.col(content)), r"[^a-z0-9_./:@-]+").alias("words"))
-    # Only the query's words go on, so that each count reads a short list.
-    few = split.select("id", F.filter("words", lambda x: x.isin(words)).alias("words"))
-    counted = few.select("id", *(times(w).alias(f"tf{i}") for i, w in enumerate(words)))
-    stats = counted.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
-    idf = F.array(*(F.when(F.col(f"df{i}") > 0, F.log10(F.col("n") / F.col(f"df{i}"))).otherwise(0.0) for i in range(len(words))))
+        whole = F.lit(rf"(?<!{edge})\Q{word}\E(?!{edge})")
+        return F.when(F.contains("low", F.lit(word)), F.regexp_count("low", whole)).otherwise(0)
+
+    tf = [f"tf{i}" for i in range(len(words))]
+    counted = items.select("id", F.lower(F.col(content)).alias("low")).select("id", *(times(w).alias(c) for w, c in zip(words, tf, strict=True)))
+    counted = staged(counted.filter(reduce(Column.__or__, (F.col(c) > 0 for c in tf))), "tf")
+    total = items.agg(F.count("*").alias("n")).scalar()
+    idf = F.array(*(F.when(F.count_if(F.col(c) > 0) > 0, F.log10(total / F.count_if(F.col(c) > 0))).otherwise(0.0) for c in tf))
     # One row of statistics, as a scalar subquery.
-    weighed = counted.withColumn("idf", stats.select(idf.alias("idf")).scalar())
-    score = sum((F.col(f"tf{i}") * F.get("idf", F.lit(i)) * F.get("idf", F.lit(i)) for i in range(len(words))), F.lit(0.0))
+    weighed = counted.withColumn("idf", counted.agg(idf.alias("idf")).scalar())
+    score = sum((F.col(c) * F.get("idf", F.lit(i)) * F.get("idf", F.lit(i)) for i, c in enumerate(tf)), F.lit(0.0))
     return weighed.select("id", F.round(score, 9).alias("score")).filter("score > 0")
 
 
+def candidates(items: DataFrame, query: str, most: int = 400) -> DataFrame:
+    """The items of the `most` best full-text scores, or all items if there is no score at all.
+
+    A pre-filter that costs recall: what it leaves out no later rank can bring back. It is off by default."""
+    best = staged(tfidf(items, query).orderBy(F.desc("score"), "id").limit(most).select("id"), "candidates")
+    return items.join(F.broadcast(best), "id", "left_semi") if best.count() else items
+
+
+def archive_search(items: DataFrame, query: str, vector: list[float] | None = None, workspace_key: str | None = None, since: Column | None = None, model: str | None = None, limit: int = 8, mode: str = "scan", most_candidates: int | None = None) -> DataFrame:
+    """Search of an archive of items (id, conv_id, granularity, content, embedding; workspace_key, captured_at and
+    embedding_model where they are asked for): one pointer a conversation, as `hybrid_rank` ("scan") or `channel_search`
+    ("channels") gives it. A blank query finds nothing; `since` leaves out items without a time; vectors of another
+    model don't count. `most_candidates` turns the pre-filter on."""
+    if mode not in ("scan", "channels"):
+        raise ValueError(f"unknown mode {mode}")
+    rows = items if query.strip() else items.limit(0)
+    if workspace_key:
+        rows = rows.filter(F.col("workspace_key") == workspace_key)
+    if since is not None:
+        rows = rows.filter(F.col("captured_at") >= since)
+    if most_candidates:
+        rows = candidates(rows, query, most_candidates)
+    if model and vector is not None:
+        rows = rows.withColumn("embedding", F.when(F.col("embedding_model") == model, F.col("embedding")))
+    return (hybrid_rank if mode == "scan" else channel_search)(rows, query, vector, limit=limit)
+
+
+def message_filters(df: DataFrame, agent: str | None = None, **equal: str | None) -> DataFrame:
+    """Messages (reporter, recipient and any columns) that an agent sent or got, with equal values; missing filters don't count."""
+    if agent:
+        df = df.filter((F.lower("reporter") == agent.lower()) | (F.lower("recipient") == agent.lower()))
+    for column, value in equal.items():
+        df = df.filter(F.col(column) == value) if value else df
+    return df
+
+
+def message_search(messages: DataFrame, query: list[float], limit: int = 5, floor: float = 0.0, dedupe: list[str] | None = None, **filters: str | None) -> DataFrame:
+    """Nearest messages: those at the floor or above that pass the filters, the best of each `dedupe` key, then the limit."""
+    rows = message_filters(messages, **filters).filter(F.size("embedding") == len(query))
+    rows = rows.withColumn("score", F.round(V.cosine_eps(F.col("embedding"), query), 9)).filter(F.col("score") >= floor).drop("embedding")
+    return (best_per_key(rows, dedupe) if dedupe else rows).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def tags_of(json: Column) -> Column:
+    """A JSON list of strings; an empty list where the text is missing or can't be read."""
+    return F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))
+
+
+def plan_search(plans: DataFrame, query: list[float], limit: int = 5, floor: float = 0.0, model: str | None = None, **filters: str | None) -> DataFrame:
+    """Nearest plans (id, embedding, tags as JSON, and columns to filter by: lifecycle, status, owner, project, task)."""
+    rows = plans.filter(F.col("embedding_model") == model) if model else plans
+    for column, value in filters.items():
+        rows = rows.filter(F.col(column) == value) if value else rows
+    return top_by_vector(rows, query, limit, floor=floor).withColumn("tags", tags_of(F.col("tags")))
+
+
 def keyword_search(df: DataFrame, query: str, limit: int, content: str = "content", topic: str | None = None, key: str = "id") -> DataFrame:
     """Rows that hold a word of over three letters, longest content (in bytes) first, all with score 0.5; none without words."""
     words = [w for w in query.lower().split() if len(w) > 3]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.functions import text as T
+
 
 def matching(df: DataFrame, **values) -> DataFrame:
     """Rows that equal every value given; an empty or missing value is no filter."""
@@ -128,6 +130,78 @@ def set_status(sessions: DataFrame, session_id: str, status: str, now: Column) -
     return sessions.withColumn("status", F.when(me, F.lit(status)).otherwise(F.col("status"))).withColumn("updated_at", F.when(me, now).otherwise(F.col("updated_at")))
 
 
+IDENTITY = ["agent_id", "operator_id", "workspace_key", "lane"]
+
+
+def open_sessions(sessions: DataFrame, requests: DataFrame) -> DataFrame:
+    """What opening does: (session_id, action, agent_id, operator_id, workspace_key, lane, parent_session_id).
+
+    `requests` are identities with a `new_id` and `fork`. Where an identity has an open session it is reused, or, for
+    a fork, parked, and the new one has it as its parent; else the new one is inserted. Of several requests for one
+    identity the smallest new_id wins (a fork before others); the rest reuse what the winner opened.
+    """
+    open_ = sessions.filter("status = 'open'").groupBy(*IDENTITY).agg(F.max_by("session_id", F.struct("updated_at", "session_id")).alias("_open"))
+    first = requests.groupBy(*IDENTITY).agg(F.min_by(F.struct("new_id", "fork"), F.struct((~F.col("fork")).cast("int"), "new_id")).alias("_w"))
+    ways = first.join(open_, IDENTITY, "left").select(*IDENTITY, "_w.new_id", "_w.fork", "_open")
+    inserts = ways.filter("_open is null or fork").select(F.col("new_id").alias("session_id"), F.lit("insert").alias("action"), *IDENTITY, F.col("_open").alias("parent_session_id"))
+    none = F.lit(None).cast(inserts.schema["parent_session_id"].dataType).alias("parent_session_id")
+    parks = ways.filter("_open is not null and fork").select(F.col("_open").alias("session_id"), F.lit("park").alias("action"), *IDENTITY, none)
+    result = ways.select(*IDENTITY, F.col("new_id").alias("_winner"), F.when(F.col("_open").isNull() | F.col("fork"), F.col("new_id")).otherwise(F.col("_open")).alias("session_id"), (F.col("_open").isNotNull() & ~F.col("fork")).alias("_all"))
+    reuses = requests.join(result, IDENTITY).filter("_all or new_id <> _winner").select("session_id", F.lit("reuse").alias("action"), *IDENTITY, none)
+    return inserts.unionByName(parks).unionByName(reuses)
+
+
+def apply_open(sessions: DataFrame, actions: DataFrame, now: Column) -> DataFrame:
+    """The sessions after `open_sessions`: parked ones updated, inserted ones added as open; other columns are null there."""
+    parked = actions.filter("action = 'park'").select("session_id", F.lit(True).alias("_parked"))
+    kept = sessions.join(parked, "session_id", "left")
+    kept = kept.withColumn("status", F.when(F.col("_parked"), "parked").otherwise(F.col("status"))).withColumn("updated_at", F.when(F.col("_parked"), now).otherwise(F.col("updated_at"))).drop("_parked")
+    new = actions.filter("action = 'insert'").select("session_id", *IDENTITY, "parent_session_id", F.lit("open").alias("status"), now.alias("updated_at"))
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
+def append_checkpoints(checkpoints: DataFrame, sessions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Checkpoints with new ones of known sessions added, and the sessions with `last_checkpoint_at` and `updated_at`
+    moved to their newest new checkpoint (never back)."""
+    known = new.join(sessions.select("session_id"), "session_id", "left_semi")
+    last = known.groupBy("session_id").agg(F.max("created_at").alias("_at"))
+    touched = sessions.join(last, "session_id", "left")
+    for column in ("last_checkpoint_at", "updated_at"):
+        touched = touched.withColumn(column, F.greatest(column, "_at"))
+    return checkpoints.unionByName(known.select(*checkpoints.columns)), touched.drop("_at")
+
+
+def set_titles(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Titles set by a user (key, title): white space collapsed, blank ones ignored; no timestamp moves."""
+    new = changes.select(key, T.normalise_title(F.col("title")).alias("_title")).filter("_title is not null")
+    joined = df.join(new, key, "left")
+    source = F.when(F.col("_title").isNotNull(), "user").otherwise(F.col("title_source"))
+    return joined.withColumn("title_source", source).withColumn("title", F.coalesce("_title", "title")).drop("_title")
+
+
+def refile(tables: dict[str, DataFrame], aliases: DataFrame, column: str = "workspace_key") -> dict[str, DataFrame]:
+    """Every table with its workspace keys moved to their canonical ones; no timestamp moves."""
+    return {name: resolve_alias(df, aliases, column) for name, df in tables.items()}
+
+
+def is_auto(payload: Column) -> Column:
+    """Whether a checkpoint's JSON payload says that it was made by itself."""
+    return F.coalesce(F.get_json_object(payload, "$.checkpoint_kind") == "auto", F.lit(False))
+
+
+def session_records(sessions: DataFrame) -> DataFrame:
+    """Sessions as records: a missing lane is `default`, a missing title source `derived`, missing counts 0, times ISO text."""
+    fills = {"lane": "default", "title_source": "derived", "turn_count": 0, "checkpoint_count": 0}
+    out = sessions
+    for column, value in fills.items():
+        if column in out.columns:
+            out = out.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
+    for column, kind in out.dtypes:
+        if kind.startswith("timestamp"):
+            out = out.withColumn(column, F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"))
+    return out
+
+
 def tree(sessions: DataFrame) -> DataFrame:
     """Every session with its root and depth; a parent outside the workspace makes a root."""
     from tessera.operators.graph import ancestors

@@ -105,7 +105,7 @@ def leak_scan(spark, d):
     return found.select("doc_id", "line", "rule_id", "severity", "excerpt", "allowlisted")
 
 
-_RULES = ", ".join("('{}', '{}', '{}')".format(i, s, p.replace("'", "''")) for i, s, p in quality.LEAK_RULES)
+_RULES = ", ".join("('{}', '{}', '{}')".format(i, s, p.replace("'", "''")) for i, s, p, _ in quality.LEAK_RULES)
 _LEAKS = f"""rules(rule_id, severity, pattern) as (values {_RULES}),
 lines as (select doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) as content, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) as line from documents),
 found as (select doc_id, cast(line as int) as line, rule_id, severity, substr(trim(content, ' '), 1, 200) as excerpt, contains(content, 'example.org') as allowlisted
@@ -142,10 +142,10 @@ SQL_SLUGS = r"select page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-
 
 
 def stub_ids(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.stub_id(F.substring("text", 1, 250)).alias("stub_id"))
+    return table(spark, d, "documents").select("doc_id", T.stub_id(F.col("text")).alias("stub_id"))
 
 
-SQL_STUBS = "select doc_id, case when length('stub-' || substr(text, 1, 250)) <= 191 then 'stub-' || substr(text, 1, 250) else substr('stub-' || substr(text, 1, 250), 1, 178) || '-' || substr(sha1(substr(text, 1, 250)), 1, 12) end as stub_id from documents"
+SQL_STUBS = "select doc_id, case when length('stub-' || text) <= 191 then 'stub-' || text else substr('stub-' || text, 1, 178) || '-' || substr(sha1(text), 1, 12) end as stub_id from documents"
 
 
 def titles_normalised(spark, d):

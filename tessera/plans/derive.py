@@ -55,12 +55,21 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(turns(spark, d))
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with a vector each."""
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def items(spark: SparkSession, d: str, anew: bool = False) -> DataFrame:
+    """The chunk index: chunks with a vector each, built by the first search of an application (or anew) and read by all."""
+    key = (spark.sparkContext.applicationId, d)
+    if anew or key not in _INDEXES:
+        _INDEXES[key] = build_index(spark, d)
+    return _INDEXES[key]
+
+
+def build_index(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     n = vectors.count()
     rows = chunks(spark, d).withColumn("vec_id", F.pmod(F.col("conv_id") * 31 + F.col("seq_start") * 7 + F.col("seq_end"), F.lit(n)))
-    # Searches read the chunk index as a table; it is made once.
     return staged(rows.join(vectors, "vec_id").drop("vec_id"), "items")
 
 

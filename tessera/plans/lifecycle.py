@@ -209,10 +209,10 @@ select coalesce(status, 'total') as status, count(*) as n, round(avg(score), 6)
 
 def job_events(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", "event_type")
-    return sessions.with_seq(e).filter("seq <= 20").select("run_id", "seq", "event_id", "event_type")
+    return sessions.with_seq(e).select("run_id", "seq", "event_id", "event_type")
 
 
-SQL_EVENTS = "select user_id as run_id, cast(row_number() over (partition by user_id order by ts, event_id) as int) as seq, event_id, event_type from events qualify seq <= 20"
+SQL_EVENTS = "select user_id as run_id, cast(row_number() over (partition by user_id order by ts, event_id) as int) as seq, event_id, event_type from events"
 
 
 def item_fold(spark, d):

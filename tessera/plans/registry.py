@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import conversations, graphs, indexes, lifecycle, search
+from tessera.plans import archive, conversations, graphs, indexes, lifecycle, search
 
-_MODULES = (search, conversations, lifecycle, graphs, indexes)
+_MODULES = (search, archive, conversations, lifecycle, graphs, indexes)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

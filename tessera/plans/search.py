@@ -206,13 +206,13 @@ SQL_SNIPPET = f"select doc_id, {_snippet_sql('text')} as snippet from documents"
 def prompt_pack(spark, d):
     hits = retrieval.top_by_vector(_vectors(spark, d), D.query_vector(spark, d), 50).select("id", "label", "score")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    block = F.concat(F.lit("["), F.col("label").cast("string"), F.lit("] "), F.substring("text", 1, 500))
-    packed = retrieval.pack_prompt(hits.join(docs, "id"), 4000, [F.desc("score"), "id"], block)
+    block = F.concat(F.lit("["), F.col("label").cast("string"), F.lit("] "), F.col("text"))
+    packed = retrieval.pack_prompt(hits.join(docs, "id"), 40_000, [F.desc("score"), "id"], block)
     return packed.select("id", "block", "total")
 
 
-SQL_PACK = _S + """, h as (select * from s order by score desc, id limit 50), b as (select h.id, h.score, '[' || label || '] ' || substr(text, 1, 500) as block from h join documents on doc_id = h.id),
-t as (select id, block, cast(sum(length(block)) over (order by score desc, id rows unbounded preceding) as bigint) as total from b) select * from t where total <= 4000"""
+SQL_PACK = _S + """, h as (select * from s order by score desc, id limit 50), b as (select h.id, h.score, '[' || label || '] ' || text as block from h join documents on doc_id = h.id),
+t as (select id, block, cast(sum(length(block)) over (order by score desc, id rows unbounded preceding) as bigint) as total from b) select * from t where total <= 40000"""
 
 
 def message_search(spark, d):

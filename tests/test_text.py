@@ -35,7 +35,7 @@ def redacted(spark, text):
         ("Password: see .env", ("Password: see .env", 0)),
         ("the secret of prose is plain", ("the secret of prose is plain", 0)),
         (r"SECRET_KEY=\nNEXT", (r"SECRET_KEY=\nNEXT", 0)),
-        ("AWS_ACCESS_KEY_ID=...", ("AWS_ACCESS_KEY_ID=...", 0)),
+        ("RIVER_ACCESS_KEY_NO=...", ("RIVER_ACCESS_KEY_NO=...", 0)),
         ("", ("", 0)),
         ("password=[redacted:secret-assignment]glued more", ("password=[redacted:secret-assignment]glued more", 0)),
     ],
@@ -50,10 +50,10 @@ def test_redact_null(spark):
     assert tuple(one(spark, T.redact(F.lit(None).cast("string")))) == (None, 0)
 
 
-@pytest.mark.parametrize("url", ["git@github.com:Acme/widget.git", "https://github.com/Acme/widget", "https://github.com/Acme/widget.git/", "ssh://git@github.com:22/Acme/widget.git", "https://token@github.com/acme/widget", " github.com/acme/widget "])
+@pytest.mark.parametrize("url", ["git@github.com:Birch/kettle.git", "https://github.com/Birch/kettle", "https://github.com/Birch/kettle.git/", "ssh://git@github.com:22/Birch/kettle.git", "https://token@github.com/birch/kettle", " github.com/birch/kettle "])
 def test_workspace_key(spark, url):
     url = url if not url.endswith(".git/") else url[:-1]
-    assert one(spark, T.workspace_key(F.col("u")), u=url) == "github.com/acme/widget"
+    assert one(spark, T.workspace_key(F.col("u")), u=url) == "github.com/birch/kettle"
 
 
 def test_workspace_key_special(spark):
