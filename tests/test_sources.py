@@ -20,17 +20,17 @@ def write(path, text):
 
 def test_nested_transcripts(spark, tmp_path):
     lines = [
-        {"role": "user", "message": {"content": [{"type": "text", "text": "<user_query>\nhello\n</user_query>"}]}},
+        {"role": "user", "message": {"content": [{"type": "text", "text": "<user_query>\nwhere is the kettle\n</user_query>"}]}},
         {"type": "turn_ended"},
-        {"role": "assistant", "message": {"content": [{"type": "text", "text": "password=hunter2hunter"}, {"type": "tool_use", "name": "Read", "input": {"z": 1, "a": "x y"}}]}},
+        {"role": "assistant", "message": {"content": [{"type": "text", "text": "password=plum7plum7plum"}, {"type": "tool_use", "name": "Measure", "input": {"width": 4, "by": "two metres"}}]}},
         {"role": "robot", "message": {"content": []}},
     ]
     write(f"{tmp_path}/my-repo/a.jsonl", "\n".join(map(json.dumps, lines)) + "\nnot json\n")
     found = transcripts.files(spark, str(tmp_path))
     rows = transcripts.read_nested(found).orderBy("seq").collect()
     assert [(r["seq"], r["role"]) for r in rows] == [(1, "human"), (2, "agent")]
-    assert rows[0]["text"] == "hello" and rows[1]["redactions"] == 1
-    assert rows[1]["tools"][0]["tool_name"] == "Read" and rows[1]["tools"][0]["tool_input"] == "z=1, a=x y"
+    assert rows[0]["text"] == "where is the kettle" and rows[1]["redactions"] == 1
+    assert rows[1]["tools"][0]["tool_name"] == "Measure" and rows[1]["tools"][0]["tool_input"] == "width=4, by=two metres"
     assert transcripts.discovered(found, "repo").count() == 1 and transcripts.discovered(found, "other").count() == 0
 
 
