@@ -578,6 +578,85 @@ def test_op9_on_few_labels(spark, sf, recall):
     assert 0 < corpus_pipeline.remove_toxic(spark, docs, small).count() < docs.count()
 
 
+def plain_features(word):
+    """The hashed features of a word, byte by byte."""
+    mask, mult = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def bucket(x, kind):
+        x = (x + kind) * mult & mask
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask
+        return ((x ^ x >> 32) * mult & mask) >> 44
+
+    data = [b + 1 for b in word.encode()]
+    out = [bucket(sum(b * pow(mult, i, 1 << 64) for i, b in enumerate(data)) & mask, 1)]
+    for k in (4, 5):
+        for i in range(len(data) - k + 1):
+            value = 0
+            for b in data[i : i + k]:
+                value = value * 257 + b & mask
+            out += [bucket(value, 2 * k)] + ([bucket(value, 2 * k + 1)] if i == 0 else [])
+    return out
+
+
+def test_op9_scores_against_a_plain_loop():
+    rng = random.Random(14)
+    texts = [r for r in ("Some people are fine, some PEOPLE are not", "ab", "", None, "Größe größe überall", "fools fooled foolish") if True]
+    feats = sorted({f for t in texts for w in set(WORD.findall(fold(t or ""))) for f in plain_features(w)})
+    weights = {f: rng.gauss(0, 1) for f in feats if rng.random() < 0.7}
+    model = toxicity.OrdinalModel(np.array(list(weights)), np.array(list(weights.values())), np.array([0.5, 1.0, 2.5]))
+    want = [sum(weights.get(f, 0) for w in set(WORD.findall(fold(t or ""))) for f in plain_features(w)) for t in texts]
+    assert np.allclose(model.score(pa.array(texts, pa.string())), want)
+    assert np.allclose(model.chances(pa.array(texts, pa.string())), [[1 / (1 + np.exp(k - x)) for k in (0.5, 1.0, 2.5)] for x in want])
+
+
+def test_op9_fit_against_plain_steps():
+    """The gradient steps in plain Python: each level's error is passed to the shared weights and the rising thresholds."""
+    from math import exp, log1p, sqrt
+
+    rng = random.Random(15)
+    data = [({f: rng.randint(1, 2) for f in range(6) if rng.random() < 0.5}, rng.choice([0, 0, 1, 2, 3])) for _ in range(20)]
+    rows = np.array([i for i, (x, _) in enumerate(data) for _ in x])
+    cols = np.array([f for x, _ in data for f in x])
+    vals = np.array([v for x, _ in data for v in x.values()], float)
+    got_w, got_t = toxicity.fit_cumulative_links(rows, cols, vals, np.array([g for _, g in data]), 6, steps=30)
+    toxic = sum(g > 0 for _, g in data)
+    p = [0.0] * 6 + [1.0, 0.0, 0.0]
+    m, v = [0.0] * 9, [0.0] * 9
+    for t in range(1, 31):
+        theta = [p[6], p[6] + log1p(exp(p[7])), p[6] + log1p(exp(p[7])) + log1p(exp(p[8]))]
+        g = [1e-4 * w for w in p[:6]] + [0.0] * 3
+        for x, grade in data:
+            share = (0.5 / toxic) if grade > 0 else 0.5 / (len(data) - toxic)
+            score = sum(p[f] * n for f, n in x.items())
+            for k in range(3):
+                err = share * (1 / (1 + exp(theta[k] - score)) - (grade > k))
+                for f, n in x.items():
+                    g[f] += err * n
+                g[6] -= err
+                for gap in range(1, k + 1):
+                    g[6 + gap] -= err / (1 + exp(-p[6 + gap]))
+        for i in range(9):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g[i], 0.99 * v[i] + 0.01 * g[i] ** 2
+            p[i] -= 0.1 * (m[i] / (1 - 0.9**t)) / (sqrt(v[i] / (1 - 0.99**t)) + 1e-9)
+    assert np.allclose(got_w, p[:6], atol=1e-6)
+    assert np.allclose(got_t, [p[6], p[6] + log1p(exp(p[7])), p[6] + log1p(exp(p[7])) + log1p(exp(p[8]))], atol=1e-6)
+
+
+def test_op9_long_clean_texts(spark):
+    """Clean texts joined to long ones stay clean; one toxic text among them is found."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    named = docs.join(labels, "doc_id").filter("length(text) between 500 and 3000").select("doc_id", "text", "toxic").collect()
+    rated = toxicity.rate(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), model).filter("grade > 0").select("doc_id").collect()
+    toxic = {r["doc_id"] for r in rated}
+    clean = [r["text"] for r in sorted(named, key=lambda r: r["doc_id"]) if not r["toxic"] and r["doc_id"] not in toxic]
+    long = ["\n".join(clean[i : i + 100]) for i in range(0, 800, 100)]
+    got = model.chances(pa.array(long, pa.string()))[:, 0]
+    print("long clean texts", got.round(3))
+    assert (got < 0.5).all()
+
+
 def test_op9_word_of_toxic_documents_alone(spark):
     """A word that no clean document holds counts, though few toxic ones hold it."""
     texts = [f"w{i % 7} v{i % 5} " + ("vermin" if i % 10 == 0 else "x") for i in range(80)]
