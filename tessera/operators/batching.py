@@ -45,25 +45,30 @@ def split_text(text: str, most: int) -> list[str]:
 
 
 def split_pieces(turns: DataFrame, most: int = 1000) -> DataFrame:
-    """(conv_id, seq, key, part, parts, text): whole turns, or parts with keys `seq#part`."""
+    """(conv_id, seq, key, part, parts, text): whole turns, or parts with keys `seq#part`. Only turns over `most` go through Python."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for conv, seq, text in zip(pdf["conv_id"], pdf["seq"], pdf["text"], strict=True):
-                parts = [text] if len(text) <= most else split_text(text, most)
-                out += [(conv, seq, f"{seq}#{i}" if len(parts) > 1 or len(text) > most else str(seq), i, len(parts), p) for i, p in enumerate(parts)]
+                parts = split_text(text, most)
+                out += [(conv, seq, f"{seq}#{i}", i, len(parts), p) for i, p in enumerate(parts)]
             yield pd.DataFrame(out, columns=["conv_id", "seq", "key", "part", "parts", "text"])
 
-    return turns.select("conv_id", "seq", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(work, "conv_id long, seq int, key string, part int, parts int, text string")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("int").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = rows.filter(F.length("text") <= most).select("conv_id", "seq", F.col("seq").cast("string").alias("key"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "text")
+    return whole.unionByName(rows.filter(F.length("text") > most).mapInPandas(work, "conv_id long, seq int, key string, part int, parts int, text string"))
 
 
-def embed(rows: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[list[float]]], most_items: int = 128, most_chars: int = 80_000) -> DataFrame:
-    """(key, embedding) by a given function, in batches of bounded count and length; blank texts and failed batches get null."""
+def embed(rows: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[list[float]]], most_items: int = 128, most_chars: int = 80_000, report: bool = False) -> DataFrame:
+    """(key, embedding) by a given function, in batches of bounded count and length; blank texts and failed batches get null.
+
+    With `report` a column `error` says why a batch failed, so that a failure can be told from a blank text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             vectors: list = [None] * len(pdf)
+            errors: list = [None] * len(pdf)
             held, size = [], 0
 
             def flush() -> None:
@@ -71,8 +76,9 @@ def embed(rows: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[l
                     try:
                         for i, v in zip(held, fn([pdf[text].iloc[i] for i in held]), strict=True):
                             vectors[i] = list(v)
-                    except Exception:
-                        pass  # a failed batch leaves its rows without vectors; the run goes on
+                    except Exception as e:  # a failed batch leaves its rows without vectors; the run goes on
+                        for i in held:
+                            vectors[i], errors[i] = None, f"{type(e).__name__}: {e}"
                     held.clear()
 
             for i, t in enumerate(pdf[text]):
@@ -84,10 +90,10 @@ def embed(rows: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[l
                 held.append(i)
                 size += len(t)
             flush()
-            yield pd.DataFrame({key: pdf[key], "embedding": vectors})
+            yield pd.DataFrame({key: pdf[key], "embedding": vectors} | ({"error": errors} if report else {}))
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, text).mapInPandas(work, f"{key} {kind}, embedding array<float>")
+    return rows.select(key, text).mapInPandas(work, f"{key} {kind}, embedding array<float>" + (", error string" if report else ""))
 
 
 def hashing_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]]:

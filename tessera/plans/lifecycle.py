@@ -309,11 +309,12 @@ SQL_INSERT_IGNORE = "select doc_id, lang from documents where doc_id % 2 = 0 uni
 
 
 def corpus_fingerprint(spark, d):
-    """DuckDB has no crc32, so a test checks this one."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     return merging.fingerprint(docs, "doc_id", "h")
 
 
-_F = (latest_per_key, resume_session, heartbeats, live_hosts, liveness_spells, activity_windows, implied_activity, other_lanes, hours_since_checkpoint, host_switch, decisions_superseded, alias_resolve, alias_refusals, open_collision, duplicate_open, lineage, session_tree, children, workspaces, filtered_sessions, paged_listing, filtered_count, job_summary, job_events, item_fold, incremental_diff, diff_summary, drift_report, scd2_merge, upsert_transcripts, insert_ignore)
-QUERIES = {f.__name__: f for f in (*_F, corpus_fingerprint)}
-SQL = dict(zip((f.__name__ for f in _F), (SQL_LATEST, SQL_RESUME, SQL_BEATS, SQL_LIVE, SQL_SPELLS, SQL_ACTIVITY, SQL_IMPLIED, SQL_LANES, SQL_HOURS, SQL_SWITCH, SQL_DECISIONS, SQL_ALIAS, SQL_REFUSALS, SQL_COLLISION, SQL_DUPLICATE_OPEN, SQL_LINEAGE, SQL_TREE, SQL_CHILDREN, SQL_WORKSPACES, SQL_FILTERED, SQL_PAGED, SQL_COUNT, SQL_JOBS, SQL_EVENTS, SQL_FOLD, SQL_DIFF, SQL_SUMMARY, SQL_DRIFT, SQL_SCD2, SQL_UPSERT, SQL_INSERT_IGNORE), strict=True))
+SQL_FINGERPRINT = "select count(*) as n, bit_xor(cast('0x' || substr(sha256(doc_id || ':' || sha256(text)), 1, 15) as bigint)) as checksum from documents"
+
+_F = (latest_per_key, resume_session, heartbeats, live_hosts, liveness_spells, activity_windows, implied_activity, other_lanes, hours_since_checkpoint, host_switch, decisions_superseded, alias_resolve, alias_refusals, open_collision, duplicate_open, lineage, session_tree, children, workspaces, filtered_sessions, paged_listing, filtered_count, job_summary, job_events, item_fold, incremental_diff, diff_summary, drift_report, scd2_merge, upsert_transcripts, insert_ignore, corpus_fingerprint)
+QUERIES = {f.__name__: f for f in _F}
+SQL = dict(zip((f.__name__ for f in _F), (SQL_LATEST, SQL_RESUME, SQL_BEATS, SQL_LIVE, SQL_SPELLS, SQL_ACTIVITY, SQL_IMPLIED, SQL_LANES, SQL_HOURS, SQL_SWITCH, SQL_DECISIONS, SQL_ALIAS, SQL_REFUSALS, SQL_COLLISION, SQL_DUPLICATE_OPEN, SQL_LINEAGE, SQL_TREE, SQL_CHILDREN, SQL_WORKSPACES, SQL_FILTERED, SQL_PAGED, SQL_COUNT, SQL_JOBS, SQL_EVENTS, SQL_FOLD, SQL_DIFF, SQL_SUMMARY, SQL_DRIFT, SQL_SCD2, SQL_UPSERT, SQL_INSERT_IGNORE, SQL_FINGERPRINT), strict=True))

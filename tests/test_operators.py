@@ -188,6 +188,8 @@ def test_embed_skips_blanks_and_failures(spark):
 
     df = spark.createDataFrame([(1, "abc"), (2, " "), (3, "bad"), (4, "zz")], "id long, text string").coalesce(1)
     assert {r["id"]: r["embedding"] for r in batching.embed(df, "id", "text", fn, most_items=1).collect()} == {1: [3.0], 2: None, 3: None, 4: [2.0]}
+    told = {r["id"]: r["error"] for r in batching.embed(df, "id", "text", fn, most_items=1, report=True).collect()}
+    assert told == {1: None, 2: None, 3: "ValueError: model", 4: None}
 
 
 @pytest.mark.parametrize("text,want", [('<think>x</think>```json\n{"a": 1}\n```', {"a": 1}), ('noise {"a": "b\\q"} tail', {"a": "b\\q"}), ('{"a": "open', {"a": "open"}), ("none", None)])
