@@ -87,7 +87,8 @@ def structural_edges(docs: DataFrame, nodes: DataFrame, rules: tuple[tuple[str,
 
     (src_id, dst_id, edge_type, provenance)
     """
-    named = docs.select("node_id", T.normalise_path(F.col("source_path")).alias("path")).filter(F.col("path").isNotNull() & ~F.startswith("path", F.lit(EXCLUDED_PREFIX)))
+    # The path is a generated column, so that the rules' filters don't repeat how it is made.
+    named = docs.select("node_id", F.explode(F.array(T.normalise_path(F.col("source_path")))).alias("path")).filter(F.col("path").isNotNull() & ~F.startswith("path", F.lit(EXCLUDED_PREFIX)))
     named = named.select("node_id", "path", F.split("path", "/").alias("parts")).withColumn("slug", F.get("parts", F.lit(3)))
     active = F.startswith("path", F.lit("docs/projects/active/")) & (F.size("parts") >= 4)
     index = F.struct(F.concat(F.lit("doc:domain:projects:active:"), "slug", F.lit(":index")).alias("target"), F.lit("belongs_to").alias("edge_type"), F.lit("path:projects/active").alias("provenance"))
