@@ -215,38 +215,40 @@ def conversation_title(hint: Column, prompts: Column, ref: Column) -> Column:
 
 
 def summarise_tool_input(pairs: Column, value_most: int = 200, total_most: int = 600) -> Column:
-    """`k=v` of (key, value) structs in document order; long values say how much is cut; redacted; null if empty."""
+    """`k=v` of (key, value) structs in document order; long values say how much is cut; cut, then redacted; null if empty."""
 
     def value(v: Column) -> Column:
         flat = F.trim(F.regexp_replace(F.coalesce(v, F.lit("")), r"(?U)\s+", " "))
         cut = F.concat(F.substring(flat, 1, value_most), F.lit("… (+"), (F.length(flat) - value_most).cast("string"), F.lit(" chars)"))
         return F.when(F.length(flat) > value_most, cut).otherwise(flat)
 
-    whole = redact(F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), value(p["value"]))), ", "))["text"]
-    return F.nullif(clip(whole, total_most), F.lit(""))
+    whole = F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), value(p["value"]))), ", ")
+    return F.nullif(redact(clip(whole, total_most))["text"], F.lit(""))
 
 
-#: Paths whose names alone are sensitive.
-_SENSITIVE = r"(?i)(^|/)(\.env[^/]*|\.ssh/.*|\.aws/.*|secrets?/.*|credentials?[^/]*|[^/]*\.(pem|key|p12|pfx))$"
+#: Folders and files whose names alone are sensitive.
+_SENSITIVE_FOLDER = r"(?i)(^|/)(secrets?|credentials?|\.ssh|\.gnupg)/"
+_SENSITIVE_FILE = r"(?i)(^|/)(\.env(\..+)?|credentials?\.(json|ya?ml)|id_rsa|id_ed25519|[^/]+\.(pem|key|p12|pfx|keystore|jks))$"
 
 
 def is_sensitive_path(path: Column) -> Column:
-    return F.rlike(path, F.lit(_SENSITIVE))
+    return F.rlike(path, F.lit(_SENSITIVE_FOLDER)) | F.rlike(path, F.lit(_SENSITIVE_FILE))
 
 
 def vcs_summary(status: Column, most: int = 40) -> Column:
-    """A porcelain status as its first lines, the new name of renames, sensitive paths only counted."""
-    lines = F.filter(F.split(F.coalesce(status, F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    named = F.transform(lines, lambda x: F.concat(F.substring(x, 1, 3), F.regexp_replace(F.substr(x, F.lit(4)), r"^.* -> ", "")))
-    shown = F.filter(named, lambda x: ~is_sensitive_path(F.substr(x, F.lit(4))))
-    hidden = F.size(named) - F.size(shown)
-    more = F.size(shown) - most
-    rows = F.concat(
-        F.slice(shown, 1, most),
-        F.when(more > 0, F.array(F.concat(F.lit("… +"), more.cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>")),
-        F.when(hidden > 0, F.array(F.concat(F.lit("("), hidden.cast("string"), F.lit(" sensitive path(s) omitted)")))).otherwise(F.array().cast("array<string>")),
-    )
-    return F.array_join(rows, "\n")
+    """A porcelain status as its first lines; sensitive paths (of renames the new one) and lines beyond are only counted."""
+    none = F.array().cast("array<string>")
+    lines = F.filter(F.split(F.coalesce(status, F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
+
+    def path(x: Column) -> Column:
+        name = F.trim(F.when(F.length(x) > 3, F.substr(x, F.lit(4))).otherwise(x))
+        return F.trim(F.trim(F.element_at(F.split(name, " -> "), -1)), F.lit('"'))
+
+    shown = F.filter(lines, lambda x: ~is_sensitive_path(path(x)))
+    hidden, more = F.size(lines) - F.size(shown), F.size(shown) - most
+    over = F.when(more > 0, F.array(F.concat(F.lit("... and "), more.cast("string"), F.lit(" more changed path(s)")))).otherwise(none)
+    held = F.when(hidden > 0, F.array(F.concat(F.lit("["), hidden.cast("string"), F.lit(" sensitive path(s) withheld]")))).otherwise(none)
+    return F.array_join(F.concat(F.slice(shown, 1, most), over, held), "\n")
 
 
 def embedding_of_json(text: Column) -> Column:

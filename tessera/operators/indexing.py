@@ -63,10 +63,10 @@ TITLE_LOCALES, TURN_LOCALES = ("original", "en", "es"), ("en", "es")
 
 
 def normalise_presentation(title: Column, description: Column, turns: Column) -> Column:
-    """A presentation of maps by locale: unknown locales and blank texts go; null if nothing is left."""
+    """A presentation of maps by locale: white space collapsed, unknown locales and blank texts go; null if nothing is left."""
 
     def texts(m: Column) -> Column:
-        return F.map_filter(F.transform_values(m, lambda k, v: F.trim(v)), lambda k, v: k.isin(*TITLE_LOCALES) & (v != ""))
+        return F.map_filter(F.transform_values(m, lambda k, v: F.trim(F.regexp_replace(v, r"(?U)\s+", " "))), lambda k, v: k.isin(*TITLE_LOCALES) & (v != ""))
 
     t, d, b = texts(title), texts(description), F.map_filter(turns, lambda k, v: k.isin(*TURN_LOCALES) & (F.size(v) > 0))
     some = (F.coalesce(F.size(t), F.lit(0)) > 0) | (F.coalesce(F.size(d), F.lit(0)) > 0) | (F.coalesce(F.size(b), F.lit(0)) > 0)

@@ -90,29 +90,53 @@ def container_integrity(docs: DataFrame) -> DataFrame:
     return gone.unionByName(lone.select(F.lit("warning").alias("severity"), F.lit("orphan").alias("finding"), "id", F.lit("").alias("detail")))
 
 
-#: What a graph file of each kind must have.
+#: What a graph file of each kind must have: its fields, its graphType, and its list of items.
 SCHEMAS = {
-    "skills": (("graphType", "role", "generatedAt", "skills"), "skills"),
-    "behaviors": (("graphType", "role", "generatedAt", "behaviors"), "behaviors"),
-    "knowledge": (("graphType", "role", "generatedAt"), "knowledge"),
-    "master": (("graphType", "project", "version", "generatedAt", "roles"), "master"),
+    "skills": (("graphType", "role", "generatedAt", "skills"), "skills", "skills"),
+    "behaviors": (("graphType", "role", "generatedAt", "behaviors"), "behaviors", "behaviors"),
+    "knowledge": (("graphType", "role", "generatedAt"), "knowledge", None),
+    "master": (("graphType", "project", "version", "generatedAt", "roles"), "master", None),
 }
+PRIORITIES = ("low", "medium", "high", "critical")
+GRAPH_FOLDER = "agents/knowledge-graphs/"
+_ITEMS = "array<struct<id:string,type:string,name:string,priority:string>>"
+_ROLES = "array<struct<id:string,name:string,graphs:array<struct<id:string,path:string>>>>"
 
 
 def schema_findings(files: DataFrame, kind: str) -> DataFrame:
-    """(path, finding) for JSON files (path, value) that break the rules of their kind; no rows: valid."""
-    required, const = SCHEMAS[kind]
+    """(path, finding) for JSON files (path, value) that break the rules of their kind; no rows: valid.
+
+    A kind of finding comes once a file. A file that isn't there is one with a null value.
+    """
+    required, const, listed = SCHEMAS[kind]
     j = lambda p: F.get_json_object("value", f"$.{p}")
-    items = {"skills": "skills", "behaviors": "behaviors"}.get(kind)
-    tests = [F.when(F.try_parse_json("value").isNull(), "not JSON")]
-    tests += [F.when(j(f).isNull(), f"missing {f}") for f in required]
-    tests.append(F.when(j("graphType") != const, "wrong graphType"))
-    tests.append(F.when(j("role").isNotNull() & ~F.rlike(j("role"), F.lit("^role-")) & F.lit(kind != "master"), "wrong role"))
-    if kind == "knowledge":
-        tests.append(F.when(j("nodes").isNull() == j("documents").isNull(), "not exactly one of nodes and documents"))
-    if items:
-        ids = F.from_json(j(items), "array<struct<id:string>>")
-        tests.append(F.when(F.exists(F.coalesce(ids, F.array().cast("array<struct<id:string>>")), lambda x: x.isNull() | F.coalesce(x["id"] == "", F.lit(True))), "item without id"))
+    rows = lambda text, kind_: F.coalesce(F.from_json(text, kind_), F.array().cast(kind_))
+    any_ = lambda array, test: F.exists(array, lambda x: F.coalesce(test(x), F.lit(False)))
+    readable = F.try_parse_json("value").isNotNull()
+    tests = [F.when(F.col("value").isNull(), "missing file").when(~readable, "not JSON")]
+    broken = [(j(f).isNull(), f"missing {f}") for f in required] + [(j("graphType") != const, "wrong graphType")]
+    if kind == "master":
+        roles = rows(j("roles"), _ROLES)
+        entries = F.flatten(F.transform(roles, lambda r: F.coalesce(r["graphs"], F.array().cast("array<struct<id:string,path:string>>"))))
+        broken += [
+            (any_(roles, lambda r: r["id"].isNull() | r["name"].isNull() | r["graphs"].isNull()), "role without id, name or graphs"),
+            (any_(roles, lambda r: ~F.startswith(r["id"], F.lit("role-"))), "wrong role id"),
+            (any_(entries, lambda g: g["id"].isNull() | g["path"].isNull()), "graph without id or path"),
+            (any_(entries, lambda g: ~F.startswith(g["path"], F.lit(GRAPH_FOLDER))), "graph outside its folder"),
+        ]
+    else:
+        broken.append((~F.startswith(j("role"), F.lit("role-")), "wrong role"))
+        text = j(listed) if listed else F.coalesce(j("nodes"), j("documents"))
+        items = rows(text, _ITEMS)
+        least = (lambda x: x["id"].isNull() | (x["id"] == "")) if listed else (lambda x: x["id"].isNull())
+        broken += [(any_(items, least), "item without id"), (any_(items, lambda x: x["type"] == ""), "empty type")]
+        if kind == "skills":
+            broken.append((any_(items, lambda x: x["name"] == ""), "empty name"))
+        if kind == "behaviors":
+            broken.append((any_(items, lambda x: ~x["priority"].isin(*PRIORITIES)), "unknown priority"))
+        if kind == "knowledge":
+            broken.append((j("nodes").isNull() == j("documents").isNull(), "not exactly one of nodes and documents"))
+    tests += [F.when(readable & test, finding) for test, finding in broken]
     return files.select("path", F.explode(F.array_compact(F.array(*tests))).alias("finding"))
 
 

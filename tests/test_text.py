@@ -92,7 +92,7 @@ def test_small_functions(spark):
     assert one(spark, T.cjk_runs(F.lit("ab 日本 c 한국"))) == "日本 한국"
     assert one(spark, T.markdown_body(F.lit("---\na: 1\n---\nBody\n"))).strip() == "Body"
     assert one(spark, T.idle_label(F.lit(47))) == "47h" and one(spark, T.idle_label(F.lit(49))) == "2d"
-    assert one(spark, T.vcs_summary(F.lit(" M a.py\nR  old -> new\n?? .env\n"))) == " M a.py\nR  new\n(1 sensitive path(s) omitted)"
+    assert one(spark, T.vcs_summary(F.lit(" M a.py\nR  old -> new\n?? .env\n"))) == " M a.py\nR  old -> new\n[1 sensitive path(s) withheld]"
     assert one(spark, T.next_title(F.lit("mine"), F.lit("user"), F.lit("new"))) == "mine"
 
 
