@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tessera.llm.textarrow import LEAD, SPACED, byte_class, dense_ranks, lines, slices, spans, tidied
 
 _SYMBOLS = byte_class(b"#*$%&|<>")
+_LETTERS = byte_class(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
+_BULLETS = (b"-", b"*", "•".encode())
+_ELLIPSES = (b"...", "…".encode())
 _WINDOW = 8
 
 #: The rules by bit, as conditions on the measurements that a text fails.
@@ -29,6 +32,9 @@ RULES = (
     ("symbols", "10 * n_symbols > n_words"),
     ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
     ("very_many_words", "n_words > 1000000"),
+    ("bullet_lines", "10 * n_bullet_lines > 9 * n_worded_lines"),
+    ("ellipsis_lines", "10 * n_ellipsis_lines > 3 * n_worded_lines"),
+    ("few_letter_words", "10 * n_letter_words < 8 * n_words"),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 #: The two rules that no policy can leave out.
@@ -38,7 +44,16 @@ POLICIES = {
     "base": BASE,
     "v1": BASE | BIT["symbols"] | BIT["duplicate_lines"] | BIT["short_words"] | BIT["long_words"] | BIT["very_many_words"],
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+POLICIES["v2"] = POLICIES["v1"] | BIT["bullet_lines"] | BIT["ellipsis_lines"] | BIT["few_letter_words"]
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_worded_lines", "n_bullet_lines", "n_ellipsis_lines", "n_letter_words")
+
+
+def _holds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: bytes) -> np.ndarray:
+    """Which of the ranges from `starts` on, that end at `ends` or later, begin with these bytes."""
+    fits = ends - starts >= len(word)
+    for k, byte in enumerate(word):
+        fits[fits] = data[starts[fits] + k] == byte
+    return fits
 
 
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -67,10 +82,19 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 
     of, starts, ends, line = lines(texts)
     line_text = np.repeat(np.arange(n), np.diff(of))
-    worded = np.searchsorted(found.starts, ends) > np.searchsorted(found.starts, starts)
+    first_word, after = np.searchsorted(found.starts, starts), np.searchsorted(found.starts, ends)
+    worded = after > first_word
+    per_text = lambda which: np.bincount(line_text[worded][which], minlength=n)
+    begins, stops = found.starts[first_word[worded]], found.ends[after[worded] - 1]
+    tail = found.starts[after[worded] - 1]
+    bullet = np.logical_or.reduce([_holds(found.data, begins, stops, b) for b in _BULLETS])
+    ellipsis = np.logical_or.reduce([_holds(found.data, np.maximum(stops - len(e), tail), stops, e) for e in _ELLIPSES])
+    letter = np.concatenate([[0], np.cumsum(_LETTERS[found.data])])
+    lettered = letter[found.ends] > letter[found.starts]
+    bullets, ellipses, some = per_text(bullet), per_text(ellipsis), per_text(np.ones(len(begins), bool))
     key = line_text * np.int64(len(line) + 1) + line
     _, first = np.unique(key, return_index=True)
-    later = worded
+    later = worded.copy()
     later[first] = False
     return {
         "n_words": found.counts(),
@@ -79,6 +103,10 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         "n_dup_lines": np.bincount(line_text[later], minlength=n),
         "n_repeat_words": repeated,
         "n_lines": np.diff(of),
+        "n_worded_lines": some,
+        "n_bullet_lines": bullets,
+        "n_ellipsis_lines": ellipses,
+        "n_letter_words": np.bincount(text_of[lettered], minlength=n),
     }
 
 
@@ -96,13 +124,13 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("failed", reduce(Column.bitwiseOR, bits))
 
 
-def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:
+def apply_policy(rows: DataFrame, version: str = "v2") -> DataFrame:
     """Add base_failed and kept (never true of a text that fails a base rule) to a ledger."""
     failed = F.col("failed")
     return rows.withColumn("base_failed", failed.bitwiseAND(F.lit(BASE)) != 0).withColumn("kept", failed.bitwiseAND(F.lit(BASE | POLICIES[version])) == 0)
 
 
-def ablations(rows: DataFrame, version: str = "v1") -> DataFrame:
+def ablations(rows: DataFrame, version: str = "v2") -> DataFrame:
     """For each rule of a policy: texts it fails, and texts that the policy would win back without it.
 
     The ledger is first counted by its bits (at most 2 to the number of rules groups), then the

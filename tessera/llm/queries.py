@@ -48,8 +48,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v1")
-    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    rated = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bullet_lines", "n_ellipsis_lines", "n_letter_words", "failed")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +122,13 @@ win as (select doc_id, i, array_to_string(w[i : i + 7], ' ') as g from (select d
 twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from win) where c > 1),
 rep as (select doc_id, count(distinct j) as n_repeat_words from (select doc_id, unnest(range(i, i + 8)) as j from twice) group by doc_id),
 lines as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
-dup as (select doc_id, count(*) as n_lines, sum(case when regexp_matches(line, '[^\x20\x09-\x0D]') then 1 else 0 end) - count(distinct case when regexp_matches(line, '[^\x20\x09-\x0D]') then line end) as n_dup_lines from lines group by doc_id),
+dup as (select doc_id, count(*) as n_lines, sum(case when regexp_matches(line, '[^\x20\x09-\x0D]') then 1 else 0 end) - count(distinct case when regexp_matches(line, '[^\x20\x09-\x0D]') then line end) as n_dup_lines,
+  count(*) filter (regexp_matches(line, '[^\x20\x09-\x0D]')) as n_worded_lines, count(*) filter (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')) as n_bullet_lines,
+  count(*) filter (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) as n_ellipsis_lines from lines group by doc_id),
 m as (select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
-  cast(n_dup_lines as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_lines from d join dup using (doc_id) left join rep using (doc_id)),
+  cast(n_dup_lines as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_lines, n_worded_lines, n_bullet_lines, n_ellipsis_lines, cast(len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as bigint) as n_letter_words from d join dup using (doc_id) left join rep using (doc_id)),
 f as (select *, {" + ".join(f"(case when {fails} then {quality_rules.BIT[name]} else 0 end)" for name, fails in quality_rules.RULES)} as failed from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {quality_rules.BASE}) <> 0 as base_failed, (failed & {quality_rules.POLICIES["v1"]}) = 0 as kept, failed from f
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {quality_rules.BASE}) <> 0 as base_failed, (failed & {quality_rules.POLICIES["v2"]}) = 0 as kept, n_bullet_lines, n_ellipsis_lines, n_letter_words, failed from f
 """
 
 SQL_DECONTAMINATION = f"""

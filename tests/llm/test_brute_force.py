@@ -377,10 +377,28 @@ def test_op7(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_op7_lines(spark):
+    """Bullets, ellipses and words with letters against plain loops; a rule fails only beyond its share."""
+    space = "\x20\x09\x0a\x0b\x0c\x0d"
+    rng = random.Random(5)
+    bits = ["-", "*", "•", "...", "…", "..", "a", "12", "é", "word...", "-x", " ", "\t", "\n", "\n", "x…", "\r", "\x0b"]
+    texts = ["", None, "\n", "...", "-", "•\n\n", "a…\r\n", *("".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(40))) for _ in range(300))]
+    rows = quality_rules.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        each = [line.strip(space) for line in text.split("\n") if line.strip(space)]
+        words = re.findall(rf"[^{space}]+", text)
+        assert (r["n_worded_lines"], r["n_bullet_lines"]) == (len(each), sum(line[0] in "-*•" for line in each))
+        assert r["n_ellipsis_lines"] == sum(line.endswith(("...", "…")) for line in each)
+        assert r["n_letter_words"] == sum(any(c > "\x7f" or c.isalpha() for c in w) for w in words)
+        assert bool(r["failed"] & quality_rules.BIT["few_letter_words"]) == (10 * r["n_letter_words"] < 8 * len(words))
+
+
 def test_op7_ablations(spark):
     rows = quality_rules.ledger(documents(spark)).cache()
     masks, v1 = [r["failed"] for r in rows.collect()], quality_rules.POLICIES["v1"]
-    for r in quality_rules.ablations(rows).collect():
+    for r in quality_rules.ablations(rows, "v1").collect():
         bit = quality_rules.BIT[r["rule"]]
         assert r["n_failed"] == sum(bool(m & bit) for m in masks) and r["n_won_back"] == sum(m & v1 == bit for m in masks)
 
