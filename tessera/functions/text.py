@@ -134,7 +134,11 @@ def snippet(content: Column, tokens: list[str], width: int = 180) -> Column:
     return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(end < F.length(flat), "…").otherwise(""))
 
 
-def clip(text: Column, most: int = 6000) -> Column:
+#: Fixed value: characters of a chunk.
+CLIP = 6000
+
+
+def clip(text: Column, most: int = CLIP) -> Column:
     """Text cut to `most` characters plus an ellipsis."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 

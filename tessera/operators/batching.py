@@ -7,57 +7,57 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def batch_numbers(sizes: Column, most: int) -> Column:
-    """Greedy batch numbers (from 0) of an array of sizes: a batch closes when the next item would pass `most`; one item always fits."""
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("out"))
+class Greedy:
+    """Greedy batch numbers (from 0) of sizes that come one by one: a batch closes when the next item would pass `most`; one item always fits."""
 
-    def step(a: Column, n: Column) -> Column:
-        over = (F.size(a["out"]) > 0) & (a["size"] + n > most) & (a["size"] > 0)
-        no = F.when(over, a["no"] + 1).otherwise(a["no"])
-        return F.struct(F.when(over, n).otherwise(a["size"] + n).cast("int").alias("size"), no.cast("int").alias("no"), F.concat(a["out"], F.array(no.cast("int"))).alias("out"))
+    def __init__(self, most: int):
+        self.most, self.size, self.no = most, 0, 0
 
-    return F.aggregate(sizes, start, step, lambda a: a["out"])
+    def number(self, size: int) -> int:
+        if self.size and self.size + size > self.most:
+            self.no, self.size = self.no + 1, 0
+        self.size += size
+        return self.no
 
 
 def batched(items: DataFrame, group: str, order: str, text: str, most: int) -> DataFrame:
-    """Items with the number of their batch in their group."""
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("rows"))
-    rows = rows.withColumn("nos", batch_numbers(F.transform("rows", lambda r: F.length(r[text])), most))
-    return rows.select(group, F.explode(F.arrays_zip("rows", "nos")).alias("z")).select(group, f"z.rows.{order}", f"z.rows.{text}", F.col("z.nos").alias("batch"))
-
-
-def split_text(text: str, most: int) -> list[str]:
-    """Pieces of at most `most` characters, cut at line ends where that is possible."""
-    pieces, held = [], ""
-    for line in text.splitlines(keepends=True):
-        if held and len(held) + len(line) > most:
-            pieces.append(held)
-            held = ""
-        while len(line) > most:
-            pieces.append(line[:most])
-            line = line[most:]
-        held += line
-    return [*pieces, held] if held else pieces or [text]
+    """Items with the number of their batch in their group.
 
+    Each group is read once in its order, a row at a time across Arrow batches, so a long one is never an array in
+    memory; Python sees sizes only and hands the other columns on."""
 
-def split_pieces(turns: DataFrame, most: int = 1000) -> DataFrame:
-    """(conv_id, seq, key, part, parts, text): whole turns, or parts with keys `seq#part`. Only turns over `most` go through Python."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, greedy = None, Greedy(most)
+        for batch in batches:
+            numbers = []
+            for key, size in zip(batch.column(group).to_pylist(), batch.column("_size").to_pylist(), strict=True):
+                if key != at:
+                    at, greedy = key, Greedy(most)
+                numbers.append(greedy.number(size))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int32())], [group, order, text, "batch"])
+
+    rows = items.select(group, order, text, F.coalesce(F.length(text), F.lit(0)).alias("_size")).repartition(group).sortWithinPartitions(group, order)
+    return rows.mapInArrow(work, rows.drop("_size").withColumn("batch", F.lit(None).cast("int")).schema)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for conv, seq, text in zip(pdf["conv_id"], pdf["seq"], pdf["text"], strict=True):
-                parts = split_text(text, most)
-                out += [(conv, seq, f"{seq}#{i}", i, len(parts), p) for i, p in enumerate(parts)]
-            yield pd.DataFrame(out, columns=["conv_id", "seq", "key", "part", "parts", "text"])
 
+def split_text(text: Column, most: int) -> Column:
+    """Pieces of at most `most` characters: the rest if it fits, else up to its last line end that does, else cut there."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{most}}}\z|.{{0,{most - 1}}}\n|.{{1,{most}}})"), F.lit(1))
+
+
+def split_pieces(turns: DataFrame, most: int = 1000) -> DataFrame:
+    """(conv_id, seq, key, part, parts, text): whole turns, or parts with keys `seq#part`."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("int").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.filter(F.length("text") <= most).select("conv_id", "seq", F.col("seq").cast("string").alias("key"), F.lit(0).alias("part"), F.lit(1).alias("parts"), "text")
-    return whole.unionByName(rows.filter(F.length("text") > most).mapInPandas(work, "conv_id long, seq int, key string, part int, parts int, text string"))
+    whole = F.length("text") <= most
+    pieces = rows.select("conv_id", "seq", whole.alias("whole"), F.when(whole, F.array("text")).otherwise(split_text(F.col("text"), most)).alias("pieces"))
+    each = pieces.select("conv_id", "seq", "whole", F.size("pieces").alias("parts"), F.posexplode("pieces").alias("part", "text"))
+    seq = F.col("seq").cast("string")
+    return each.select("conv_id", "seq", F.when(F.col("whole"), seq).otherwise(F.concat(seq, F.lit("#"), F.col("part").cast("string"))).alias("key"), "part", "parts", "text")
 
 
 def embed(rows: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[list[float]]], most_items: int = 128, most_chars: int = 80_000, report: bool = False) -> DataFrame:
@@ -133,12 +133,15 @@ def repair_json(text: str) -> dict | None:
 
 
 def translate(pieces: DataFrame, fn: Callable[[dict[str, str]], dict[str, str]]) -> DataFrame:
-    """(conv_id, seq, text): pieces translated by a given function of {key: text} and rejoined by turn; a turn that lacks a part is left out."""
+    """(conv_id, seq, text): pieces translated by a given function of {key: text} and rejoined by turn; a turn that lacks a part is left out.
+
+    Keys are unique in a conversation only, so each call gets pieces of one."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = fn(dict(zip(pdf["key"], pdf["text"], strict=True)))
-            yield pdf.assign(text=[got.get(k) for k in pdf["key"]])
+            for _, own in pdf.groupby("conv_id", sort=False, dropna=False):
+                got = fn(dict(zip(own["key"], own["text"], strict=True)))
+                yield own.assign(text=[got.get(k) for k in own["key"]])
 
     done = pieces.mapInPandas(work, pieces.schema).filter("text is not null")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "")

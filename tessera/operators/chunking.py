@@ -50,9 +50,15 @@ def windows(turns: DataFrame, size: int = SIZE, stride: int = STRIDE, heading: C
 
 
 def sessions(turns: DataFrame, heading: Column | None = None) -> DataFrame:
-    """All prose of a conversation as one clipped chunk."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", formatted().alias("line")))), lambda x: x["line"])
-    got = turns.filter(F.trim("text") != "").groupBy("conv_id").agg(F.min("seq").alias("seq_start"), F.max("seq").alias("seq_end"), F.array_join(lines, "\n\n").alias("body"))
+    """All prose of a conversation as one clipped chunk.
+
+    A running length is taken first, so that of a long conversation only the lines before the cut are gathered."""
+    rows = turns.filter(F.trim("text") != "").withColumn("line", formatted())
+    before = F.sum(F.length("line") + 2).over(W.partitionBy("conv_id").orderBy("seq", "line").rowsBetween(W.unboundedPreceding, -1))
+    # Two characters of a separator stand before a line; what starts behind the cut can't be in the clip.
+    first = F.when(F.coalesce(before, F.lit(0)) <= T.CLIP + 2, F.struct("seq", "line"))
+    lines = F.transform(F.array_sort(F.collect_list("first")), lambda x: x["line"])
+    got = rows.withColumn("first", first).groupBy("conv_id").agg(F.min("seq").alias("seq_start"), F.max("seq").alias("seq_end"), F.array_join(lines, "\n\n").alias("body"))
     content = T.clip(F.col("body") if heading is None else F.concat(heading, F.lit("\n\n"), F.col("body")))
     return got.select("conv_id", F.lit("session").alias("granularity"), "seq_start", "seq_end", content.alias("content")).filter(F.length("content") >= LEAST)
 
@@ -87,10 +93,11 @@ def overlay(turns: DataFrame, translated: DataFrame) -> DataFrame:
 
 
 def titles(turns: DataFrame, hint: Column | None = None) -> DataFrame:
-    """(conv_id, title) by the opening prompts of each conversation."""
-    line = F.when(F.col("role") == "human", T.prompt_line(F.col("text")))
-    found = F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]))
-    got = turns.groupBy("conv_id").agg(found.alias("prompts"))
+    """(conv_id, title) by the opening prompts of each conversation: a title needs the first two, so no more are gathered."""
+    lines = turns.filter("role = 'human'").select("conv_id", "seq", T.prompt_line(F.col("text")).alias("line")).filter("line is not null")
+    opening = lines.withColumn("_k", F.row_number().over(W.partitionBy("conv_id").orderBy("seq", "line"))).filter("_k <= 2").select("conv_id", F.struct("seq", "line").alias("p"))
+    every = turns.select("conv_id").distinct().withColumn("p", F.lit(None).cast("struct<seq:int,line:string>"))
+    got = every.unionByName(opening).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["line"]).alias("prompts"))
     return got.select("conv_id", T.conversation_title(F.lit(None).cast("string") if hint is None else hint, F.col("prompts"), F.col("conv_id").cast("string")).alias("title"))
 
 

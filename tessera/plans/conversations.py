@@ -167,15 +167,31 @@ select conv_id, seq, cast(batch as int) as batch from go"""
 
 
 def split_pieces(spark, d):
-    """Long turns in pieces; sequential, so there is no SQL: tests compare it with a plain version."""
     return batching.split_pieces(D.turns(spark, d), 400)
 
 
+SQL_PIECES = f"""with {D.SQL_TURNS}, cut as (select conv_id, seq, coalesce(text, '') as t, case when length(coalesce(text, '')) <= 400 then [coalesce(text, '')] else regexp_extract_all(text, '(?s)(.{{1,400}}\\z|.{{0,399}}\\n|.{{1,400}})', 1) end as p from turns),
+each as (select conv_id, seq, t, len(p) as parts, unnest(p) as text, generate_subscripts(p, 1) - 1 as part from cut)
+select conv_id, cast(seq as int) as seq, case when length(t) <= 400 then '' || seq else seq || '#' || part end as key, cast(part as int) as part, cast(parts as int) as parts, text from each"""
+
+
+def _leet(texts):
+    return {k: t.replace("e", "3") for k, t in texts.items()}
+
+
+def translated(spark, d):
+    """Turns in pieces through a stand-in for a translation model, and whole again."""
+    return batching.translate(batching.split_pieces(D.turns(spark, d), 400), _leet)
+
+
+SQL_TRANSLATED = f"with {D.SQL_TURNS} select conv_id, seq, replace(coalesce(text, ''), 'e', '3') as text from turns"
+
+
 def embed_chunks(spark, d):
     """Vectors of all chunks by the built-in stand-in for a model, in bounded batches."""
     return batching.embed(D.chunks(spark, d), "id", "content", batching.hashing_embedder(32), most_items=64)
 
 
-_F = (chunk_windows, chunk_session, role_normalise, around_turns, tail_turns, conversation_title, listing_copy, locale_overlay, query_tokens, redact_text, leak_scan, leak_summary, leak_gate, workspace_key, slugs, stub_ids, titles_normalised, greedy_batches)
-QUERIES = {f.__name__: f for f in (*_F, split_pieces, embed_chunks)}
-SQL = dict(zip((f.__name__ for f in _F), (_chunk_sql("window"), _chunk_sql("session"), SQL_ROLE, SQL_AROUND, SQL_TAIL, SQL_TITLE, SQL_LISTING, SQL_OVERLAY, SQL_TOKENS, SQL_REDACT, SQL_LEAKS, SQL_LEAK_SUMMARY, SQL_GATE, SQL_WORKSPACE, SQL_SLUGS, SQL_STUBS, SQL_TITLES, SQL_BATCHES), strict=True))
+_F = (chunk_windows, chunk_session, role_normalise, around_turns, tail_turns, conversation_title, listing_copy, locale_overlay, query_tokens, redact_text, leak_scan, leak_summary, leak_gate, workspace_key, slugs, stub_ids, titles_normalised, greedy_batches, split_pieces, translated)
+QUERIES = {f.__name__: f for f in (*_F, embed_chunks)}
+SQL = dict(zip((f.__name__ for f in _F), (_chunk_sql("window"), _chunk_sql("session"), SQL_ROLE, SQL_AROUND, SQL_TAIL, SQL_TITLE, SQL_LISTING, SQL_OVERLAY, SQL_TOKENS, SQL_REDACT, SQL_LEAKS, SQL_LEAK_SUMMARY, SQL_GATE, SQL_WORKSPACE, SQL_SLUGS, SQL_STUBS, SQL_TITLES, SQL_BATCHES, SQL_PIECES, SQL_TRANSLATED), strict=True))

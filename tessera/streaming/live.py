@@ -34,10 +34,10 @@ def fold_job_log(log: DataFrame) -> DataFrame:
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempt, seq = state.get if state.exists else (None, 0, 0)
         for pdf in frames:
-            for _, row in pdf.sort_values("ts", kind="stable").iterrows():
-                status = row["status"] if isinstance(row["status"], str) else status
-                attempt += int(bool(row["bump"]))
-                seq += 1
+            told = pdf.sort_values("ts", kind="stable")["status"].dropna()
+            status = told.iloc[-1] if len(told) else status
+            attempt += int(pdf["bump"].fillna(False).astype(bool).sum())
+            seq += len(pdf)
         state.update((status, attempt, seq))
         yield pd.DataFrame({"item": [key[0]], "status": [status], "attempt": [attempt], "seq": [seq]})
 

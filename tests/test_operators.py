@@ -38,6 +38,19 @@ def test_session_is_clipped(spark):
     assert len(chunking.sessions(long).first()["content"]) == 6001
 
 
+def test_session_ends_at_the_last_turn(spark):
+    for n in (1, 3, 150, 158, 159, 160, 161, 400):
+        rows = chunking.sessions(turns(spark, n)).first()
+        body = "\n\n".join(f"[{i}] {'Human' if i % 2 else 'Agent'}: turn number {i} with enough words to count" for i in range(1, n + 1))
+        assert (rows["seq_start"], rows["seq_end"], rows["content"]) == (1, n, body if len(body) <= 6000 else body[:6000] + "…")
+
+
+def test_titles_take_the_first_prompts(spark):
+    rows = [(1, 1, "human", "Hello"), (1, 2, "agent", "hi"), (1, 3, "human", "fix the build"), (1, 4, "human", "more"), (2, 1, "agent", "no prompt here"), (3, 1, "human", " "), (3, 2, "human", "second line")]
+    got = {r["conv_id"]: r["title"] for r in chunking.titles(spark.createDataFrame(rows, "conv_id long, seq int, role string, text string")).collect()}
+    assert got == {1: "Hello → fix the build", 2: "2", 3: "second line"}
+
+
 def test_around_and_tail(spark):
     assert [r["seq"] for r in chunking.around(turns(spark, 20), 10, 2).orderBy("seq").collect()] == [8, 9, 10, 11, 12]
     assert [r["seq"] for r in chunking.tail(turns(spark, 5), 2).orderBy("seq").collect()] == [4, 5]
@@ -157,21 +170,46 @@ def test_fresh_items(spark):
 
 def test_greedy_batches(spark):
     rng = random.Random(3)
-    for _ in range(20):
-        sizes = [rng.randint(0, 12) for _ in range(rng.randint(1, 15))]
-        want, held, no = [], 0, 0
+    groups = [[rng.randint(0, 12) for _ in range(rng.randint(1, 15))] for _ in range(20)] + [[rng.randint(0, 4) for _ in range(25_000)]]
+    want = {}
+    for g, sizes in enumerate(groups):
+        held, no = 0, 0
         for i, n in enumerate(sizes):
-            if i and held and held + n > 10:
+            if held and held + n > 10:
                 no, held = no + 1, 0
-            want.append(no)
+            want[g, i] = no
             held += n
-        assert spark.range(1).select(batching.batch_numbers(F.lit(sizes), 10).alias("b")).first()["b"] == want
+    df = spark.createDataFrame([(g, i, "x" * n) for g, sizes in enumerate(groups) for i, n in enumerate(sizes)], "g long, i int, t string")
+    assert {(r["g"], r["i"]): r["batch"] for r in batching.batched(df, "g", "i", "t", 10).collect()} == want
+
 
+def test_greedy_batches_null_and_order(spark):
+    df = spark.createDataFrame([(None, 2, "aaaa"), (None, 1, "bbb"), (1, 1, None), (1, 2, "cccccc"), (1, 3, "")], "g long, i int, t string")
+    got = batching.batched(df, "g", "i", "t", 5).collect()
+    assert {(r["g"], r["i"], r["t"], r["batch"]) for r in got} == {(None, 1, "bbb", 0), (None, 2, "aaaa", 1), (1, 1, None, 0), (1, 2, "cccccc", 0), (1, 3, "", 1)}
 
-@pytest.mark.parametrize("text", ["", "a\nb\n", "x" * 25, "line one\n" * 5, "ab\n" + "y" * 23 + "\nz"])
-def test_split_text(text):
-    parts = batching.split_text(text, 10)
-    assert "".join(parts) == text and all(len(p) <= 10 for p in parts)
+
+def plain_pieces(text, most):
+    out, held = [], ""
+    for line in text.split("\n"):
+        line += "\n"
+        if held and len(held) + len(line) > most:
+            out.append(held)
+            held = ""
+        while len(line) > most:
+            out.append(line[:most])
+            line = line[most:]
+        held += line
+    return [*out, held]
+
+
+@pytest.mark.parametrize("text", ["a\nb\n", "x" * 25, "line one\n" * 5, "ab\n" + "y" * 23 + "\nz", "\n" * 23, "\U0001f600" * 31, "123456789\n123456789\nz", "a\r\nb\u2028c" * 9])
+def test_split_text(spark, text):
+    parts = spark.createDataFrame([(text,)], "t string").select(batching.split_text(F.col("t"), 10).alias("p")).first()["p"]
+    assert "".join(parts) == text and all(0 < len(p) <= 10 for p in parts)
+    # The plain version ends every text with a line end.
+    ended = spark.createDataFrame([(text + "\n",)], "t string").select(batching.split_text(F.col("t"), 10).alias("p")).first()["p"]
+    assert ended == plain_pieces(text, 10)
 
 
 def test_translate_rejoins_whole_turns(spark):
@@ -180,6 +218,12 @@ def test_translate_rejoins_whole_turns(spark):
     assert {(r["seq"], r["text"]) for r in done.collect()} == {(1, "WORD " * 60), (2, "SHORT")}
 
 
+def test_translate_keeps_conversations_apart(spark):
+    turns_ = spark.createDataFrame([(c, 1, f"text of {c}") for c in range(5)], "conv_id long, seq int, text string").coalesce(1)
+    done = batching.translate(batching.split_pieces(turns_), lambda d: {k: t.upper() for k, t in d.items()})
+    assert {(r["conv_id"], r["text"]) for r in done.collect()} == {(c, f"TEXT OF {c}") for c in range(5)}
+
+
 def test_embed_skips_blanks_and_failures(spark):
     def fn(texts):
         if "bad" in texts:
