@@ -15,7 +15,7 @@ def structural_edges(spark, d):
     return graph.structural_edges(docs, hubs)
 
 
-_STRUCTURAL = f"""{D.SQL_PATHS}, {D.SQL_HUBS}, r as (
+STRUCTURAL = f"""{D.SQL_PATHS}, {D.SQL_HUBS}, r as (
   select node_id, case
     when starts_with(path, 'docs/projects/active/') and len(string_split(path, '/')) >= 4 then case when not ends_with(string_split(path, '/')[4], '.md') then ['doc:domain:projects:active:' || string_split(path, '/')[4] || ':index', 'belongs_to', 'path:projects/active'] end
     when starts_with(path, 'docs/architecture/') then ['cat-architecture', 'in_domain', 'path:architecture']
@@ -24,14 +24,14 @@ _STRUCTURAL = f"""{D.SQL_PATHS}, {D.SQL_HUBS}, r as (
   from pathed where not starts_with(path, 'docs/plan/')
 ), hit as (select r.node_id, r[1] as target, r[2] as edge_type, r[3] as provenance from r where r[1] in (select node_id from hubs)),
 edges as (select node_id as src_id, target as dst_id, edge_type, provenance from hit union select target, node_id, 'contains', provenance from hit where edge_type = 'belongs_to')"""
-SQL_STRUCTURAL = f"with {_STRUCTURAL} select * from edges"
+SQL_STRUCTURAL = f"with {STRUCTURAL} select * from edges"
 
 
 def edges_by_rule(spark, d):
     return structural_edges(spark, d).groupBy("provenance").agg(F.count("*").alias("n"))
 
 
-SQL_BY_RULE = f"with {_STRUCTURAL} select provenance, count(*) as n from edges group by 1"
+SQL_BY_RULE = f"with {STRUCTURAL} select provenance, count(*) as n from edges group by 1"
 
 
 def _lineitem_edges(spark, d):

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import graph, indexing, jobs, merging, quality, reports, sessions
 from tessera.plans import derive as D
+from tessera.plans import graphs as G
 from tessera.plans import lifecycle as L
 from tessera.sources import knowledge
 from tessera.sources.tables import table
 
+
 def _k():
     return F.col("p_partkey")
 
@@ -240,12 +242,67 @@ def cjk_extracted(spark, d):
 
 SQL_CJK = "select doc_id, case when doc_id % 3 = 0 then '記録 ひらカナ 한글' end as runs from documents"
 
-_F = (structural_replaced, diff_applied, stub_repair, tool_inputs, vcs_lines, sensitive_paths, fresh_items, stale_sessions, embedding_costs, presentations, contents_built, emitted_edges, schema_findings, resume_texts, lane_lines, tree_lines, switch_lines, cjk_extracted)
+def _synced(spark, d):
+    """A first load of the graph: three of four documents and all hubs are curated."""
+    paths = D.paths(spark, d)
+    own = paths.filter("doc_id % 4 <> 0").select(F.col("doc_id").alias("pos"), F.to_json(F.struct(F.col("node_id").alias("id"), F.col("title").alias("name"), F.col("source_path").alias("path"))).alias("item"))
+    hubs = D.hubs(spark, d).select(F.lit(0).cast("long").alias("pos"), F.to_json(F.struct(F.col("node_id").alias("id"))).alias("item"))
+    items = own.unionByName(hubs).select(F.lit(0).alias("spec_no"), "pos", F.lit("domain").alias("graph"), F.lit("f.json").alias("source_file"), F.lit("skill").alias("default_type"), "item")
+    history = spark.createDataFrame([], "node_id string, node_type string, graph string, title string, attributes string, source_path string, content_hash string, valid_from timestamp_ntz, superseded_at timestamp_ntz")
+    edges = spark.createDataFrame([], "src_id string, dst_id string, edge_type string, graph string")
+    return indexing.sync_graph(items, items.limit(0), paths.select("doc_id", F.col("source_path").alias("path"), "title"), history, edges, D.as_of())
+
+
+def graph_sync_nodes(spark, d):
+    return _synced(spark, d)["history"].select("node_id", "graph", "source_path", "superseded_at")
+
+
+SQL_SYNC_NODES = f"""with {D.SQL_PATHS}, {D.SQL_HUBS}, n as (select node_id, 'domain' as graph, path as source_path from pathed where doc_id % 4 <> 0 union all select node_id, 'domain', null from hubs
+union all select 'stub-' || doc_id, 'docshare-stub', path from pathed where doc_id % 4 = 0 and not starts_with(path, 'docs/plan/')) select *, null::timestamp as superseded_at from n"""
+
+
+def graph_sync_edges(spark, d):
+    return _synced(spark, d)["edges"]
+
+
+def _synced_id(c):
+    return f"case when regexp_matches({c}, '^n[0-9]+$') and try_cast(substr({c}, 2) as int) % 4 = 0 then 'stub-' || substr({c}, 2) else {c} end"
+
+
+SQL_SYNC_EDGES = f"with {G.STRUCTURAL} select {_synced_id('src_id')} as src_id, {_synced_id('dst_id')} as dst_id, edge_type, 'structural' as graph from edges"
+
+
+def graph_sync_coverage(spark, d):
+    return _synced(spark, d)["coverage"]
+
+
+SQL_SYNC_COVERAGE = f"""with {D.SQL_PATHS}, c as (select doc_id % 4 <> 0 or not starts_with(path, 'docs/plan/') as k, doc_id % 4 = 0 and not starts_with(path, 'docs/plan/') as stub from pathed)
+select count(*) as total, count(*) filter (k) as linked, count(*) filter (not k) as unlinked, count(*) filter (stub) as stubs from c"""
+
+
+def knowledge_chunks(spark, d):
+    """Chunks of graph items, by their Markdown file if it is long enough; ids come twice and some items are archived."""
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("docs/"), k, F.lit(".md"))
+    item = F.to_json(F.struct(F.concat(F.lit("n"), F.floor(k / 2).cast("long")).alias("id"), F.concat(F.lit("Title of "), k).alias("name"), F.when(k % 5 == 0, "Archived").alias("status"), F.concat(F.lit("./"), path).alias("path")))
+    items = docs.select(F.pmod(k, F.lit(2)).cast("int").alias("spec_no"), k.alias("pos"), F.lit("kg:skill:").alias("prefix"), F.lit("skill").alias("default_type"), item.alias("item"))
+    bodies = docs.filter(k % 3 == 0).select(path.alias("path"), F.col("text").alias("body"))
+    got = knowledge.chunks(items, bodies)
+    return got.select("id", "node_id", "node_type", "topic", "content_source", "content_sha256")
+
+
+SQL_KNOWLEDGE = """with i as (select *, 'n' || (doc_id // 2) as node_id, 'Title of ' || doc_id as topic, doc_id % 3 = 0 and coalesce(length(text), 0) >= 30 as md from documents where doc_id % 5 <> 0),
+c as (select *, topic || chr(10) || chr(10) || case when md then text else '{"id":"' || node_id || '","name":"' || topic || '","path":"./docs/' || doc_id || '.md"}' end as content from i)
+select 'kg:skill:' || node_id as id, node_id, 'skill' as node_type, topic, case when md then 'markdown' else 'json' end as content_source, sha256(content) as content_sha256
+from c qualify row_number() over (partition by node_id order by doc_id desc) = 1"""
+
+_F = (structural_replaced, diff_applied, stub_repair, tool_inputs, vcs_lines, sensitive_paths, fresh_items, stale_sessions, embedding_costs, presentations, contents_built, emitted_edges, schema_findings, resume_texts, lane_lines, tree_lines, switch_lines, cjk_extracted, graph_sync_nodes, graph_sync_edges, graph_sync_coverage, knowledge_chunks)
 QUERIES = {f.__name__: f for f in _F}
 SQL = dict(
     zip(
         QUERIES,
-        (SQL_STRUCTURAL, SQL_APPLIED, SQL_REPAIR, SQL_TOOLS, SQL_VCS, SQL_SENSITIVE, SQL_FRESH, SQL_STALE, SQL_COSTS, SQL_PRESENTATIONS, SQL_CONTENTS, SQL_EMITTED, SQL_SCHEMA, SQL_RESUMED, SQL_LANE_LINES, SQL_TREE_LINES, SQL_SWITCH_LINES, SQL_CJK),
+        (SQL_STRUCTURAL, SQL_APPLIED, SQL_REPAIR, SQL_TOOLS, SQL_VCS, SQL_SENSITIVE, SQL_FRESH, SQL_STALE, SQL_COSTS, SQL_PRESENTATIONS, SQL_CONTENTS, SQL_EMITTED, SQL_SCHEMA, SQL_RESUMED, SQL_LANE_LINES, SQL_TREE_LINES, SQL_SWITCH_LINES, SQL_CJK, SQL_SYNC_NODES, SQL_SYNC_EDGES, SQL_SYNC_COVERAGE, SQL_KNOWLEDGE),
         strict=True,
     )
 )
