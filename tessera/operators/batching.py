@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -114,22 +112,15 @@ def hashing_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]
     return fn
 
 
-def repair_json(text: str) -> dict | None:
-    """The outermost JSON object of a model's answer: thinking and fences go, bad escapes are doubled, an open string is closed."""
-    body = re.sub(r"(?s)<think>.*?</think>", "", text or "")
-    body = re.sub(r"```(?:json)?", "", body)
-    start = body.find("{")
-    if start < 0:
-        return None
-    body = body[start : body.rfind("}") + 1] if "}" in body[start:] else body[start:]
-    for attempt in (body, re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", body), body + '"}', body + "}"):
-        try:
-            got = json.loads(attempt, strict=False)
-        except ValueError:
-            continue
-        if isinstance(got, dict):
-            return got
-    return None
+def repair_json(text: Column) -> Column:
+    """The outermost JSON object of a model's answer as a map of texts: thinking and fences go, bad escapes are doubled, an
+    open string or object is closed; null where none of this makes it readable."""
+    body = F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
+    body = F.substring(body, F.greatest(F.instr(body, "{"), F.lit(1)), F.length(body))
+    body = F.when(F.contains(body, F.lit("}")), F.regexp_extract(body, r"(?s)^(.*\})", 1)).otherwise(body)
+    tries = (body, F.regexp_replace(body, r'\\(?!["\\/bfnrtu])', r"\\\\"), F.concat(body, F.lit('"}')), F.concat(body, F.lit("}")))
+    read = F.coalesce(*(F.from_json(t, "map<string,string>", {"allowUnquotedControlChars": "true"}) for t in tries))
+    return F.when(F.startswith(body, F.lit("{")), read)
 
 
 def translate(pieces: DataFrame, fn: Callable[[dict[str, str]], dict[str, str]]) -> DataFrame:

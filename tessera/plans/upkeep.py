@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, indexing, jobs, merging, quality, reports, sessions
+from tessera.operators import batching, graph, indexing, jobs, merging, quality, reports, sessions
 from tessera.plans import derive as D
 from tessera.plans import graphs as G
 from tessera.plans import lifecycle as L
@@ -297,12 +297,23 @@ c as (select *, topic || chr(10) || chr(10) || case when md then text else '{"id
 select 'kg:skill:' || node_id as id, node_id, 'skill' as node_type, topic, case when md then 'markdown' else 'json' end as content_source, sha256(content) as content_sha256
 from c qualify row_number() over (partition by node_id order by doc_id desc) = 1"""
 
-_F = (structural_replaced, diff_applied, stub_repair, tool_inputs, vcs_lines, sensitive_paths, fresh_items, stale_sessions, embedding_costs, presentations, contents_built, emitted_edges, schema_findings, resume_texts, lane_lines, tree_lines, switch_lines, cjk_extracted, graph_sync_nodes, graph_sync_edges, graph_sync_coverage, knowledge_chunks)
+def answers_repaired(spark, d):
+    """A model's answers with every fault that can be mended, and some that can't."""
+    k = _k().cast("string")
+    parts = [('<think>a {</think>```json\n{"a": "', '"}\n```'), ('noise {"a": "', '\\q"} tail'), ('{"a": "', ""), ("none ", ""), ('{"a": {"b": ', "}"), ('{"a": "x\ny ', '"}')]
+    texts = F.array(*(F.concat(F.lit(x), k, F.lit(y)) for x, y in parts))
+    answer = F.element_at(texts, (_mod(6) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", batching.repair_json(F.when(_mod(7) > 0, answer))["a"].alias("a"))
+
+
+SQL_REPAIRED = r"""select p_partkey, case when p_partkey % 7 > 0 then ['' || p_partkey, p_partkey || '\q', '' || p_partkey, null, '{"b":' || p_partkey || '}', 'x' || chr(10) || 'y ' || p_partkey][p_partkey % 6 + 1] end as a from part"""
+
+_F = (structural_replaced, diff_applied, stub_repair, tool_inputs, vcs_lines, sensitive_paths, fresh_items, stale_sessions, embedding_costs, presentations, contents_built, emitted_edges, schema_findings, resume_texts, lane_lines, tree_lines, switch_lines, cjk_extracted, graph_sync_nodes, graph_sync_edges, graph_sync_coverage, knowledge_chunks, answers_repaired)
 QUERIES = {f.__name__: f for f in _F}
 SQL = dict(
     zip(
         QUERIES,
-        (SQL_STRUCTURAL, SQL_APPLIED, SQL_REPAIR, SQL_TOOLS, SQL_VCS, SQL_SENSITIVE, SQL_FRESH, SQL_STALE, SQL_COSTS, SQL_PRESENTATIONS, SQL_CONTENTS, SQL_EMITTED, SQL_SCHEMA, SQL_RESUMED, SQL_LANE_LINES, SQL_TREE_LINES, SQL_SWITCH_LINES, SQL_CJK, SQL_SYNC_NODES, SQL_SYNC_EDGES, SQL_SYNC_COVERAGE, SQL_KNOWLEDGE),
+        (SQL_STRUCTURAL, SQL_APPLIED, SQL_REPAIR, SQL_TOOLS, SQL_VCS, SQL_SENSITIVE, SQL_FRESH, SQL_STALE, SQL_COSTS, SQL_PRESENTATIONS, SQL_CONTENTS, SQL_EMITTED, SQL_SCHEMA, SQL_RESUMED, SQL_LANE_LINES, SQL_TREE_LINES, SQL_SWITCH_LINES, SQL_CJK, SQL_SYNC_NODES, SQL_SYNC_EDGES, SQL_SYNC_COVERAGE, SQL_KNOWLEDGE, SQL_REPAIRED),
         strict=True,
     )
 )

@@ -236,9 +236,16 @@ def test_embed_skips_blanks_and_failures(spark):
     assert told == {1: None, 2: None, 3: "ValueError: model", 4: None}
 
 
-@pytest.mark.parametrize("text,want", [('<think>x</think>```json\n{"a": 1}\n```', {"a": 1}), ('noise {"a": "b\\q"} tail', {"a": "b\\q"}), ('{"a": "open', {"a": "open"}), ("none", None)])
-def test_repair_json(text, want):
-    assert batching.repair_json(text) == want
+ANSWERS = [
+    ('<think>x {</think>```json\n{"a": 1}\n```', {"a": "1"}), ('noise {"a": "b\\q"} tail', {"a": "b\\q"}), ('{"a": "open', {"a": "open"}), ("none", None), (None, None), ("", None), ("{}", {}),
+    ('{"a": {"b": 2}', {"a": '{"b":2}'}), ('{"a": "two\nlines", "b": "\\u00e9"}', {"a": "two\nlines", "b": "é"}), ("} no object {", {}), ('[1] {"a": "}"} x', {"a": "}"}),
+]
+
+
+def test_repair_json(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ANSWERS)], "i int, t string")
+    got = {r["i"]: r["m"] for r in df.select("i", batching.repair_json(F.col("t")).alias("m")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(ANSWERS)}
 
 
 def test_integrity(spark):
