@@ -26,11 +26,13 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
 def numbered(df: DataFrame, score: Column, key: str = "id", depth: int | None = None, few: int = 20_000) -> DataFrame:
     """(key, score, rank): ranks from 1 by score descending, then key. With a depth, a bounded top-k, which one task
     can number; so can it a table of at most `few` rows, which are counted first. Ranks are the same either way."""
-    rows = df.select(key, score.alias("score")).filter("score is not null")
+    rows = df.select(key, score.alias("score"))
     order = (F.desc("score"), F.asc(key))
     if depth is None and df.count() > few:
-        return global_rank(rows, *order)
-    return rows.orderBy(*order).limit(depth or few).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+        return global_rank(rows.filter("score is not null"), *order)
+    # Nulls come last, so they can go after the limit; a filter below it would work out each score twice.
+    top = rows.orderBy(*order).limit(depth or few).filter("score is not null")
+    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def rrf(lists: list[DataFrame], key: str = "id", k: int = 60) -> DataFrame:

@@ -38,7 +38,7 @@ def best_per_key(df: DataFrame, keys: list[str], tie: str = "id") -> DataFrame:
 def hybrid_rank(items: DataFrame, query: str, vector: list[float] | None, limit: int = 8, k: int = 60, group: str = "conv_id") -> DataFrame:
     """Lexical and vector ranks of all items fused, one pointer a conversation. Without a vector only the
     lexical list counts, and the vector column is not read."""
-    lists = [fusion.numbered(items, F.when(T.coverage(T.tokenize(query), F.col("content")) > 0, T.coverage(T.tokenize(query), F.col("content"))))]
+    lists = [fusion.numbered(items, F.nullif(T.coverage(T.tokenize(query), F.col("content")), F.lit(0.0)))]
     if vector is not None:
         lists.append(fusion.numbered(items, F.round(V.cosine(F.col("embedding"), vector), 9)))
     ranked = fusion.rrf(lists, k=k).join(items.select("id", group, "granularity"), "id")
@@ -53,7 +53,7 @@ def channel_search(items: DataFrame, query: str, vector: list[float] | None, lim
     lexical = fusion.numbered(scored, F.col("score"), depth=depth)
     cjk = [t for t in T.tokenize(query) if t[0] >= "㐀"]
     if cjk and "content_cjk" in items.columns:
-        more = fusion.numbered(items.filter("content_cjk is not null"), F.when(T.coverage(cjk, F.col("content_cjk")) > 0, T.coverage(cjk, F.col("content_cjk"))), depth=depth)
+        more = fusion.numbered(items.filter("content_cjk is not null"), F.nullif(T.coverage(cjk, F.col("content_cjk")), F.lit(0.0)), depth=depth)
         both = lexical.select("id", F.col("rank")).unionByName(more.select("id", (F.col("rank") + depth).alias("rank")))
         both = both.groupBy("id").agg(F.min("rank").alias("at"))
         lexical = both.withColumn("rank", F.row_number().over(W.orderBy("at"))).drop("at")
