@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, hilbert_shards, jaccard_join, language_id, line_dedup, packing, quality_rules, token_binary, toxicity, warc
+from tessera.llm import decontamination, hilbert_shards, jaccard_join, language_id, line_dedup, packing, quality_rules, rank_bpe, shallot, token_alignment, token_binary, toxicity, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -69,10 +69,29 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = shallot.cluster(shallot.quantised(_table(spark, sf_dir, "embeddings"), dims=64), k=16, rounds=3, dims=64, salt="1")
+    return shallot.with_inertia(assigned, centroids)
+
+
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    found = rank_bpe.decode(rank_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.linked(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_language_id, op3_token_binary, op4_line_dedup, op5_packing, op6_warc, op7_quality_rules, op8_decontamination, op9_toxicity, op10_hilbert_shards)
-}
+    for f in (
+        op1_jaccard_join, op2_language_id, op3_token_binary, op4_line_dedup, op5_packing, op6_warc, op7_quality_rules,
+        op8_decontamination, op9_toxicity, op10_hilbert_shards, op11_shallot, op12_rank_bpe, op13_token_alignment,
+    )
+}
 
 #: A line's key: ASCII white space stripped at both ends, A-Z lower-cased.
 _KEYED = """
@@ -144,7 +163,38 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join hits using (doc_id) left join items using (doc_id)
 """
 
+
+
+def _assigned(step: int) -> str:
+    return f"""
+a{step} as (select vec_id, v, j, d from (
+  select k.vec_id, k.v, c.j, list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d,
+         row_number() over (partition by k.vec_id order by d, c.j) as r
+  from kept k, c{step} c) where r = 1)"""
+
+
+def _moved(step: int) -> str:
+    """Exact floor of each component's sum by the cluster's size; an empty cluster keeps its centroid."""
+    return f"""
+m{step} as (select j, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as v from (
+  select j, i, sum(x) as s, count(*) as n from (select j, unnest(v) as x, generate_subscripts(v, 1) as i from a{step}) group by j, i) group by j),
+c{step + 1} as (select c.j, coalesce(m.v, c.v) as v from c{step} c left join m{step} m on m.j = c.j)"""
+
+
+SQL_SHALLOT = f"""
+with kept as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select row_number() over (order by sha256('1:' || vec_id), v) - 1 as j, v from kept qualify j < 16),
+{",".join(_assigned(i) + "," + _moved(i) for i in range(3))},
+{_assigned(3)}
+select vec_id, cast(a3.j as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a3.j) as bigint) as cluster_inertia,
+       cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c3.v, ',')) as centroid_sha256
+from a3 join c3 on c3.j = a3.j
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_shallot": SQL_SHALLOT,
     "op1_jaccard_join": SQL_JACCARD,
     "op6_warc": SQL_WARC,
     "op7_quality_rules": SQL_QUALITY,
