@@ -117,9 +117,18 @@ def coverage(tokens: list[str], content: Column) -> Column:
     return hit.cast("double") / len(tokens)
 
 
+def cjk_run_list(text: Column) -> Column:
+    """CJK runs (kana, hangul and ideographs) of a text, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_CJK), F.lit(0))
+
+
+def cjk_run_list_of(text: str) -> list[str]:
+    return re.findall(_CJK, text or "")
+
+
 def cjk_runs(text: Column) -> Column:
-    """CJK runs (kana, hangul and ideographs) joined by a blank; null if there are none."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_CJK), F.lit(0))
+    """CJK runs joined by a blank; null if there are none."""
+    runs = cjk_run_list(text)
     return F.when(F.size(runs) > 0, F.array_join(runs, " "))
 
 

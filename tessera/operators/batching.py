@@ -115,7 +115,9 @@ def hashing_embedder(width: int = 64) -> Callable[[list[str]], list[list[float]]
 def repair_json(text: Column) -> Column:
     """The outermost JSON object of a model's answer as a map of texts: thinking and fences go, bad escapes are doubled, an
     open string or object is closed; null where none of this makes it readable."""
-    body = F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
+    # A model's thought, and the fences around its whole answer. Fences inside of it are text.
+    body = F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), F.lit(" \t\r\n"))
+    body = F.regexp_replace(F.regexp_replace(body, r"^```(?:json)?\s*", ""), r"\s*```$", "")
     body = F.substring(body, F.greatest(F.instr(body, "{"), F.lit(1)), F.length(body))
     body = F.when(F.contains(body, F.lit("}")), F.regexp_extract(body, r"(?s)^(.*\})", 1)).otherwise(body)
     tries = (body, F.regexp_replace(body, r'\\(?!["\\/bfnrtu])', r"\\\\"), F.concat(body, F.lit('"}')), F.concat(body, F.lit("}")))

@@ -137,12 +137,21 @@ def stubs_to_supersede(nodes: DataFrame) -> DataFrame:
     return nodes.filter(stub).join(nodes.filter(~stub).select("source_path"), "source_path", "left_semi")
 
 
+def with_attribute(attributes: Column, name: str, value: Column) -> Column:
+    """A JSON object's text with one more or one other attribute: its other values keep their types, numbers, objects and
+    lists as they are. What is no object (null, or text that can't be read) becomes an object of this attribute alone."""
+    held = F.map_entries(F.try_variant_get(F.try_parse_json(attributes), "$", "map<string,variant>"))
+    name_of = lambda key: F.substring(F.to_json(F.array(key)), F.lit(2), F.length(F.to_json(F.array(key))) - 2)
+    kept = F.transform(F.filter(held, lambda e: e["key"] != name), lambda e: F.concat(name_of(e["key"]), F.lit(":"), F.to_json(e["value"])))
+    entry = F.concat(name_of(F.lit(name)), F.lit(":"), F.coalesce(name_of(value), F.lit("null")))
+    return F.concat(F.lit("{"), F.array_join(F.concat(F.coalesce(kept, F.array().cast("array<string>")), F.array(entry)), ","), F.lit("}"))
+
+
 def repair_stub_docs(nodes: DataFrame) -> DataFrame:
     """Stubs whose attributes name another document than their id does get the id's; other nodes stay as they are."""
     own = F.regexp_replace("node_id", "^stub-", "")
-    attrs = F.from_json("attributes", "map<string,string>")
-    wrong = (F.col("graph") == "docshare-stub") & ~F.element_at(attrs, "docshare_doc_id").eqNullSafe(own)
-    fixed = F.to_json(F.map_concat(F.map_filter(F.coalesce(attrs, F.create_map().cast("map<string,string>")), lambda k, v: k != "docshare_doc_id"), F.create_map(F.lit("docshare_doc_id"), own)))
+    wrong = (F.col("graph") == "docshare-stub") & ~F.get_json_object("attributes", "$.docshare_doc_id").eqNullSafe(own)
+    fixed = with_attribute(F.col("attributes"), "docshare_doc_id", own)
     return nodes.withColumn("attributes", F.when(wrong, fixed).otherwise(F.col("attributes")))
 
 
@@ -171,14 +180,14 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def lineage(spark: SparkSession, view: str, start: int | str) -> DataFrame:
-    """(session_id, parent_session_id, depth) from a session up its parents; a loop or a missing parent ends it.
+def lineage(spark: SparkSession, sessions: str | DataFrame, start: int | str) -> DataFrame:
+    """Of sessions (a table, or the name of a view, with session_id and parent_session_id): (session_id, parent_session_id, depth) from a session up its parents; a loop or a missing parent ends it.
 
     Each round doubles how far the walk has come, until nothing is added.
     """
     from tessera.operators.staging import staged
 
-    rows = spark.table(view)
+    rows = spark.table(sessions) if isinstance(sessions, str) else sessions
     jump = rows.select("session_id", F.col("parent_session_id").alias("up")).join(rows.select(F.col("session_id").alias("up")), "up", "left_semi")
     jump = staged(jump.select("session_id", "up").distinct(), "lineage")
     seen = rows.filter(F.col("session_id") == F.lit(start)).select("session_id", F.lit(0).alias("depth")).distinct()

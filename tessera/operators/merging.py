@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def diff_by_key(wanted: DataFrame, existing: DataFrame, keys: list[str], digest: str = "content_sha256", has_vector: str | None = None) -> DataFrame:
-    """(keys, action): insert, update, embed (same text, no vector), unchanged or delete, by one full outer join."""
-    a = wanted.select(*keys, F.col(digest).alias("_new"))
+    """(keys, action): insert, update, embed (same text, no vector), unchanged or delete, by one full outer join.
+
+    Rows are told apart by a mark on each side, so a row without a digest is a row like others; two without are unchanged."""
+    a = wanted.select(*keys, F.col(digest).alias("_new"), F.lit(True).alias("_wanted"))
     vector = F.col(has_vector) if has_vector else F.lit(True)
-    b = existing.select(*keys, F.col(digest).alias("_old"), vector.alias("_has"))
+    b = existing.select(*keys, F.col(digest).alias("_old"), vector.alias("_has"), F.lit(True).alias("_had"))
     action = (
-        F.when(F.col("_new").isNull(), "delete")
-        .when(F.col("_old").isNull(), "insert")
-        .when(F.col("_new") != F.col("_old"), "update")
+        F.when(F.col("_wanted").isNull(), "delete")
+        .when(F.col("_had").isNull(), "insert")
+        .when(~F.col("_new").eqNullSafe(F.col("_old")), "update")
         .when(~F.coalesce(F.col("_has"), F.lit(False)), "embed")
         .otherwise("unchanged")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import fusion
+from tessera.operators.postings import CJK, WORD, Index, query_tokens
 from tessera.operators.staging import staged
 
 
@@ -45,15 +46,21 @@ def hybrid_rank(items: DataFrame, query: str, vector: list[float] | None, limit:
     return fusion.collapse(ranked, group, F.col("granularity"), limit=limit)
 
 
-def channel_search(items: DataFrame, query: str, vector: list[float] | None, limit: int = 8, depth: int = 100, k: int = 60, group: str = "conv_id") -> DataFrame:
+def channel_search(items: DataFrame, query: str, vector: list[float] | None, limit: int = 8, depth: int = 100, k: int = 60, group: str = "conv_id", index: Index | None = None, within: bool = False) -> DataFrame:
     """As hybrid_rank, but each channel gives its own best `depth` rows and neither filters the other.
 
-    Ids that only the CJK column finds come after the lexical ones in the same list."""
-    scored = tfidf(items, query)
-    lexical = fusion.numbered(scored, F.col("score"), depth=depth)
-    cjk = [t for t in T.tokenize(query) if t[0] >= "㐀"]
-    if cjk and "content_cjk" in items.columns:
-        more = fusion.numbered(items.filter("content_cjk is not null"), F.nullif(T.coverage(cjk, F.col("content_cjk")), F.lit(0.0)), depth=depth)
+    Words are looked up in the `index` of the items, and so are the bigrams of the query's CJK runs; the ids that only
+    these find come after the others in the same list. Without an index the texts are searched for words. `within` says that
+    `items` are only some of the indexed ones: then the others go before a channel is cut (counts of documents stay those of all)."""
+    tokens = query_tokens(query)
+
+    def found(field: int) -> DataFrame:
+        scored = index.search(tokens[field], field)
+        return fusion.numbered(scored.join(items.select("id"), "id", "left_semi") if within else scored, F.col("score"), depth=depth)
+
+    lexical = found(WORD) if index else fusion.numbered(tfidf(items, query), F.col("score"), depth=depth)
+    if index and tokens[CJK]:
+        more = found(CJK)
         both = lexical.select("id", F.col("rank")).unionByName(more.select("id", (F.col("rank") + depth).alias("rank")))
         both = both.groupBy("id").agg(F.min("rank").alias("at"))
         lexical = both.withColumn("rank", F.row_number().over(W.orderBy("at"))).drop("at")
@@ -97,11 +104,11 @@ def candidates(items: DataFrame, query: str, most: int = 400) -> DataFrame:
     return items.join(F.broadcast(best), "id", "left_semi") if best.count() else items
 
 
-def archive_search(items: DataFrame, query: str, vector: list[float] | None = None, workspace_key: str | None = None, since: Column | None = None, model: str | None = None, limit: int = 8, mode: str = "scan", most_candidates: int | None = None) -> DataFrame:
+def archive_search(items: DataFrame, query: str, vector: list[float] | None = None, workspace_key: str | None = None, since: Column | None = None, model: str | None = None, limit: int = 8, mode: str = "scan", most_candidates: int | None = None, index: Index | None = None) -> DataFrame:
     """Search of an archive of items (id, conv_id, granularity, content, embedding; workspace_key, captured_at and
     embedding_model where they are asked for): one pointer a conversation, as `hybrid_rank` ("scan") or `channel_search`
     ("channels") gives it. A blank query finds nothing; `since` leaves out items without a time; vectors of another
-    model don't count. `most_candidates` turns the pre-filter on."""
+    model don't count. `most_candidates` turns the pre-filter on; `index` serves the channels."""
     if mode not in ("scan", "channels"):
         raise ValueError(f"unknown mode {mode}")
     rows = items if query.strip() else items.limit(0)
@@ -113,7 +120,9 @@ def archive_search(items: DataFrame, query: str, vector: list[float] | None = No
         rows = candidates(rows, query, most_candidates)
     if model and vector is not None:
         rows = rows.withColumn("embedding", F.when(F.col("embedding_model") == model, F.col("embedding")))
-    return (hybrid_rank if mode == "scan" else channel_search)(rows, query, vector, limit=limit)
+    if mode == "channels":
+        return channel_search(rows, query, vector, limit=limit, index=index, within=rows is not items)
+    return hybrid_rank(rows, query, vector, limit=limit)
 
 
 def message_filters(df: DataFrame, agent: str | None = None, **equal: str | None) -> DataFrame:
@@ -164,15 +173,28 @@ def search_with_fallback(vector_hits: DataFrame, keyword_hits: DataFrame) -> Dat
     return a.unionByName(b)
 
 
-def joint_search(kg: DataFrame, docs: DataFrame, query: list[float], top_k: int = 6, per_store: int = 12, floor: float = 0.22, use_rrf: bool = True, k: int = 60) -> DataFrame:
-    """Best rows of two stores: fused by rank, or by cosine with a floor. Stops at 2 * top_k overall, then top_k a store."""
+def joint_mode(query: str, vector: list[float] | None, use_rrf: bool = True) -> str:
+    """How a joint search answers: `empty` (a blank query), `no_embed` (it has no vector), `rrf` or `cosine`."""
+    return "empty" if not (query or "").strip() else "no_embed" if not vector else "rrf" if use_rrf else "cosine"
+
+
+def joint_search(kg: DataFrame, docs: DataFrame, query: list[float] | None, top_k: int = 6, per_store: int = 12, floor: float = 0.22, use_rrf: bool = True, k: int = 60, node: str | None = None) -> DataFrame:
+    """Best rows of two stores: fused by rank, or by cosine with a floor. Stops at 2 * top_k overall, then top_k a store.
+
+    `node` names the column of the first store that tells its nodes (where it is null, the row's id does): by rank, the chunks of
+    one node add up to one hit with the score of the best; by cosine each chunk is a hit. Without a vector nothing is found."""
     parts = []
     for store, df in (("kg", kg), ("doc", docs)):
-        hits = top_by_vector(df, query, limit=per_store, floor=None if use_rrf else floor)
-        ranked = hits.select(F.concat(F.lit(store + ":"), F.col("id")).alias("key"), F.lit(store).alias("store"), "score")
-        parts.append(ranked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "key"))))
+        df = df if query else df.limit(0)
+        hits = top_by_vector(df, query or [0.0], limit=per_store, floor=None if use_rrf else floor)
+        name = F.coalesce(F.col(node).cast("string"), F.col("id").cast("string")) if node and store == "kg" and use_rrf else F.col("id").cast("string")
+        ranked = hits.select(F.concat(F.lit(store + ":"), name).alias("key"), F.lit(store).alias("store"), "id", "score")
+        parts.append(ranked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id"))))
     both = parts[0].unionByName(parts[1])
-    both = both.withColumn("fused", F.round(1.0 / (F.lit(k) + F.col("rank")), 12) if use_rrf else F.col("score"))
+    if use_rrf:
+        both = both.groupBy("store", "key").agg(F.min_by("score", "rank").alias("score"), F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 12).alias("fused"))
+    else:
+        both = both.withColumn("fused", F.col("score"))
     cut = both.orderBy(F.desc("fused"), F.desc("store"), "key").limit(2 * top_k)
     w = W.partitionBy("store").orderBy(F.desc("fused"), "key")
     return cut.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= top_k).select("key", "store", F.round("score", 6).alias("score"), F.round("fused", 10).alias("fused"))

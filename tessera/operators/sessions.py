@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import text as T
+from tessera.sources import snapshots
 
 
 def matching(df: DataFrame, **values) -> DataFrame:
@@ -160,6 +161,12 @@ def apply_open(sessions: DataFrame, actions: DataFrame, now: Column) -> DataFram
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def open_published(spark: SparkSession, base: str, requests: DataFrame, now: Column) -> int:
+    """Open sessions in a published table and return the version that holds them. If another writer published meanwhile, what
+    to do is decided again from what that one left: two requests for one identity end up with one open session."""
+    return snapshots.update(spark, base, lambda held: apply_open(held, open_sessions(held, requests), now), touched=requests.select(*IDENTITY))
+
+
 def append_checkpoints(checkpoints: DataFrame, sessions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Checkpoints with new ones of known sessions added, and the sessions with `last_checkpoint_at` and `updated_at`
     moved to their newest new checkpoint (never back)."""

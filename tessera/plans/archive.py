@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import chunking, graph, reports, retrieval, sessions
 from tessera.plans import derive as D
 from tessera.plans import search as S
+from tessera.sources import snapshots
 from tessera.sources.tables import table
 
 _SINCE = "2024-01-01 01:00:00"
@@ -38,7 +39,8 @@ select conv_id, id, place, round(score, 10) as score from best"""
 
 def index_build(spark, d):
     """The chunk index that searches read, built anew: its chunks without their vectors."""
-    return D.items(spark, d, anew=True).select("id", "conv_id", "granularity", F.sha2("content", 256).alias("content_sha256"), F.size("embedding").alias("width"))
+    snapshots.drop(spark, D._place(spark, d, "items"))
+    return D.items(spark, d).select("id", "conv_id", "granularity", F.sha2("content", 256).alias("content_sha256"), F.size("embedding").alias("width"))
 
 
 SQL_BUILD = f"with {D.SQL_ITEMS} select id, conv_id, granularity, sha256(content) as content_sha256, cast(len(embedding) as int) as width from items"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking
-from tessera.operators.staging import staged
+from tessera.operators import chunking, postings, synced
+from tessera.operators.staging import base_dir
 from tessera.sources.tables import table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -55,22 +57,65 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(turns(spark, d))
 
 
-_INDEXES: dict[tuple[str, str], DataFrame] = {}
+def _place(spark: SparkSession, d: str, name: str) -> str:
+    """The folder of a derived table of the tables at `d`."""
+    return f"{base_dir(spark)}/{name}-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+
+
+def _files(d: str, *names: str) -> list[str]:
+    return [f"{d}/{n}.parquet" for n in names]
+
+
+def conversation_digests(turns_: DataFrame) -> DataFrame:
+    """(conv_id, digest): equal for equal sets of turns, whatever their order; summed before the shuffle."""
+    each = F.xxhash64("seq", "role", "text").cast("decimal(38,0)")
+    return turns_.groupBy("conv_id").agg(F.concat_ws(":", F.count("*"), F.sum(each).cast("string")).alias("digest"))
+
+
+def synced_items(spark: SparkSession, d: str, base: str | None = None, buckets: int = 8) -> synced.Synced:
+    """The chunk index: chunks with a vector each, kept in step with the conversations and the vectors at `d`. Only conversations
+    that are new or changed are cut in chunks again; other vectors change them all."""
+    from tessera.sources.snapshots import signature
+
+    def units() -> DataFrame:
+        model = signature(spark, _files(d, "embeddings"))
+        return conversation_digests(turns(spark, d)).select("conv_id", F.concat_ws(":", "digest", F.lit(model)).alias("digest"))
 
+    def derive(keys: DataFrame | None) -> DataFrame:
+        return build_index(spark, d, keys)
 
-def items(spark: SparkSession, d: str, anew: bool = False) -> DataFrame:
-    """The chunk index: chunks with a vector each, built by the first search of an application (or anew) and read by all."""
-    key = (spark.sparkContext.applicationId, d)
-    if anew or key not in _INDEXES:
-        _INDEXES[key] = build_index(spark, d)
-    return _INDEXES[key]
+    return synced.sync(spark, base or _place(spark, d, "items"), lambda: signature(spark, _files(d, "conversations", "embeddings")), units, derive, "conv_id", buckets)
 
 
-def build_index(spark: SparkSession, d: str) -> DataFrame:
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the chunk index, brought up to date first."""
+    return synced_items(spark, d).rows
+
+
+def build_index(spark: SparkSession, d: str, conversations: DataFrame | None = None) -> DataFrame:
+    """Chunks of all conversations (or of some), each with a vector."""
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    n = vectors.count()
-    rows = chunks(spark, d).withColumn("vec_id", F.pmod(F.col("conv_id") * 31 + F.col("seq_start") * 7 + F.col("seq_end"), F.lit(n)))
-    return staged(rows.join(vectors, "vec_id").drop("vec_id"), "items")
+    said = turns(spark, d)
+    said = said if conversations is None else said.join(conversations, "conv_id", "left_semi")
+    rows = chunking.chunks(said).withColumn("vec_id", F.pmod(F.col("conv_id") * 31 + F.col("seq_start") * 7 + F.col("seq_end"), F.lit(vectors.count())))
+    return rows.join(vectors, "vec_id").drop("vec_id")
+
+
+def item_postings(spark: SparkSession, d: str) -> postings.Index:
+    """The inverted index of the chunks, brought up to date first."""
+    from tessera.sources.snapshots import signature
+
+    held = synced_items(spark, d)
+    now = f"{held.version}:{signature(spark, _files(d, 'conversations', 'embeddings'))}"
+    return postings.sync(spark, _place(spark, d, "item-postings"), lambda: now, lambda: held.rows.select("id", "content"), buckets=8)
+
+
+def document_postings(spark: SparkSession, d: str, base: str | None = None) -> postings.Index:
+    """The inverted index of the documents' whole texts, brought up to date first."""
+    from tessera.sources.snapshots import signature
+
+    docs = lambda: table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return postings.sync(spark, base or _place(spark, d, "document-postings"), lambda: signature(spark, _files(d, "documents")), docs, buckets=16)
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:

@@ -145,9 +145,8 @@ SQL_DUPLICATE_OPEN = f"with {D.SQL_SESSIONS} select sha256(concat_ws(chr(10), ag
 
 
 def lineage(spark, d):
-    D.sessions(spark, d).select("session_id", "parent_session_id").createOrReplaceTempView("tessera_sessions")
     last = table(spark, d, "customer").agg(F.max("c_custkey").alias("m")).first()["m"]
-    return graph.lineage(spark, "tessera_sessions", last)
+    return graph.lineage(spark, D.sessions(spark, d).select("session_id", "parent_session_id"), last)
 
 
 SQL_LINEAGE = f"""with recursive {D.SQL_SESSIONS}, up as (select session_id, parent_session_id, 0 as depth from sessions where session_id = (select max(c_custkey) from customer)

@@ -59,7 +59,8 @@ dense as (select id, 0 as score from items where false){_FUSED} select conv_id,
 
 
 def channel_search(spark, d):
-    return retrieval.channel_search(D.items(spark, d), QUERY, D.query_vector(spark, d)).select("conv_id", "id", "place", F.round("score", 10).alias("score"))
+    found = retrieval.channel_search(D.items(spark, d), QUERY, D.query_vector(spark, d), index=D.item_postings(spark, d))
+    return found.select("conv_id", "id", "place", F.round("score", 10).alias("score"))
 
 
 def _tfidf_sql(source: str, content: str) -> str:
@@ -80,7 +81,7 @@ def _docs(spark, d):
 
 
 def fulltext_tfidf(spark, d):
-    return retrieval.tfidf(_docs(spark, d), QUERY).orderBy(F.desc("score"), "id").limit(100).select("id", F.round("score", 6).alias("score"))
+    return D.document_postings(spark, d).search(TOKENS).orderBy(F.desc("score"), "id").limit(100).select("id", F.round("score", 6).alias("score"))
 
 
 SQL_TFIDF = f"with docs as (select doc_id as id, text as content from documents), {_tfidf_sql('docs', 'content')} select id, round(score, 6) as score from scored order by scored.score desc, id limit 100"

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tessera.sources import snapshots
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,19 +29,19 @@ def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
-def publish(df: DataFrame, base: str) -> str:
-    """Write a new snapshot beside the others and point to it; readers see the old or the new one, never half."""
-    spark = df.sparkSession
-    path = f"{base.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.range(1).select(F.current_timestamp().alias("at"), F.lit(path).alias("path")).coalesce(1).write.mode("append").parquet(f"{base.rstrip('/')}/pointers")
-    return path
+def publish(df: DataFrame, base: str) -> int:
+    """Replace a table by `df`, whatever it holds, and return the version; readers see the old or the new one, never half.
+
+    What is made from the table's own rows must go through `snapshots.update` instead, which loses no other writer's change."""
+    return snapshots.update(df.sparkSession, base, lambda _: df)
 
 
 def published(spark: SparkSession, base: str) -> DataFrame:
     """The newest snapshot."""
-    last = spark.read.parquet(f"{base.rstrip('/')}/pointers").agg(F.max_by("path", F.struct("at", "path")).alias("path")).first()
-    return spark.read.parquet(last["path"])
+    held = snapshots.read(spark, base)
+    if held is None:
+        raise FileNotFoundError(f"nothing is published at {base}")
+    return held
 
 
 def append_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

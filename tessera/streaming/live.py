@@ -45,21 +45,22 @@ def fold_job_log(log: DataFrame) -> DataFrame:
 
 
 def capture(stream: DataFrame, base: str) -> DataStreamWriter:
-    """Upsert each micro-batch of captured conversations into a published snapshot; a batch that runs again changes nothing."""
+    """Upsert each micro-batch of captured conversations into a published table; a batch that runs again changes nothing, and
+    another writer's captures of the same time stay. Of several captures at one time the greatest hash counts."""
     from tessera.operators.merging import upsert_transcripts
-    from tessera.sources import tables
+    from tessera.sources import snapshots
+
+    keys = ["source_host", "source_ref"]
 
     def upsert(batch: DataFrame, _: int) -> None:
-        keys = ["source_host", "source_ref"]
         rest = [c for c in batch.columns if c not in keys]
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), "captured_at").alias("r")).select(*keys, "r.*")
-        spark = batch.sparkSession
-        try:
-            old = tables.published(spark, base)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = newest.limit(0).withColumn("title_source", F.lit("derived"))
-        tables.publish(upsert_transcripts(old.select(*keys, *rest, "title_source"), newest).drop("changed"), base)
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("captured_at", "content_sha256")).alias("r")).select(*keys, "r.*")
+
+        def change(old: DataFrame | None) -> DataFrame:
+            if old is None:
+                old = newest.limit(0).withColumn("title_source", F.lit("derived"))
+            return upsert_transcripts(old.select(*keys, *rest, "title_source"), newest).drop("changed")
+
+        snapshots.update(batch.sparkSession, base, change, touched=newest.select(*keys))
 
     return stream.writeStream.foreachBatch(upsert)
