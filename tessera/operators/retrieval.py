@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import fusion
+from tessera.operators import fusion, threshold
 from tessera.operators.postings import CJK, WORD, Index, query_tokens
 from tessera.operators.staging import staged
 
@@ -38,12 +38,20 @@ def best_per_key(df: DataFrame, keys: list[str], tie: str = "id") -> DataFrame:
 
 def hybrid_rank(items: DataFrame, query: str, vector: list[float] | None, limit: int = 8, k: int = 60, group: str = "conv_id") -> DataFrame:
     """Lexical and vector ranks of all items fused, one pointer a conversation. Without a vector only the
-    lexical list counts, and the vector column is not read."""
-    lists = [fusion.numbered(items, F.nullif(T.coverage(T.tokenize(query), F.col("content")), F.lit(0.0)))]
+    lexical list counts, and the vector column is not read.
+
+    Lists are read as deep as the answer needs (`threshold`); only if that is very deep are they ranked as a whole."""
+    scores = [F.nullif(T.coverage(T.tokenize(query), F.col("content")), F.lit(0.0))]
     if vector is not None:
-        lists.append(fusion.numbered(items, F.round(V.cosine(F.col("embedding"), vector), 9)))
-    ranked = fusion.rrf(lists, k=k).join(items.select("id", group, "granularity"), "id")
-    return fusion.collapse(ranked, group, F.col("granularity"), limit=limit)
+        scores.append(F.round(V.cosine(F.col("embedding"), vector), 9))
+    found = threshold.first_groups(items, scores, group, F.col("granularity"), limit=limit, k=k)
+    return found if found is not None else ranked_as_a_whole(items, scores, limit, k, group)
+
+
+def ranked_as_a_whole(items: DataFrame, scores: list[Column], limit: int = 8, k: int = 60, group: str = "conv_id") -> DataFrame:
+    """The same by global ranks of all items."""
+    fused = fusion.rrf([fusion.numbered(items, s) for s in scores], k=k).join(items.select("id", group, "granularity"), "id")
+    return fusion.collapse(fused, group, F.col("granularity"), limit=limit)
 
 
 def channel_search(items: DataFrame, query: str, vector: list[float] | None, limit: int = 8, depth: int = 100, k: int = 60, group: str = "conv_id", index: Index | None = None, within: bool = False) -> DataFrame:
