@@ -58,7 +58,8 @@ def channel_search(items: DataFrame, query: str, vector: list[float] | None, lim
     """As hybrid_rank, but each channel gives its own best `depth` rows and neither filters the other.
 
     Words are looked up in the `index` of the items, and so are the bigrams of the query's CJK runs; the ids that only
-    these find come after the others in the same list. Without an index the texts are searched for words. `within` says that
+    these find come after the others in the same list. Without an index the texts are searched: for words, and in a column
+    `content_cjk` for the share of the query's CJK tokens that it holds. `within` says that
     `items` are only some of the indexed ones: then the others go before a channel is cut (counts of documents stay those of all)."""
     tokens = query_tokens(query)
 
@@ -67,8 +68,13 @@ def channel_search(items: DataFrame, query: str, vector: list[float] | None, lim
         return fusion.numbered(scored.join(items.select("id"), "id", "left_semi") if within else scored, F.col("score"), depth=depth)
 
     lexical = found(WORD) if index else fusion.numbered(tfidf(items, query), F.col("score"), depth=depth)
+    cjk = [t for t in T.tokenize(query) if t[0] >= "㐀"]
+    more = None
     if index and tokens[CJK]:
         more = found(CJK)
+    elif not index and cjk and "content_cjk" in items.columns:
+        more = fusion.numbered(items.filter("content_cjk is not null"), F.nullif(T.coverage(cjk, F.col("content_cjk")), F.lit(0.0)), depth=depth)
+    if more is not None:
         both = lexical.select("id", F.col("rank")).unionByName(more.select("id", (F.col("rank") + depth).alias("rank")))
         both = both.groupBy("id").agg(F.min("rank").alias("at"))
         lexical = both.withColumn("rank", F.row_number().over(W.orderBy("at"))).drop("at")
