@@ -41,14 +41,17 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 12, most_bands: int = 25) -> tuple[int, int]:
-    """Bands b and rows r with 1 - (1 - t^r)^b >= recall at the threshold t: the longest rows with b <= `most_bands`."""
-    best = (1, 1)
-    for rows in range(1, most_rows + 1):
+    """Bands b and rows r with 1 - (1 - t^r)^b >= recall at the threshold t: the longest rows with b <= `most_bands`, or, at
+    thresholds too low for that, one row and as many bands as the recall needs."""
+    if not 0 < threshold <= 1 or not 0 <= recall < 1:
+        raise ValueError("a threshold above 0 and at most 1, and a recall below 1")
+
+    def bands(rows: int) -> int:
         p = threshold**rows
-        bands = 1 if p >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
-        if bands <= most_bands:
-            best = (bands, rows)
-    return best
+        return 1 if p >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
+
+    rows = next((r for r in range(most_rows, 1, -1) if bands(r) <= most_bands), 1)
+    return bands(rows), rows
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -267,9 +267,26 @@ def test_op1_on_the_table(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in queries.op1_jaccard_join(spark, SF).collect()} == {i: (want[i], len(links[i])) for i, _ in rows}
 
 
-def test_bands_reach_the_recall():
-    b, r = jaccard_join.choose_bands(0.8, 0.9999)
-    assert 1 - (1 - 0.8**r) ** b >= 0.9999
+@pytest.mark.parametrize("recall", [0.5, 0.9, 0.99, 0.9999, 0.999999])
+def test_bands_reach_the_recall(recall):
+    for threshold in (0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99, 1.0):
+        b, r = jaccard_join.choose_bands(threshold, recall)
+        assert 1 - (1 - threshold**r) ** b >= recall
+        assert r == 1 or b <= 25
+    for threshold, r in ((0.0, 0.9), (-0.1, 0.9), (1.1, 0.9), (0.8, 1.0)):
+        with pytest.raises(ValueError):
+            jaccard_join.choose_bands(threshold, r)
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.3])
+def test_op1_low_thresholds(spark, threshold):
+    """Texts of 12 words out of 15, so that most pairs are links at these thresholds."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmno") for _ in range(12))) for i in range(40)]
+    sets = {i: {tuple(t.split()[k : k + 1]) for k in range(12)} for i, t in rows}
+    want = {i: sum(j != i and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold, n=1).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and sum(want.values()) > 400
 
 
 def test_components(spark):
