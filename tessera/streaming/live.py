@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def liveness(beats: DataFrame, minutes: int = 240, late: str = "30 minutes") -> DataFrame:
@@ -29,19 +25,11 @@ def activity(events: DataFrame, width: str = "1 hour", slide: str | None = None,
 def fold_job_log(log: DataFrame) -> DataFrame:
     """(item, status, attempt, seq) after each micro-batch of a job log (item, ts, status, bump): state kept per item.
 
-    A status that is null keeps the last one; bumps are attempts; seq counts the item's events."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempt, seq = state.get if state.exists else (None, 0, 0)
-        for pdf in frames:
-            told = pdf.sort_values("ts", kind="stable")["status"].dropna()
-            status = told.iloc[-1] if len(told) else status
-            attempt += int(pdf["bump"].fillna(False).astype(bool).sum())
-            seq += len(pdf)
-        state.update((status, attempt, seq))
-        yield pd.DataFrame({"item": [key[0]], "status": [status], "attempt": [attempt], "seq": [seq]})
+    A status that is null keeps the last one, and one that comes late never takes a newer one back; bumps are attempts;
+    seq counts the item's events."""
+    from tessera.streaming.jobs import folded
 
-    return log.groupBy("item").applyInPandasWithState(fold, "item long, status string, attempt int, seq int", "status string, attempt int, seq int", "update", GroupStateTimeout.NoTimeout)
+    return folded(log, fields=("status",), key=None).withColumn("attempt", F.col("attempt").cast("int")).withColumn("seq", F.col("seq").cast("int"))
 
 
 def capture(stream: DataFrame, base: str) -> DataStreamWriter:
