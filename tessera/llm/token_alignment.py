@@ -125,7 +125,7 @@ class Aligner:
         self.counts = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
         self.first, self.n_codes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.held = 0
+        self.held = self.run_bytes = 0
 
     def _learn(self, runs: list[bytes]) -> None:
         # White space at the end of a run (and so of a text) would run on into the next one's.
@@ -139,6 +139,7 @@ class Aligner:
         for i in order[n_closed:]:
             found += self._aligned([runs[i]])
         base = len(self.known)
+        self.run_bytes += len(d) + sum(len(f[0]) for f in found)
         self.known.update((runs[i], base + k) for k, i in enumerate(order))
         self.shown += [f[0] for f in found]
         links = [f[2] for f in found]
@@ -148,8 +149,8 @@ class Aligner:
         self.counts = np.concatenate([self.counts, np.array([f[1] for f in found], np.int64).reshape(-1, 4)])
         self.pairs = np.concatenate([self.pairs, np.fromiter((p for x in links for p in x), np.int64, n.sum())])
         self.times = np.concatenate([self.times, np.fromiter((t for x in links for t in x.values()), np.int64, n.sum())])
-        # A dictionary entry, two objects and the arrays' places for each run.
-        self.held += 250 * len(runs) + len(d) + sum(map(len, self.shown[base:])) + 16 * int(n.sum())
+        # A dictionary entry, two objects and the arrays' places for each run; an entry and a text for each pair of `single`.
+        self.held = 250 * len(self.known) + self.run_bytes + 16 * len(self.pairs) + 200 * len(self.single)
 
     def _aligned(self, runs: list[bytes]) -> list[tuple[bytes, tuple[int, int, int, int], dict[int, int]]]:
         """Groups as text, figures, and each linked pair with how often it is linked, of each run.
@@ -281,7 +282,7 @@ def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def slices_of(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int = 8 << 20) -> DataFrame:
+def slices_of(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """A row for each slice of about `slice_bytes` of text (one document at least): its documents' figures and digests, the
     places in `pairs` of what each holds linked (`sizes` of them, in `codes`) and how often, and in how many of its
     documents each pair is. Slices are named by chance, so write the rows before they are used twice."""
@@ -330,7 +331,7 @@ def pair_counts(sliced: DataFrame) -> DataFrame:
     return counts.join(most, "a").select("pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best"))
 
 
-def linked(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int = 8 << 20) -> DataFrame:
+def linked(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """A row a document: its tokens, groups and links, over its links the sum of their pairs' counts and how many of them are of
     a best pair, and the digest of its groups (a1,a2|b1;a3|b2,b3).
 
