@@ -218,6 +218,17 @@ def tree(sessions: DataFrame) -> DataFrame:
     return ancestors(own.select("session_id", "parent_session_id")).join(own, "session_id")
 
 
+def ordered_tree(sessions: DataFrame, order: str = "created_at", path: bool = True) -> DataFrame:
+    """Every session of a workspace's forest in reading order (`forest.preorder`): a parent outside the workspace makes a root."""
+    from tessera.operators import forest
+
+    inside = sessions.select(F.col("session_id").alias("parent_session_id"), F.col("workspace_key").alias("_w"))
+    own = sessions.select("session_id", "parent_session_id", "workspace_key", order).join(inside, "parent_session_id", "left")
+    own = own.withColumn("parent_session_id", F.when(F.col("_w") == F.col("workspace_key"), F.col("parent_session_id")))
+    placed = forest.preorder(own, "session_id", "parent_session_id", order, path)
+    return placed.join(own.select("session_id", "workspace_key", order), "session_id")
+
+
 def workspaces(sessions: DataFrame, newest: int = 200) -> DataFrame:
     """Distinct workspaces of the newest sessions, sorted."""
     return sessions.orderBy(F.desc("updated_at"), "session_id").limit(newest).select("workspace_key").distinct().orderBy("workspace_key")
