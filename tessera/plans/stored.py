@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import codecs
-from tessera.operators import batching, forest, memo, sessions
+from tessera.operators import batching, json_schema, memo, sessions
 from tessera.operators.staging import base_dir
 from tessera.plans import derive as D
 from tessera.sources.tables import table
@@ -126,6 +126,46 @@ t(session_id, root, depth, ks, path) as (
 select t.session_id, root, depth, row_number() over (partition by root order by ks) - 1 as position, size, path from t join sizes using (session_id)
 """
 
-_F = (transcript_bodies, newest_transcripts, vector_codec, embed_memo, embed_memo_stats, tree_preorder)
+#: What an event should be like, as a JSON Schema.
+EVENT_SCHEMA = {
+    "type": "object",
+    "required": ["kind", "amount", "detail"],
+    "properties": {
+        "kind": {"type": "string", "enum": ["click", "purchase", "view", "signup"], "minLength": 5},
+        "amount": {"oneOf": [{"type": "integer"}, {"type": "number"}]},
+        "at": {"type": "string", "pattern": "^2024-0[1-6]-"},
+        "detail": {"$ref": "#/definitions/detail"},
+        "users": {"type": "array", "items": {"type": ["integer", "null"]}},
+    },
+    "definitions": {"detail": {"type": "object", "properties": {"k": {"type": "integer", "enum": list(range(50))}}, "additionalProperties": {"type": "string"}}},
+}
+
+
+def event_findings(spark, d):
+    """Events as JSON documents against a schema that not all of them keep."""
+    e = table(spark, d, "events")
+    detail = F.from_json("props", "struct<k:int>")["k"]
+    doc = F.to_json(
+        F.struct(
+            F.col("event_type").alias("kind"), F.col("value").alias("amount"), F.date_format("ts", "yyyy-MM-dd").alias("at"),
+            F.struct(detail.alias("k"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("more")).alias("detail"), F.array("user_id", "value").alias("users"),
+        )
+    )
+    return json_schema.findings(e.select("event_id", doc.alias("value")), EVENT_SCHEMA, key="event_id")
+
+
+_ENUM = ", ".join(str(i) for i in range(50))
+SQL_EVENTS = f"""
+with e as (select *, cast(props ->> '$.k' as int) as k, value = floor(value) as whole from events)
+select event_id, 'kind' as at, 'enum' as rule, '["click", "purchase", "view", "signup"]' as detail from e where event_type not in ('click', 'purchase', 'view', 'signup')
+union all select event_id, 'kind', 'minLength', '5' from e where length(event_type) < 5
+union all select event_id, 'amount', 'oneOf', '2' from e where whole
+union all select event_id, 'at', 'pattern', '^2024-0[1-6]-' from e where not regexp_matches(strftime(ts, '%Y-%m-%d'), '^2024-0[1-6]-')
+union all select event_id, 'detail/k', 'enum', '[{_ENUM}]' from e where k > 49
+union all select event_id, 'detail/more', 'type', 'string' from e where user_id % 2 = 0
+union all select event_id, 'users/1', 'type', 'integer,null' from e where not whole
+"""
+
+_F = (event_findings, transcript_bodies, newest_transcripts, vector_codec, embed_memo, embed_memo_stats, tree_preorder)
 QUERIES = {f.__name__: f for f in _F}
-SQL = dict(zip(QUERIES, (SQL_BODIES, SQL_NEWEST, SQL_VECTORS, SQL_MEMO, SQL_MEMO_STATS, SQL_PREORDER), strict=True))
+SQL = dict(zip(QUERIES, (SQL_EVENTS, SQL_BODIES, SQL_NEWEST, SQL_VECTORS, SQL_MEMO, SQL_MEMO_STATS, SQL_PREORDER), strict=True))
