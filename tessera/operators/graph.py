@@ -137,14 +137,49 @@ def stubs_to_supersede(nodes: DataFrame) -> DataFrame:
     return nodes.filter(stub).join(nodes.filter(~stub).select("source_path"), "source_path", "left_semi")
 
 
-def with_attribute(attributes: Column, name: str, value: Column) -> Column:
-    """A JSON object's text with one more or one other attribute: its other values keep their types, numbers, objects and
-    lists as they are. What is no object (null, or text that can't be read) becomes an object of this attribute alone."""
+def json_text(value: Column) -> Column:
+    """A string as JSON; null is JSON's null."""
+    one = F.to_json(F.array(value))
+    return F.when(value.isNull(), "null").otherwise(F.substring(one, F.lit(2), F.length(one) - 2))
+
+
+def with_json(attributes: Column, **values: Column) -> Column:
+    """A JSON object's text with members (given as JSON text) added or put in place: its other members keep their types, numbers,
+    objects and lists as they are, in order of their names, and the given ones come last. What is no object (null, or text that
+    can't be read) becomes an object of these alone."""
     held = F.map_entries(F.try_variant_get(F.try_parse_json(attributes), "$", "map<string,variant>"))
-    name_of = lambda key: F.substring(F.to_json(F.array(key)), F.lit(2), F.length(F.to_json(F.array(key))) - 2)
-    kept = F.transform(F.filter(held, lambda e: e["key"] != name), lambda e: F.concat(name_of(e["key"]), F.lit(":"), F.to_json(e["value"])))
-    entry = F.concat(name_of(F.lit(name)), F.lit(":"), F.coalesce(name_of(value), F.lit("null")))
-    return F.concat(F.lit("{"), F.array_join(F.concat(F.coalesce(kept, F.array().cast("array<string>")), F.array(entry)), ","), F.lit("}"))
+    kept = F.transform(F.filter(held, lambda e: ~e["key"].isin(*values)), lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.to_json(e["value"])))
+    new = F.array(*(F.concat(json_text(F.lit(name)), F.lit(":"), value) for name, value in values.items()))
+    return F.concat(F.lit("{"), F.array_join(F.concat(F.coalesce(kept, F.array().cast("array<string>")), new), ","), F.lit("}"))
+
+
+def with_attribute(attributes: Column, name: str, value: Column) -> Column:
+    """The same for one member with a string."""
+    return with_json(attributes, **{name: json_text(value)})
+
+
+def linked_metadata(docs: DataFrame, nodes: DataFrame, metadata: str = "metadata_json") -> DataFrame:
+    """Documents (path and a JSON text) with `kg_node_id` and `kg_indexed` in that text: the node at their path, or null and false."""
+    linked = backlink(docs, nodes)
+    text = with_json(F.col(metadata), kg_node_id=json_text(F.col("kg_node_id")), kg_indexed=F.col("kg_indexed").cast("string"))
+    return linked.withColumn(metadata, text)
+
+
+def is_indexed(metadata: Column) -> Column:
+    """Whether a document's metadata say that a node has it, whatever blanks the text holds."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(metadata), "$.kg_indexed", "boolean"), F.lit(False))
+
+
+def backlink_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Nodes (node_id, source_path, attributes) whose attributes name the document at their path (of several, the greatest id); of nodes
+    at one path the greatest id is linked. Nodes without a document, and those that name it already, stay as they are."""
+    path = T.normalise_path(F.col("source_path"))
+    ids = docs.select(T.normalise_path(F.col("path")).alias("_path"), F.trim(F.col("doc_id").cast("string")).alias("_doc")).filter("_path is not null and _doc <> ''")
+    known = ids.groupBy("_path").agg(F.max("_doc").alias("_doc"))
+    owner = nodes.select(path.alias("_path"), "node_id").filter("_path is not null").groupBy("_path").agg(F.max("node_id").alias("node_id"))
+    joined = nodes.join(owner.join(known, "_path").select("node_id", "_doc"), "node_id", "left")
+    other = F.col("_doc").isNotNull() & ~F.get_json_object("attributes", "$.docshare_doc_id").eqNullSafe(F.col("_doc"))
+    return joined.withColumn("attributes", F.when(other, with_attribute(F.col("attributes"), "docshare_doc_id", F.col("_doc"))).otherwise(F.col("attributes"))).drop("_doc")
 
 
 def repair_stub_docs(nodes: DataFrame) -> DataFrame:

@@ -131,6 +131,8 @@ def set_status(sessions: DataFrame, session_id: str, status: str, now: Column) -
     return sessions.withColumn("status", F.when(me, F.lit(status)).otherwise(F.col("status"))).withColumn("updated_at", F.when(me, now).otherwise(F.col("updated_at")))
 
 
+#: What a session can be.
+STATUSES = ("open", "parked", "closed")
 IDENTITY = ["agent_id", "operator_id", "workspace_key", "lane"]
 
 
@@ -186,6 +188,27 @@ def set_titles(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("title_source", source).withColumn("title", F.coalesce("_title", "title")).drop("_title")
 
 
+def change_statuses(sessions: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Sessions with the statuses of `changes` (session_id, status: open, parked or closed; the last by status order if several), and
+    `updated_at` moved where one changed. Unknown statuses are refused: those rows stay as they are."""
+    known = changes.filter(F.col("status").isin(*STATUSES)).groupBy("session_id").agg(F.max("status").alias("_new"))
+    joined = sessions.join(known, "session_id", "left")
+    moves = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("status"))
+    return joined.withColumn("updated_at", F.when(moves, now).otherwise(F.col("updated_at"))).withColumn("status", F.coalesce("_new", "status")).drop("_new")
+
+
+def set_presentations(transcripts: DataFrame, changes: DataFrame, key: str = "transcript_id") -> tuple[DataFrame, DataFrame]:
+    """Transcripts with the presentations of `changes` (key, title, description, turns by locale) after `indexing.normalise_presentation`;
+    no timestamp moves. And the keys of changes that no transcript has."""
+    from tessera.operators.indexing import normalise_presentation
+
+    pack = normalise_presentation(F.col("title"), F.col("description"), F.col("turns"))
+    new = changes.select(key, pack.alias("_pack"), F.lit(True).alias("_told"))
+    joined = transcripts.join(new, key, "left")
+    out = joined.withColumn("presentation", F.when(F.col("_told"), F.col("_pack")).otherwise(F.col("presentation"))).drop("_pack", "_told")
+    return out, changes.join(transcripts.select(key), key, "left_anti").select(key)
+
+
 def refile(tables: dict[str, DataFrame], aliases: DataFrame, column: str = "workspace_key") -> dict[str, DataFrame]:
     """Every table with its workspace keys moved to their canonical ones; no timestamp moves."""
     return {name: resolve_alias(df, aliases, column) for name, df in tables.items()}

@@ -41,6 +41,20 @@ def content_of(title, body, item):
     return F.struct(F.when(long, F.concat(title, F.lit("\n\n"), body)).otherwise(F.concat(title, F.lit("\n\n"), item)).alias("content"), F.when(long, "markdown").otherwise("json").alias("content_source"))
 
 
+def contains_text(json):
+    """A `contains` list (JSON text) as lines: strings as they are, objects as `name: value` (the description where there is no
+    value, or what there is of both); members without either go. Null and what is no list give an empty text."""
+    items = F.try_variant_get(F.try_parse_json(json), "$", "array<variant>")
+
+    def line(x):
+        text = lambda p: F.nullif(F.try_variant_get(x, p, "string"), F.lit(""))
+        name, value = text("$.name"), F.coalesce(text("$.value"), text("$.description"))
+        of_object = F.coalesce(F.concat(name, F.lit(": "), value), value, name)
+        return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.when(F.try_variant_get(x, "$", "map<string,variant>").isNotNull(), of_object))
+
+    return F.coalesce(F.array_join(F.transform(items, line), "\n"), F.lit(""))
+
+
 def _bare(path):
     """A local path in one spelling: `file:/a` and `file:///a` are `/a`."""
     return F.regexp_replace(path, r"^file:/+", "/")
