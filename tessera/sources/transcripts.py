@@ -25,6 +25,10 @@ def discovered(found: DataFrame, slug: str) -> DataFrame:
 
 
 def _lines(found: DataFrame) -> DataFrame:
+    """(path, line, raw) of whole files (`files`), or of lines that a data source gives with their offset (`lines.lines`)."""
+    if "raw" in found.columns:
+        each = found.filter("error is null").select("path", F.col("offset").alias("line"), "raw")
+        return each.filter((F.trim("raw") != "") & F.try_parse_json("raw").isNotNull())
     each = found.select("path", F.posexplode(F.split("value", "\n")).alias("line", "raw"))
     return each.filter(F.trim("raw") != "").withColumn("ok", F.try_parse_json("raw").isNotNull()).filter("ok")
 
