@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import store
 from tessera.llm.textarrow import LEAD, SPACED, byte_class, dense_ranks, lines, slices, spans, tidied
 
 _SYMBOLS = byte_class(b"#*$%&|<>")
@@ -124,6 +125,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("failed", reduce(Column.bitwiseOR, bits))
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a table: rules are evaluated once, whatever policies and counts are read from it."""
+    return store.written(ledger(docs), "ledger")
+
+
 def apply_policy(rows: DataFrame, version: str = "v2") -> DataFrame:
     """Add base_failed and kept (never true of a text that fails a base rule) to a ledger."""
     failed = F.col("failed")

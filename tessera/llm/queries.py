@@ -48,10 +48,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
+    rated = quality_rules.apply_policy(quality_rules.stored_ledger(_table(spark, sf_dir, "documents")), "v2")
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bullet_lines", "n_ellipsis_lines", "n_letter_words", "failed")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each rule of policy v2: the documents that it fails, and those that the policy would keep without it."""
+    return quality_rules.ablations(quality_rules.stored_ledger(_table(spark, sf_dir, "documents")), "v2")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_jaccard_join, op2_language_id, op3_token_binary, op4_line_dedup, op5_packing, op6_warc, op7_quality_rules,
         op8_decontamination, op9_toxicity, op10_hilbert_shards, op11_shallot, op12_rank_bpe, op13_token_alignment,
+        quality_ablations,
     )
 }
 
@@ -135,7 +141,7 @@ with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coa
 select page_id, payload_bytes, {_BASE32} as payload_digest, case when page_id = least then 'response' else 'revisit' end as record_type, case when page_id <> least then least end as refers_to from p
 """
 
-SQL_QUALITY = rf"""
+_LEDGER = rf"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 win as (select doc_id, i, array_to_string(w[i : i + 7], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d)),
 twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from win) where c > 1),
@@ -147,9 +153,17 @@ dup as (select doc_id, count(*) as n_lines, sum(case when regexp_matches(line, '
 m as (select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
   cast(n_dup_lines as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_lines, n_worded_lines, n_bullet_lines, n_ellipsis_lines, cast(len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as bigint) as n_letter_words from d join dup using (doc_id) left join rep using (doc_id)),
 f as (select *, {" + ".join(f"(case when {fails} then {quality_rules.BIT[name]} else 0 end)" for name, fails in quality_rules.RULES)} as failed from m)
+"""
+SQL_QUALITY = rf"""{_LEDGER}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {quality_rules.BASE}) <> 0 as base_failed, (failed & {quality_rules.POLICIES["v2"]}) = 0 as kept, n_bullet_lines, n_ellipsis_lines, n_letter_words, failed from f
 """
 
+_MASK = quality_rules.BASE | quality_rules.POLICIES["v2"]
+SQL_ABLATIONS = _LEDGER + " union all ".join(
+    f"select '{name}' as rule, count(*) filter ((failed & {bit}) <> 0) as n_failed, count(*) filter ((failed & {_MASK}) = {bit}) as n_won_back from f"
+    for name, bit in quality_rules.BIT.items() if bit & _MASK
+)
+
 SQL_DECONTAMINATION = f"""
 with b as (select item_id, {_WORDS} as w from benchmark),
 g as (select distinct cast(item_id as varchar) as item, least(len(w), 10) as n, unnest({_windows(10)}) as g from b),
@@ -198,6 +212,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_jaccard_join": SQL_JACCARD,
     "op6_warc": SQL_WARC,
     "op7_quality_rules": SQL_QUALITY,
+    "quality_ablations": SQL_ABLATIONS,
     "op8_decontamination": SQL_DECONTAMINATION,
     "op4_line_dedup": f"""
 with {_KEYED}
