@@ -36,11 +36,14 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, most: int = 10, fanout: int = 2):
         self.spark, self.most, self.fanout = spark, most, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.repeated: list[DataFrame] = []
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
-        return store.written(df.sortWithinPartitions("h1", "h2"), name)
+        """A run: a table in buckets of (h1, h2), a file a bucket, each sorted. Rows that are grouped or joined by the keys lie in
+        these buckets already, so writing them shuffles nothing."""
+        return store.written_sorted(df, name, self.buckets, "h1", "h2")
 
     def _union(self, runs: list[DataFrame]) -> DataFrame:
         out = runs[0]
@@ -49,10 +52,11 @@ class LineRuns:
         return out
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch of (h1, h2, n_docs) rows, one a key."""
-        for known in self.repeated:
-            keys = keys.join(known.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._place(self._write(keys, "run"), 0)
+        """Add a batch of (h1, h2, n_docs) rows, one a key. Keys known as repeated go: the batch is merged with each such run."""
+        with store.sorted_reads(self.spark):
+            for known in self.repeated:
+                keys = keys.join(known.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            self._place(self._write(keys, "run"), 0)
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The keys of a batch that no run holds: what a keep-first deduplication lets through, before `add`."""
@@ -70,7 +74,12 @@ class LineRuns:
             self.repeated.append(self._write(merged.filter(F.col("n_docs") >= self.most), "repeated"))
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        return self._union(runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+        """One run of several: a merge join of each with what was merged before, without a shuffle or a sort."""
+        out = runs[0].select("h1", "h2", "n_docs")
+        for run in runs[1:]:
+            more = run.select("h1", "h2", F.col("n_docs").alias("more")).hint("merge")
+            out = out.join(more, ["h1", "h2"], "full").select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"))
+        return out
 
     def all_repeated(self) -> DataFrame:
         """(h1, h2) of all keys that `most` documents or more hold: a last compaction over every level.

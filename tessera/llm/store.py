@@ -77,6 +77,32 @@ def written_to(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_sorted(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """As `written`, in buckets of the keys and sorted by them. Spark keeps buckets for named tables only, so the table is named while
+    it is written and opened; its files are those of any other table of the shared folder.
+
+    If `df` is partitioned by the keys in as many partitions, each task holds whole buckets and writes a file for each. Joins by the
+    keys of two such tables with equally many buckets read them side by side."""
+    spark, table = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", new_path(spark, name)).saveAsTable(table)
+    held = spark.table(table)
+    held.schema  # opened: the plan keeps the files and their buckets
+    spark.sql(f"drop table {table}")
+    return held
+
+
+@contextmanager
+def sorted_reads(spark: SparkSession) -> Iterator[None]:
+    """Inside, buckets of one file each count as sorted, as `written_sorted` leaves them."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The result of `make()` as a table of its own; the intermediate tables behind it are dropped."""
     path = new_path(spark, name)

@@ -274,3 +274,51 @@ def test_awkward_rows(spark, name):
     assert Counter(r["doc_id"] for r in OPS[name](docs).collect()) == Counter(i for i, _ in rows)
     assert OPS[name](docs.limit(0)).collect() == []
     assert OPS[name](docs.filter(F.lit(False))).count() == 0
+
+
+# --- runs of lines and the ledger of rules ----------------------------------------------------
+
+
+def test_runs_are_merged_without_shuffle_or_sort(spark, tmp_path):
+    """Sorted runs are read side by side: the plans of a merge and of an anti-join have neither an exchange nor a sort."""
+    from tessera.llm import line_dedup, store
+
+    def keys(first, last):
+        rows = spark.createDataFrame([(i * 7 % 50, i) for i in range(first, last)], "h1 long, h2 long").repartition(3)
+        return rows.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
+
+    runs = line_dedup.LineRuns(spark)
+    a, b = runs._write(keys(0, 400), "run"), runs._write(keys(300, 900), "run")
+    assert spark.catalog.listTables() == []
+    with store.sorted_reads(spark):
+        merged = runs._merge([a, b])
+        anti = b.join(a.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        for df in (merged, anti):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        assert merged.count() == 900 and merged.filter("n_docs = 2").count() == 100 and anti.count() == 500
+        again = runs._write(merged.filter("n_docs = 1"), "run")
+        assert again.count() == 800 and len(again.inputFiles()) <= runs.buckets
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
+def test_unseen_lines(spark):
+    from tessera.llm import line_dedup
+
+    runs = line_dedup.LineRuns(spark, most=3)
+    batch = lambda *ids: spark.createDataFrame([(i, i) for i in ids], "h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
+    seen = set()
+    for ids in ((1, 2, 3), (2, 2, 4), (2, 5), (1, 6, 7), (7, 8)):
+        assert {r["h1"] for r in runs.unseen(batch(*ids)).collect()} == set(ids) - seen
+        runs.add(batch(*ids))
+        seen |= set(ids)
+    assert {r["h1"] for r in runs.all_repeated().collect()} == {2}
+
+
+def test_ablations_of_the_stored_ledger(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = sorted(map(tuple, queries.quality_ablations(spark, SF).select("rule", "n_failed", "n_won_back").collect()))
+    assert got == sorted(con.sql(queries.ORACLE_SQL["quality_ablations"]).select("rule, n_failed, n_won_back").fetchall()) and got
