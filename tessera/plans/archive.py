@@ -194,7 +194,10 @@ def titled_vectors(spark, d):
     return reports.with_titles(v, docs)
 
 
-SQL_TITLED = "select vec_id as doc_id, case when doc_id % 4 = 0 then 'd' || doc_id else 'v' || label end as title from embeddings left join (select doc_id from documents where doc_id % 2 = 0) on doc_id = vec_id"
+SQL_TITLED = (
+    "select vec_id as doc_id, case when doc_id % 4 = 0 then 'd' || doc_id else 'v' || label end as title from embeddings left "
+    "join (select doc_id from documents where doc_id % 2 = 0) on doc_id = vec_id"
+)
 
 
 def session_records(spark, d):
@@ -213,7 +216,10 @@ def document_round_trip(spark, d):
     return back.select("conv_id", "turn", "r.*")
 
 
-SQL_ROUND = "select conv_id, turn, case when turn % 2 = 0 then coalesce(role, 'agent') else 'agent' end as role, case when turn % 3 = 0 then 'code' else 'text' end as type, 'unknown' as host from conversations"
+SQL_ROUND = (
+    "select conv_id, turn, case when turn % 2 = 0 then coalesce(role, 'agent') else 'agent' end as role, case when turn % 3 = "
+    "0 then 'code' else 'text' end as type, 'unknown' as host from conversations"
+)
 
 
 def stub_retract(spark, d):
@@ -223,7 +229,10 @@ def stub_retract(spark, d):
     return after.agg(F.count("superseded_at").alias("closed")).withColumn("remaining", left.scalar())
 
 
-SQL_RETRACT = f"with {D.SQL_PATHS} select count(*) as closed, cast(0 as bigint) as remaining from pathed where (doc_id % 2 = 0 and path like 'docs/plan/%') or doc_id % 12 = 4"
+SQL_RETRACT = (
+    f"with {D.SQL_PATHS} select count(*) as closed, cast(0 as bigint) as remaining from pathed where (doc_id % 2 = 0 and path "
+    f"like 'docs/plan/%') or doc_id % 12 = 4"
+)
 
 
 def sync_report(spark, d):
@@ -231,7 +240,10 @@ def sync_report(spark, d):
     return reports.sync_report(docs)
 
 
-SQL_REPORT = "select count(*) as n, count(*) filter (doc_id % 10 = 0 or trim(text, ' ') = '') as n_without_content, cast(coalesce(sum(length(text)) filter (doc_id % 10 > 0), 0) as bigint) as chars, count(distinct sha256(text)) as n_contents from documents"
+SQL_REPORT = (
+    "select count(*) as n, count(*) filter (doc_id % 10 = 0 or trim(text, ' ') = '') as n_without_content, cast(coalesce(sum(length(text)) "
+    "filter (doc_id % 10 > 0), 0) as bigint) as chars, count(distinct sha256(text)) as n_contents from documents"
+)
 
 
 def load_report(spark, d):
@@ -250,6 +262,18 @@ def listing_lines(spark, d):
 
 SQL_LINES = f"""with {D.SQL_SESSIONS} select session_id, '#' || session_id || ' · ' || lane || ' · ' || status || ' · ' || (epoch(timestamp '{D.AS_OF}' - updated_at)::bigint // 3600) || ' h' as line from sessions"""
 
-_F = (archive_search, index_build, archive_search_blank, candidate_prefilter, plan_search, message_filters, open_sessions, sessions_after_open, checkpoint_append, checkpoint_count, title_updates, alias_refile, cjk_prose, auto_checkpoints, titled_vectors, session_records, document_round_trip, stub_retract, sync_report, load_report, listing_lines)
+_F = (
+    archive_search, index_build, archive_search_blank, candidate_prefilter, plan_search, message_filters, open_sessions,
+    sessions_after_open, checkpoint_append, checkpoint_count, title_updates, alias_refile, cjk_prose, auto_checkpoints,
+    titled_vectors, session_records, document_round_trip, stub_retract, sync_report, load_report, listing_lines,
+)
 QUERIES = {f.__name__: f for f in _F}
-SQL = dict(zip(QUERIES, (SQL_ARCHIVE, SQL_BUILD, SQL_BLANK, SQL_PREFILTER, SQL_PLANS, SQL_MESSAGES, SQL_OPEN, SQL_AFTER_OPEN, SQL_APPEND, SQL_CHECKPOINT_COUNT, SQL_TITLES, SQL_REFILE, SQL_CJK, SQL_AUTO, SQL_TITLED, SQL_RECORDS, SQL_ROUND, SQL_RETRACT, SQL_REPORT, SQL_LOAD, SQL_LINES), strict=True))
+SQL = dict(zip(
+    QUERIES,
+    (
+        SQL_ARCHIVE, SQL_BUILD, SQL_BLANK, SQL_PREFILTER, SQL_PLANS, SQL_MESSAGES, SQL_OPEN, SQL_AFTER_OPEN, SQL_APPEND,
+        SQL_CHECKPOINT_COUNT, SQL_TITLES, SQL_REFILE, SQL_CJK, SQL_AUTO, SQL_TITLED, SQL_RECORDS, SQL_ROUND, SQL_RETRACT, SQL_REPORT,
+        SQL_LOAD, SQL_LINES,
+    ),
+    strict=True,
+))

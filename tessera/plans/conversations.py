@@ -124,7 +124,10 @@ def leak_gate(spark, d):
     return quality.gate(leak_scan(spark, d))
 
 
-SQL_GATE = f"with {_LEAKS} select case when count(*) filter (severity = 'block' and not allowlisted) > 0 then 'FAIL' else 'PASS' end as status, count(*) filter (severity = 'block' and not allowlisted) as n_blocking from found"
+SQL_GATE = (
+    f"with {_LEAKS} select case when count(*) filter (severity = 'block' and not allowlisted) > 0 then 'FAIL' else 'PASS' end "
+    f"as status, count(*) filter (severity = 'block' and not allowlisted) as n_blocking from found"
+)
 
 
 def workspace_key(spark, d):
@@ -138,21 +141,30 @@ def slugs(spark, d):
     return table(spark, d, "pages").select("page_id", T.slug_plain(F.col("url")).alias("plain"), T.slug_kept(F.col("url")).alias("kept"))
 
 
-SQL_SLUGS = r"select page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as plain, translate(url, ':\/', '---') as kept from pages"
+SQL_SLUGS = (
+    r"select page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as plain, translate(url, "
+    r"':\/', '---') as kept from pages"
+)
 
 
 def stub_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", T.stub_id(F.col("text")).alias("stub_id"))
 
 
-SQL_STUBS = "select doc_id, case when length('stub-' || text) <= 191 then 'stub-' || text else substr('stub-' || text, 1, 178) || '-' || substr(sha1(text), 1, 12) end as stub_id from documents"
+SQL_STUBS = (
+    "select doc_id, case when length('stub-' || text) <= 191 then 'stub-' || text else substr('stub-' || text, 1, 178) || '-' "
+    "|| substr(sha1(text), 1, 12) end as stub_id from documents"
+)
 
 
 def titles_normalised(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalise_title(F.col("text")).alias("title"), T.clip(F.col("text"), 300).alias("clipped"))
 
 
-SQL_TITLES = r"select doc_id, nullif(substr(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 255), '') as title, case when length(text) > 300 then substr(text, 1, 300) || '…' else text end as clipped from documents"
+SQL_TITLES = (
+    r"select doc_id, nullif(substr(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 255), '') as title, case when length(text) "
+    r"> 300 then substr(text, 1, 300) || '…' else text end as clipped from documents"
+)
 
 
 def greedy_batches(spark, d):
@@ -192,6 +204,18 @@ def embed_chunks(spark, d):
     return batching.embed(D.chunks(spark, d), "id", "content", batching.hashing_embedder(32), most_items=64)
 
 
-_F = (chunk_windows, chunk_session, role_normalise, around_turns, tail_turns, conversation_title, listing_copy, locale_overlay, query_tokens, redact_text, leak_scan, leak_summary, leak_gate, workspace_key, slugs, stub_ids, titles_normalised, greedy_batches, split_pieces, translated)
+_F = (
+    chunk_windows, chunk_session, role_normalise, around_turns, tail_turns, conversation_title, listing_copy, locale_overlay,
+    query_tokens, redact_text, leak_scan, leak_summary, leak_gate, workspace_key, slugs, stub_ids, titles_normalised, greedy_batches,
+    split_pieces, translated,
+)
 QUERIES = {f.__name__: f for f in (*_F, embed_chunks)}
-SQL = dict(zip((f.__name__ for f in _F), (_chunk_sql("window"), _chunk_sql("session"), SQL_ROLE, SQL_AROUND, SQL_TAIL, SQL_TITLE, SQL_LISTING, SQL_OVERLAY, SQL_TOKENS, SQL_REDACT, SQL_LEAKS, SQL_LEAK_SUMMARY, SQL_GATE, SQL_WORKSPACE, SQL_SLUGS, SQL_STUBS, SQL_TITLES, SQL_BATCHES, SQL_PIECES, SQL_TRANSLATED), strict=True))
+SQL = dict(zip(
+    (f.__name__ for f in _F),
+    (
+        _chunk_sql("window"), _chunk_sql("session"), SQL_ROLE, SQL_AROUND, SQL_TAIL, SQL_TITLE, SQL_LISTING, SQL_OVERLAY, SQL_TOKENS,
+        SQL_REDACT, SQL_LEAKS, SQL_LEAK_SUMMARY, SQL_GATE, SQL_WORKSPACE, SQL_SLUGS, SQL_STUBS, SQL_TITLES, SQL_BATCHES, SQL_PIECES,
+        SQL_TRANSLATED,
+    ),
+    strict=True,
+))

@@ -78,7 +78,10 @@ def _curated(spark, d):
     return p.select("node_id", F.when(F.col("doc_id") % 9 == 0, "docshare-stub").otherwise("domain").alias("graph"), "source_path")
 
 
-_CURATED = "curated as (select node_id, case when doc_id % 9 = 0 then 'docshare-stub' else 'domain' end as graph, path as source_path from pathed where doc_id % 4 <> 0)"
+_CURATED = (
+    "curated as (select node_id, case when doc_id % 9 = 0 then 'docshare-stub' else 'domain' end as graph, path as source_path "
+    "from pathed where doc_id % 4 <> 0)"
+)
 
 
 def _shared_docs(spark, d):
@@ -89,7 +92,10 @@ def stub_unlinked(spark, d):
     return graph.stub_nodes(graph.unlinked_docs(_shared_docs(spark, d), _curated(spark, d))).select("node_id", "title", "source_path", "graph")
 
 
-SQL_UNLINKED = f"with {D.SQL_PATHS}, {_CURATED} select 'stub-' || doc_id as node_id, title, path as source_path, 'docshare-stub' as graph from pathed where not starts_with(path, 'docs/plan/') and path not in (select source_path from curated where graph <> 'docshare-stub')"
+SQL_UNLINKED = (
+    f"with {D.SQL_PATHS}, {_CURATED} select 'stub-' || doc_id as node_id, title, path as source_path, 'docshare-stub' as graph "
+    f"from pathed where not starts_with(path, 'docs/plan/') and path not in (select source_path from curated where graph <> 'docshare-stub')"
+)
 
 
 def stub_supersede(spark, d):
@@ -108,7 +114,10 @@ def doc_backlink(spark, d):
     return graph.backlink(_shared_docs(spark, d), _curated(spark, d)).select("doc_id", "path", "kg_node_id", "kg_indexed")
 
 
-_BACK = f"{D.SQL_PATHS}, {_CURATED}, linked as (select doc_id, path, n as kg_node_id, n is not null as kg_indexed from pathed left join (select source_path, max(node_id) as n from curated group by 1) on source_path = path)"
+_BACK = (
+    f"{D.SQL_PATHS}, {_CURATED}, linked as (select doc_id, path, n as kg_node_id, n is not null as kg_indexed from pathed left "
+    f"join (select source_path, max(node_id) as n from curated group by 1) on source_path = path)"
+)
 SQL_BACKLINK = f"with {_BACK} select * from linked"
 
 
@@ -116,7 +125,10 @@ def coverage(spark, d):
     return graph.coverage(graph.backlink(_shared_docs(spark, d), _curated(spark, d)), _curated(spark, d))
 
 
-SQL_COVERAGE = f"with {_BACK} select count(*) as total, count(*) filter (kg_indexed) as linked, count(*) filter (not kg_indexed) as unlinked, (select count(*) from curated where graph = 'docshare-stub') as stubs from linked"
+SQL_COVERAGE = (
+    f"with {_BACK} select count(*) as total, count(*) filter (kg_indexed) as linked, count(*) filter (not kg_indexed) as unlinked, "
+    f"(select count(*) from curated where graph = 'docshare-stub') as stubs from linked"
+)
 
 
 def integrity(spark, d):
@@ -170,7 +182,10 @@ def health(spark, d):
     return quality.health(parts)
 
 
-SQL_HEALTH = f"with {_FINDINGS} select case max(case severity when 'error' then 2 else 1 end) when 2 then 'FAIL' when 1 then 'WARN' else 'PASS' end as status from f"
+SQL_HEALTH = (
+    f"with {_FINDINGS} select case max(case severity when 'error' then 2 else 1 end) when 2 then 'FAIL' when 1 then 'WARN' else "
+    f"'PASS' end as status from f"
+)
 
 
 def _records(spark, d):
@@ -218,6 +233,16 @@ select id as node_id, case when p_partkey % 2 = 0 then p_type else 'skill' end a
 from l qualify row_number() over (partition by id order by p_partkey) = 1"""
 
 
-_F = (structural_edges, edges_by_rule, edge_dedupe, replace_edges, graph_expand, stub_unlinked, stub_supersede, doc_backlink, coverage, integrity, integrity_summary, orphans, dangling_refs, integrity_duplicates, health, fair_scores, archived_filter)
+_F = (
+    structural_edges, edges_by_rule, edge_dedupe, replace_edges, graph_expand, stub_unlinked, stub_supersede, doc_backlink, coverage,
+    integrity, integrity_summary, orphans, dangling_refs, integrity_duplicates, health, fair_scores, archived_filter,
+)
 QUERIES = {f.__name__: f for f in _F}
-SQL = dict(zip(QUERIES, (SQL_STRUCTURAL, SQL_BY_RULE, SQL_EDGE_DEDUPE, SQL_REPLACE, SQL_EXPAND, SQL_UNLINKED, SQL_SUPERSEDE, SQL_BACKLINK, SQL_COVERAGE, SQL_INTEGRITY, SQL_INTEGRITY_SUMMARY, SQL_ORPHANS, SQL_DANGLING, SQL_DUPLICATES, SQL_HEALTH, SQL_FAIR, SQL_ARCHIVED), strict=True))
+SQL = dict(zip(
+    QUERIES,
+    (
+        SQL_STRUCTURAL, SQL_BY_RULE, SQL_EDGE_DEDUPE, SQL_REPLACE, SQL_EXPAND, SQL_UNLINKED, SQL_SUPERSEDE, SQL_BACKLINK, SQL_COVERAGE,
+        SQL_INTEGRITY, SQL_INTEGRITY_SUMMARY, SQL_ORPHANS, SQL_DANGLING, SQL_DUPLICATES, SQL_HEALTH, SQL_FAIR, SQL_ARCHIVED,
+    ),
+    strict=True,
+))

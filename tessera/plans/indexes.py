@@ -38,7 +38,10 @@ def render_text(spark, d):
     return indexing.render(D.turns(spark, d)).select("conv_id", F.sha2("body", 256).alias("body_sha256"))
 
 
-SQL_RENDER = f"with {D.SQL_TURNS} select conv_id, sha256(string_agg('[' || seq || '] ' || upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || trim(text, ' '), chr(10) || chr(10) order by seq)) as body_sha256 from turns group by conv_id"
+SQL_RENDER = (
+    f"with {D.SQL_TURNS} select conv_id, sha256(string_agg('[' || seq || '] ' || upper(substr(role, 1, 1)) || substr(role, 2) "
+    f"|| ': ' || trim(text, ' '), chr(10) || chr(10) order by seq)) as body_sha256 from turns group by conv_id"
+)
 
 
 def compact_vectors(spark, d):
@@ -48,7 +51,10 @@ def compact_vectors(spark, d):
     return indexing.compact_vectors(rows).select("vec_id", F.size("embedding").alias("width"), "unreadable")
 
 
-SQL_COMPACT = "select vec_id, cast(case when vec_id % 3 = 0 or vec_id % 7 <> 0 then len(embedding) end as int) as width, vec_id % 3 <> 0 and vec_id % 7 = 0 as unreadable from embeddings"
+SQL_COMPACT = (
+    "select vec_id, cast(case when vec_id % 3 = 0 or vec_id % 7 <> 0 then len(embedding) end as int) as width, vec_id % 3 <> "
+    "0 and vec_id % 7 = 0 as unreadable from embeddings"
+)
 
 
 def unit_vectors(spark, d):
@@ -58,7 +64,10 @@ def unit_vectors(spark, d):
     return rows.select("vec_id", F.round(V.norm(F.col("embedding")), 4).alias("norm"))
 
 
-SQL_UNIT = "select vec_id, round(case when list_inner_product(embedding, embedding) > 0 then 1.0::double else 0.0::double end, 4) as norm from embeddings where len(embedding) = 64"
+SQL_UNIT = (
+    "select vec_id, round(case when list_inner_product(embedding, embedding) > 0 then 1.0::double else 0.0::double end, 4) as "
+    "norm from embeddings where len(embedding) = 64"
+)
 
 
 def path_problems(spark, d):
@@ -67,7 +76,10 @@ def path_problems(spark, d):
     return indexing.path_problems(docs.select("node_id", F.col("source_path").alias("path")), files)
 
 
-SQL_PROBLEMS = f"with {D.SQL_PATHS} select node_id, raw_path as path from docs where ends_with(raw_path, '.md') and raw_path not in (select raw_path from docs where doc_id % 3 = 0)"
+SQL_PROBLEMS = (
+    f"with {D.SQL_PATHS} select node_id, raw_path as path from docs where ends_with(raw_path, '.md') and raw_path not in (select "
+    f"raw_path from docs where doc_id % 3 = 0)"
+)
 
 _F = (index_update, index_stats, render_text, compact_vectors, unit_vectors, path_problems)
 QUERIES = {f.__name__: f for f in _F}

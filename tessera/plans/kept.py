@@ -86,7 +86,10 @@ def postings_update(spark, d):
     return _updated_postings(spark, d, S._docs(spark, d)).search(S.TOKENS).select("id", F.round("score", 6).alias("score"))
 
 
-SQL_POSTINGS_UPDATE = f"with docs as (select doc_id as id, text as content from documents), {S._tfidf_sql('docs', 'content')} select id, round(score, 6) as score from scored"
+SQL_POSTINGS_UPDATE = (
+    f"with docs as (select doc_id as id, text as content from documents), {S._tfidf_sql('docs', 'content')} select id, round(score, "
+    f"6) as score from scored"
+)
 
 #: Letters of the given texts that stand for ideographs, so that there is CJK text to search.
 LETTERS, IDEOGRAPHS = "abcdeilmnorst", "会議記録検索結果試験文書館"

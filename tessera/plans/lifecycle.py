@@ -35,7 +35,10 @@ def heartbeats(spark, d):
     return sessions.heartbeats(D.beats(spark, d))
 
 
-_HOSTS = f"{D.SQL_BEATS}, hosts as (select session_id, host, min(ts) as first_seen_at, max(ts) as last_seen_at, arg_max(ide, ts) as ide from beats group by 1, 2)"
+_HOSTS = (
+    f"{D.SQL_BEATS}, hosts as (select session_id, host, min(ts) as first_seen_at, max(ts) as last_seen_at, arg_max(ide, ts) as "
+    f"ide from beats group by 1, 2)"
+)
 SQL_BEATS = f"with {_HOSTS} select * from hosts"
 
 
@@ -59,28 +62,41 @@ def activity_windows(spark, d):
     return live.activity(table(spark, d, "events"), "6 hours").select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-SQL_ACTIVITY = "select time_bucket(interval 6 hour, ts, timestamp '1970-01-01') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2"
+SQL_ACTIVITY = (
+    "select time_bucket(interval 6 hour, ts, timestamp '1970-01-01') as start, event_type, count(*) as n, round(sum(value), 4) "
+    "as total from events group by 1, 2"
+)
 
 
 def implied_activity(spark, d):
     return sessions.implied_activity(D.sessions(spark, d), D.as_of(), 2880).select("session_id")
 
 
-SQL_IMPLIED = f"with {D.SQL_SESSIONS} select session_id from sessions where greatest(coalesce(last_checkpoint_at, updated_at), updated_at) >= {_AT} - interval 2880 minute"
+SQL_IMPLIED = (
+    f"with {D.SQL_SESSIONS} select session_id from sessions where greatest(coalesce(last_checkpoint_at, updated_at), updated_at) "
+    f">= {_AT} - interval 2880 minute"
+)
 
 
 def other_lanes(spark, d):
     return sessions.other_lanes(D.sessions(spark, d), "default", D.as_of()).select("session_id", "idle_hours", "stale")
 
 
-SQL_LANES = f"with {D.SQL_SESSIONS}, o as (select session_id, date_sub('hour', greatest(coalesce(last_checkpoint_at, updated_at), updated_at), {_AT}) as idle_hours from sessions where status = 'open' and lane <> 'default') select *, idle_hours >= 72 as stale from o"
+SQL_LANES = (
+    f"with {D.SQL_SESSIONS}, o as (select session_id, date_sub('hour', greatest(coalesce(last_checkpoint_at, updated_at), updated_at), "
+    f"{_AT}) as idle_hours from sessions where status = 'open' and lane <> 'default') select *, idle_hours >= 72 as stale from "
+    f"o"
+)
 
 
 def hours_since_checkpoint(spark, d):
     return sessions.hours_since_checkpoint(D.checkpoints(spark, d), D.as_of())
 
 
-SQL_HOURS = f"with {D.SQL_CHECKPOINTS} select session_id, date_sub('minute', max(created_at), {_AT}) / 60.0::double as hours from checkpoints group by session_id"
+SQL_HOURS = (
+    f"with {D.SQL_CHECKPOINTS} select session_id, date_sub('minute', max(created_at), {_AT}) / 60.0::double as hours from checkpoints "
+    f"group by session_id"
+)
 
 
 def host_switch(spark, d):
@@ -115,7 +131,10 @@ def alias_resolve(spark, d):
     return sessions.resolve_alias(D.sessions(spark, d), _aliases(spark, d)).groupBy("workspace_key").agg(F.count("*").alias("n"))
 
 
-SQL_ALIAS = f"with {D.SQL_SESSIONS}, {_ALIAS} select coalesce(canonical_key, workspace_key) as workspace_key, count(*) as n from sessions left join aliases on alias_key = workspace_key group by 1"
+SQL_ALIAS = (
+    f"with {D.SQL_SESSIONS}, {_ALIAS} select coalesce(canonical_key, workspace_key) as workspace_key, count(*) as n from sessions "
+    f"left join aliases on alias_key = workspace_key group by 1"
+)
 
 
 def alias_refusals(spark, d):
@@ -141,7 +160,10 @@ def duplicate_open(spark, d):
     return sessions.duplicate_open(D.sessions(spark, d))
 
 
-SQL_DUPLICATE_OPEN = f"with {D.SQL_SESSIONS} select sha256(concat_ws(chr(10), agent_id, operator_id, workspace_key, lane)) as open_key, count(*) as n from sessions where status = 'open' group by 1 having count(*) > 1"
+SQL_DUPLICATE_OPEN = (
+    f"with {D.SQL_SESSIONS} select sha256(concat_ws(chr(10), agent_id, operator_id, workspace_key, lane)) as open_key, count(*) "
+    f"as n from sessions where status = 'open' group by 1 having count(*) > 1"
+)
 
 
 def lineage(spark, d):
@@ -304,7 +326,10 @@ def insert_ignore(spark, d):
     return append_missing(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new")), "doc_id")
 
 
-SQL_INSERT_IGNORE = "select doc_id, lang from documents where doc_id % 2 = 0 union all select doc_id, 'new' from documents where doc_id % 3 = 0 and doc_id % 2 <> 0"
+SQL_INSERT_IGNORE = (
+    "select doc_id, lang from documents where doc_id % 2 = 0 union all select doc_id, 'new' from documents where doc_id % 3 = "
+    "0 and doc_id % 2 <> 0"
+)
 
 
 def corpus_fingerprint(spark, d):
@@ -314,6 +339,20 @@ def corpus_fingerprint(spark, d):
 
 SQL_FINGERPRINT = "select count(*) as n, bit_xor(cast('0x' || substr(sha256(doc_id || ':' || sha256(text)), 1, 15) as bigint)) as checksum from documents"
 
-_F = (latest_per_key, resume_session, heartbeats, live_hosts, liveness_spells, activity_windows, implied_activity, other_lanes, hours_since_checkpoint, host_switch, decisions_superseded, alias_resolve, alias_refusals, open_collision, duplicate_open, lineage, session_tree, children, workspaces, filtered_sessions, paged_listing, filtered_count, job_summary, job_events, item_fold, incremental_diff, diff_summary, drift_report, scd2_merge, upsert_transcripts, insert_ignore, corpus_fingerprint)
+_F = (
+    latest_per_key, resume_session, heartbeats, live_hosts, liveness_spells, activity_windows, implied_activity, other_lanes,
+    hours_since_checkpoint, host_switch, decisions_superseded, alias_resolve, alias_refusals, open_collision, duplicate_open, lineage,
+    session_tree, children, workspaces, filtered_sessions, paged_listing, filtered_count, job_summary, job_events, item_fold,
+    incremental_diff, diff_summary, drift_report, scd2_merge, upsert_transcripts, insert_ignore, corpus_fingerprint,
+)
 QUERIES = {f.__name__: f for f in _F}
-SQL = dict(zip((f.__name__ for f in _F), (SQL_LATEST, SQL_RESUME, SQL_BEATS, SQL_LIVE, SQL_SPELLS, SQL_ACTIVITY, SQL_IMPLIED, SQL_LANES, SQL_HOURS, SQL_SWITCH, SQL_DECISIONS, SQL_ALIAS, SQL_REFUSALS, SQL_COLLISION, SQL_DUPLICATE_OPEN, SQL_LINEAGE, SQL_TREE, SQL_CHILDREN, SQL_WORKSPACES, SQL_FILTERED, SQL_PAGED, SQL_COUNT, SQL_JOBS, SQL_EVENTS, SQL_FOLD, SQL_DIFF, SQL_SUMMARY, SQL_DRIFT, SQL_SCD2, SQL_UPSERT, SQL_INSERT_IGNORE, SQL_FINGERPRINT), strict=True))
+SQL = dict(zip(
+    (f.__name__ for f in _F),
+    (
+        SQL_LATEST, SQL_RESUME, SQL_BEATS, SQL_LIVE, SQL_SPELLS, SQL_ACTIVITY, SQL_IMPLIED, SQL_LANES, SQL_HOURS, SQL_SWITCH,
+        SQL_DECISIONS, SQL_ALIAS, SQL_REFUSALS, SQL_COLLISION, SQL_DUPLICATE_OPEN, SQL_LINEAGE, SQL_TREE, SQL_CHILDREN, SQL_WORKSPACES,
+        SQL_FILTERED, SQL_PAGED, SQL_COUNT, SQL_JOBS, SQL_EVENTS, SQL_FOLD, SQL_DIFF, SQL_SUMMARY, SQL_DRIFT, SQL_SCD2, SQL_UPSERT,
+        SQL_INSERT_IGNORE, SQL_FINGERPRINT,
+    ),
+    strict=True,
+))

@@ -84,7 +84,10 @@ def fulltext_tfidf(spark, d):
     return D.document_postings(spark, d).search(TOKENS).orderBy(F.desc("score"), "id").limit(100).select("id", F.round("score", 6).alias("score"))
 
 
-SQL_TFIDF = f"with docs as (select doc_id as id, text as content from documents), {_tfidf_sql('docs', 'content')} select id, round(score, 6) as score from scored order by scored.score desc, id limit 100"
+SQL_TFIDF = (
+    f"with docs as (select doc_id as id, text as content from documents), {_tfidf_sql('docs', 'content')} select id, round(score, "
+    f"6) as score from scored order by scored.score desc, id limit 100"
+)
 
 
 def lexical_rank(spark, d):
@@ -113,7 +116,10 @@ def vector_topk_exact(spark, d):
     return rows.select("id", F.round("score", 6).alias("score"))
 
 
-_Q = "with q as (select cast(embedding as double[]) as v from embeddings where vec_id = 0), s as (select vec_id as id, label, round({}, 9) as score from embeddings, q)"
+_Q = (
+    "with q as (select cast(embedding as double[]) as v from embeddings where vec_id = 0), s as (select vec_id as id, label, "
+    "round({}, 9) as score from embeddings, q)"
+)
 SQL_EXACT = _Q.format(D.cosine_sql("embedding", "q.v")) + " select id, round(score, 6) as score from s order by s.score desc, id limit 100"
 _S = _Q.format(D.cosine_sql("embedding", "q.v", " + 1e-9"))
 
@@ -228,5 +234,19 @@ def message_search(spark, d):
 SQL_MESSAGE = _S + """ select s.id, source, toxic, round(score, 6) as score from s join documents d on d.doc_id = s.id join labels l on l.doc_id = s.id
 where lower(lang) = 'en' and quality = 1 and s.score >= -1 order by s.score desc, s.id limit 20"""
 
-QUERIES = {f.__name__: f for f in (hybrid_search, lexical_search, channel_search, fulltext_tfidf, lexical_rank, keyword_fallback, vector_topk_exact, vector_topk_floor, vector_topk_types, vector_dedupe_topk, rrf_fuse, joint_search, joint_search_cosine, search_with_fallback, snippet, prompt_pack, message_search)}
-SQL = dict(zip(QUERIES, (SQL_HYBRID, SQL_LEXICAL, SQL_CHANNEL, SQL_TFIDF, SQL_LEXICAL_RANK, SQL_KEYWORD, SQL_EXACT, SQL_FLOOR, SQL_TYPES, SQL_DEDUPE, SQL_RRF, SQL_JOINT, SQL_JOINT_COSINE, SQL_FALLBACK, SQL_SNIPPET, SQL_PACK, SQL_MESSAGE), strict=True))
+QUERIES = {
+    f.__name__: f
+    for f in (
+        hybrid_search, lexical_search, channel_search, fulltext_tfidf, lexical_rank, keyword_fallback, vector_topk_exact,
+        vector_topk_floor, vector_topk_types, vector_dedupe_topk, rrf_fuse, joint_search, joint_search_cosine, search_with_fallback,
+        snippet, prompt_pack, message_search,
+    )
+}
+SQL = dict(zip(
+    QUERIES,
+    (
+        SQL_HYBRID, SQL_LEXICAL, SQL_CHANNEL, SQL_TFIDF, SQL_LEXICAL_RANK, SQL_KEYWORD, SQL_EXACT, SQL_FLOOR, SQL_TYPES, SQL_DEDUPE,
+        SQL_RRF, SQL_JOINT, SQL_JOINT_COSINE, SQL_FALLBACK, SQL_SNIPPET, SQL_PACK, SQL_MESSAGE,
+    ),
+    strict=True,
+))

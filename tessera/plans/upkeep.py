@@ -308,7 +308,11 @@ def answers_repaired(spark, d):
 
 SQL_REPAIRED = r"""select p_partkey, case when p_partkey % 7 > 0 then ['' || p_partkey, p_partkey || '\q', '' || p_partkey, null, '{"b":' || p_partkey || '}', 'x' || chr(10) || 'y ' || p_partkey][p_partkey % 6 + 1] end as a from part"""
 
-_F = (structural_replaced, diff_applied, stub_repair, tool_inputs, vcs_lines, sensitive_paths, fresh_items, stale_sessions, embedding_costs, presentations, contents_built, emitted_edges, schema_findings, resume_texts, lane_lines, tree_lines, switch_lines, cjk_extracted, graph_sync_nodes, graph_sync_edges, graph_sync_coverage, knowledge_chunks, answers_repaired)
+_F = (
+    structural_replaced, diff_applied, stub_repair, tool_inputs, vcs_lines, sensitive_paths, fresh_items, stale_sessions,
+    embedding_costs, presentations, contents_built, emitted_edges, schema_findings, resume_texts, lane_lines, tree_lines,
+    switch_lines, cjk_extracted, graph_sync_nodes, graph_sync_edges, graph_sync_coverage, knowledge_chunks, answers_repaired,
+)
 QUERIES = {f.__name__: f for f in _F}
 SQL = dict(
     zip(
