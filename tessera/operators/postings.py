@@ -113,7 +113,7 @@ def opened(spark: SparkSession, base: str, stats: dict[str, int] | None = None)
 
 
 def sync(spark: SparkSession, base: str, signature: Callable[[], str], docs: Callable[[], DataFrame], buckets: int = 64, content: str = "content", tries: int = 5) -> Index:
-    """Bring the index at `base` up to date with documents (id, content; ids are unique and not null) and open it.
+    """Bring the index at `base` up to date with documents (id, content; ids are unique, and rows without one are left out) and open it.
 
     Nothing is read if `signature()` is the published one. Else documents are compared by a hash of their text, and only
     new and changed ones are cut in tokens.
@@ -125,7 +125,7 @@ def sync(spark: SparkSession, base: str, signature: Callable[[], str], docs: Cal
         if held and held["signature"] == now:
             return Index(spark, held, {"inserted": 0, "updated": 0, "deleted": 0, "segments": len(held["segments"])})
         path = f"{base}/data-{uuid.uuid4().hex}"
-        made, stats = _next(spark, path, held, now, docs(), buckets, content)
+        made, stats = _next(spark, path, held, now, docs().filter("id is not null"), buckets, content)
         try:
             snapshots.commit_manifest(spark, base, version, made)
             return Index(spark, made, stats)

@@ -70,8 +70,11 @@ def sync(spark: SparkSession, base: str, signature: Callable[[], str], units: Ca
 
     `signature()` is cheap and equal as long as the source is; `units()` gives (key, digest), one row a unit; `derive(keys)` gives
     the rows of these units (of all units, for None) with the key among their columns. Within `check_every` seconds of the last
-    check the published table is taken as it is.
+    check the published table is taken as it is. Units without a key are left out, and so are their rows.
     """
+    told, made = units, derive
+    units = lambda: told().filter(F.col(key).isNotNull())
+    derive = lambda keys: made(keys).filter(F.col(key).isNotNull())
     for _ in range(tries):
         version = snapshots.newest(spark, base)
         if version and _checked(spark, base, check_every):

@@ -155,6 +155,16 @@ def test_sync_reads_what_changed(spark, tmp_path):
     assert kept(spark, base, {}, "6")[0] == [] and kept(spark, base, {1: "x"}, "7")[0] == [(1, "x")]
 
 
+def test_units_without_a_key_are_left_out(spark, tmp_path):
+    base = f"file://{tmp_path}/d"
+    assert kept(spark, base, {1: "x", None: "y"}, "1")[0] == [(1, "x")]
+    assert kept(spark, base, {1: "z", None: "y"}, "2")[0] == [(1, "z")]
+    docs = lambda *rows: (lambda: spark.createDataFrame(list(rows), "id long, content string"))
+    for sign, rows in (("1", [(1, "alpha"), (None, "alpha"), (2, "beta")]), ("2", [(1, "alpha beta"), (None, "alpha"), (2, "beta")])):
+        index = postings.sync(spark, f"file://{tmp_path}/i", lambda sign=sign: sign, docs(*rows), buckets=2)
+    assert index.n_docs == 2 and [r["id"] for r in index.search(["alpha"]).collect()] == [1] and index.search(["beta"]).count() == 0
+
+
 def test_sync_within_the_interval(spark, tmp_path):
     base = f"file://{tmp_path}/d"
     kept(spark, base, {1: "x"}, "1")
