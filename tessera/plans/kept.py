@@ -62,8 +62,9 @@ SQL_SIDECAR_ROWS = f"with {D.SQL_CHUNKS} select conv_id, id, sha256(content) as
 
 
 def postings_build(spark, d):
-    """The words of the documents' index, built anew: in how many texts each is, and how often."""
-    index = D.document_postings(spark, d, _new_place(spark, "postings"))
+    """The words of the documents' index that searches read, built anew: in how many texts each is, and how often."""
+    snapshots.drop(spark, D._place(spark, d, "document-postings"))
+    index = D.document_postings(spark, d)
     rows = spark.read.schema(postings.SEGMENT.format(id=index.held["id_type"])).parquet(*index.held["segments"])
     return rows.filter(F.col("field") == postings.WORD).groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_times"))
 
