@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,13 +67,14 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         drop(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back: the plan starts anew there."""
-    return written_to(df, new_path(df.sparkSession, name))
+def written(df: DataFrame, name: str, per_file: int = 0) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and read it back: the plan starts anew there. Of large rows a file should
+    have few (`per_file`): Parquet's writer and its reader hold about as many at once."""
+    return written_to(df, new_path(df.sparkSession, name), per_file)
 
 
-def written_to(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def written_to(df: DataFrame, path: str, per_file: int = 0) -> DataFrame:
+    df.write.option("maxRecordsPerFile", per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,17 +93,25 @@ def written_sorted(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFr
 
 
 @contextmanager
-def sorted_reads(spark: SparkSession) -> Iterator[None]:
-    """Inside, buckets of one file each count as sorted, as `written_sorted` leaves them."""
-    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _setting(spark: SparkSession, name: str, value: str, default: str) -> Iterator[None]:
+    before = spark.conf.get(name, default)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def sorted_reads(spark: SparkSession) -> AbstractContextManager[None]:
+    """Inside, buckets of one file each count as sorted, as `written_sorted` leaves them."""
+    return _setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true", "false")
+
+
+def batches_of(spark: SparkSession, most: int) -> AbstractContextManager[None]:
+    """Inside, Arrow batches that tasks hand to Python have about `most` bytes (one row at least)."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", f"{max(most, 1)}b", "64m")
+
+
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The result of `make()` as a table of its own; the intermediate tables behind it are dropped."""
     path = new_path(spark, name)

@@ -10,7 +10,7 @@ keeps it; a text's groups are those of its runs, one after the other. Tests comp
 
 How many documents hold a pair linked is counted by Spark. A task gives a row for each slice of documents: the
 slice's distinct pairs with the number of its documents, and for each document the pairs it holds and how often. Only a slice's
-distinct pairs are shuffled by pair, and the counts come back to the slices as arrays.
+distinct pairs are shuffled by pair, and each slice gets the counts of its own pairs back.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import store
 from tessera.llm.rank_bpe import byte_symbols
-from tessera.llm.textarrow import buffers, slices, tidied
+from tessera.llm.textarrow import buffers, distinct, slices, tidied
 
 #: Fixed values of the second vocabulary's pieces: what stands for a space.
 PIECE_SPACE = "▁"
@@ -39,6 +39,10 @@ _SHOWN = np.array([0x21 <= b <= 0x7E for b in range(256)])
 _MARK = _SHOWN & ~_LETTER
 #: Runs encoded in one call, and the word that stands before those that don't begin with a space.
 TOGETHER = 2000
+#: Rows of slices in a file: each takes about as much as its text.
+SLICES_PER_FILE = 4
+#: Runs whose pairs are counted in one step.
+COUNTED = 1 << 16
 FILLER = b" x"
 NO_TOKENS = -1
 
@@ -114,11 +118,11 @@ class Aligner:
     groups as text, and its linked pairs are codes[first : first + n_codes] with `times`.
     """
 
-    def __init__(self, path_a: str, path_b: str, cache_bytes: int = 128 << 20):
+    def __init__(self, path_a: str, path_b: str, cache_bytes: int = 96 << 20):
         self.pair, self.cache_bytes = Pair(path_a, path_b), cache_bytes
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.single: dict[int, str] = {}  # groups of one id on each side, as text
         self.shown: list[bytes] = []
@@ -133,22 +137,23 @@ class Aligner:
         ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs))) - 1
         closed = (_SAFE[d] & ~_wide(d))[ends]
         order = [*np.flatnonzero(closed).tolist(), *np.flatnonzero(~closed).tolist()]
-        n_closed, found = int(closed.sum()), []
-        for at in range(0, n_closed, TOGETHER):
-            found += self._aligned([runs[i] for i in order[at : min(at + TOGETHER, n_closed)]])
-        for i in order[n_closed:]:
-            found += self._aligned([runs[i]])
-        base = len(self.known)
-        self.run_bytes += len(d) + sum(len(f[0]) for f in found)
+        n_closed, base = int(closed.sum()), len(self.known)
+        parts = [order[at : min(at + TOGETHER, n_closed)] for at in range(0, n_closed, TOGETHER)] + [[i] for i in order[n_closed:]]
+        counts, n_codes, pairs, times = [self.counts], [self.n_codes], [self.pairs], [self.times]
+        for part in parts:  # what a call finds is packed before the next one
+            found = self._aligned([runs[i] for i in part])
+            shown, figures, links = zip(*found, strict=True)
+            n = np.fromiter(map(len, links), np.int64, len(links))
+            self.shown += shown
+            self.run_bytes += sum(map(len, shown))
+            counts.append(np.array(figures, np.int64))
+            n_codes.append(n)
+            pairs.append(np.fromiter((p for x in links for p in x), np.int64, n.sum()))
+            times.append(np.fromiter((t for x in links for t in x.values()), np.int64, n.sum()))
         self.known.update((runs[i], base + k) for k, i in enumerate(order))
-        self.shown += [f[0] for f in found]
-        links = [f[2] for f in found]
-        n = np.fromiter(map(len, links), np.int64, len(links))
-        self.first = np.concatenate([self.first, len(self.pairs) + np.cumsum(n) - n])
-        self.n_codes = np.concatenate([self.n_codes, n])
-        self.counts = np.concatenate([self.counts, np.array([f[1] for f in found], np.int64).reshape(-1, 4)])
-        self.pairs = np.concatenate([self.pairs, np.fromiter((p for x in links for p in x), np.int64, n.sum())])
-        self.times = np.concatenate([self.times, np.fromiter((t for x in links for t in x.values()), np.int64, n.sum())])
+        self.run_bytes += len(d)
+        self.counts, self.n_codes, self.pairs, self.times = map(np.concatenate, (counts, n_codes, pairs, times))
+        self.first = np.cumsum(self.n_codes) - self.n_codes
         # A dictionary entry, two objects and the arrays' places for each run; an entry and a text for each pair of `single`.
         self.held = 250 * len(self.known) + self.run_bytes + 16 * len(self.pairs) + 200 * len(self.single)
 
@@ -205,7 +210,7 @@ class Aligner:
     def slots(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The runs' numbers of all texts, one text after the other, and the n + 1 offsets. Null and empty texts have none."""
         if self.held > self.cache_bytes:
-            self._reset()
+            self.forget()
         data, offsets = buffers(texts)
         n = len(offsets) - 1
         full = np.flatnonzero(np.diff(offsets) > 0)
@@ -222,13 +227,48 @@ class Aligner:
         starts = np.flatnonzero(begins[:-1])
         runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(spaced)).astype(np.int32)), pa.py_buffer(spaced)])
         coded = runs.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        fresh = [r for r in distinct if r not in self.known]
+        own = coded.dictionary.to_pylist()
+        fresh = [r for r in own if r not in self.known]
         if fresh:
             self._learn(fresh)
-        slot = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        slot = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
         return slot[coded.indices.to_numpy(zero_copy_only=False)], np.searchsorted(starts, where)
 
+    def held_by(self, slot: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct linked pairs of all texts' runs (those of -1 don't count); for each text, one after the other, the places in
+        them of what it holds and how often; how many places each text has; in how many texts each pair is.
+
+        Texts are counted some at a time, as a pair is a place for each text and run on the way.
+        """
+        used = distinct(slot[slot >= 0])
+        per = self.n_codes[used]
+        first = np.cumsum(per) - per
+        place = np.repeat(self.first[used] - first, per) + np.arange(per.sum())
+        pairs, code = np.unique(self.pairs[place], return_inverse=True)
+        linked = self.times[place]
+        sizes, n_docs = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(pairs), np.int64)
+        codes, times = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(sizes):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + COUNTED, side="right")) - 1)
+            runs, text = slot[offsets[at] : offsets[end]], np.repeat(np.arange(at, end), np.diff(offsets[at : end + 1]))
+            text, runs = text[runs >= 0], np.searchsorted(used, runs[runs >= 0])
+            # Its distinct runs first, then their pairs.
+            key, often = np.unique(text * np.int64(max(len(used), 1)) + runs, return_counts=True)
+            text, runs = np.divmod(key, max(len(used), 1))
+            n = per[runs]
+            place = np.repeat(first[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            key, inverse = np.unique(np.repeat(text, n) * np.int64(max(len(pairs), 1)) + code[place], return_inverse=True)
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, inverse, linked[place] * np.repeat(often, n))
+            text, found = np.divmod(key, max(len(pairs), 1))
+            sizes[at:end] = np.bincount(text - at, minlength=end - at)
+            n_docs += np.bincount(found, minlength=len(pairs))
+            codes.append(found.astype(np.int32))
+            times.append(total)
+            at = end
+        return pairs, np.concatenate(codes), np.concatenate(times), sizes, n_docs
+
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[offsets])
@@ -301,23 +341,14 @@ def slices_of(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int = 4 <<
             digests = []
             for i, (p, q) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 digests.append(hashlib.sha256(b";".join([own.shown[s] for s in slot[p:q].tolist()])).hexdigest() if q > p and not bad[i] else "")
-            # What each document holds linked: its distinct runs first, then their pairs.
-            good = ~bad[text_of]
-            held, often = np.unique(text_of[good] * np.int64(len(own.n_codes)) + slot[good], return_counts=True)
-            doc, run = np.divmod(held, max(len(own.n_codes), 1))
-            per = own.n_codes[run]
-            place = np.repeat(own.first[run] - np.cumsum(per) + per, per) + np.arange(per.sum())
-            pairs, code = np.unique(own.pairs[place], return_inverse=True)
-            key, inverse = np.unique(np.repeat(doc, per) * np.int64(max(len(pairs), 1)) + code, return_inverse=True)
-            times = np.zeros(len(key), np.int64)
-            np.add.at(times, inverse, own.times[place] * np.repeat(often, per))
-            doc, code = np.divmod(key, max(len(pairs), 1))
+            pairs, codes, times, sizes, n_docs = own.held_by(np.where(bad[text_of], -1, slot), offsets)
             values = [
                 pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column("doc_id")),
-                *(_list(c, pa.int64()) for c in counts), _list(digests, pa.string()), _list(np.bincount(doc, minlength=n), pa.int32()), _list(code, pa.int32()), _list(times, pa.int64()),
-                _list(pairs, pa.int64()), _list(np.bincount(code, minlength=len(pairs)), pa.int64()),
+                *(_list(c, pa.int64()) for c in counts), _list(digests, pa.string()), _list(sizes, pa.int32()), _list(codes, pa.int32()), _list(times, pa.int64()),
+                _list(pairs, pa.int64()), _list(n_docs, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(values, [f.split()[0] for f in SLICE.split(", ")])
+        own.forget()  # a worker that waits holds no runs
 
     return _rows(docs).mapInArrow(tidied(work), SLICE)
 
@@ -340,26 +371,18 @@ def linked(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int = 4 << 20
     columns go; an empty table gives none.
     """
     spark = docs.sparkSession
-    sliced = store.written(slices_of(docs, path_a, path_b, slice_bytes), "aligned-slices")
+    with store.batches_of(spark, slice_bytes):
+        sliced = store.written(slices_of(docs, path_a, path_b, slice_bytes), "aligned-slices", SLICES_PER_FILE)
     counts = store.written(pair_counts(sliced), "pair-counts")
-    # Back to the slices: at most a slice's own pairs in a row, in order of the pairs, as the slice has them.
-    wanted = sliced.select("slice", F.explode("pairs").alias("pair")).join(counts, "pair")
-    back = wanted.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("pair", "n_docs", "best"))).alias("found"))
-    back = back.select("slice", F.col("found.n_docs").alias("count"), F.col("found.best").alias("best"))
-    held = sliced.drop("pairs", "n_docs").join(back, "slice", "left")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].values for c in batch.schema.names if c != "slice"}
-                sizes = row["sizes"].to_numpy(zero_copy_only=False)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                code, times = (row[c].to_numpy(zero_copy_only=False) for c in ("codes", "times"))
-                if row["count"] is None or not len(code):
-                    best = total = np.zeros(len(sizes), np.int64)
-                else:
-                    total = _sums(row["count"].to_numpy(zero_copy_only=False)[code] * times, offsets)
-                    best = _sums(row["best"].to_numpy(zero_copy_only=False)[code] * times, offsets)
-                yield pa.RecordBatch.from_arrays([row["doc_ids"], *(row[c] for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(best), pa.array(total), row["digests"]], [f.split()[0] for f in LINKED.split(", ")])
-
-    return held.mapInArrow(tidied(work), LINKED)
+    back = sliced.select(F.col("slice").alias("of"), F.explode("pairs").alias("pair")).join(counts, "pair")
+
+    def work(of_slice: pa.Table, found: pa.Table) -> pa.Table:
+        # A slice and the counts of its own pairs, in order of the pairs, as the slice has them.
+        row = {c: of_slice.column(c)[0].values for c in of_slice.column_names if c != "slice"}
+        offsets = np.concatenate([[0], np.cumsum(row["sizes"].to_numpy(zero_copy_only=False))])
+        code, times = (row[c].to_numpy(zero_copy_only=False) for c in ("codes", "times"))
+        order = np.argsort(found.column("pair").to_numpy())
+        total, best = (_sums(found.column(c).to_numpy().astype(np.int64)[order][code] * times, offsets) for c in ("n_docs", "best"))
+        return pa.Table.from_arrays([row["doc_ids"], *(row[c] for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(best), pa.array(total), row["digests"]], [f.split()[0] for f in LINKED.split(", ")])
+
+    return sliced.drop("pairs", "n_docs").groupBy("slice").cogroup(back.groupBy("of")).applyInArrow(work, LINKED)

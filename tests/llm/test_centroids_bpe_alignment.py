@@ -322,3 +322,33 @@ def test_ablations_of_the_stored_ledger(spark):
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
     got = sorted(map(tuple, queries.quality_ablations(spark, SF).select("rule", "n_failed", "n_won_back").collect()))
     assert got == sorted(con.sql(queries.ORACLE_SQL["quality_ablations"]).select("rule, n_failed, n_won_back").fetchall()) and got
+
+
+# --- memory of the alignment ------------------------------------------------------------------
+
+
+def test_slices_come_back_without_lists_of_pairs(spark, pair):
+    """Large rows lie few to a file, text reaches Python in batches of a slice, and no aggregate holds a slice's pairs as objects."""
+    rows = [(i, f"word{i} of many words {i * i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    made = token_alignment.linked(docs, A, B, 100)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    files = [f for f in made.inputFiles() if "aligned-slices" in f]
+    per_file = [spark.read.parquet(f).count() for f in set(files)]
+    assert max(per_file) <= token_alignment.SLICES_PER_FILE and sum(per_file) > token_alignment.SLICES_PER_FILE
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert sorted(map(tuple, made.collect())) == sorted(plain_links(pair, rows))
+
+
+def test_held_pairs_are_counted_some_at_a_time(pair, monkeypatch):
+    own = token_alignment.Aligner(A, B)
+    texts = [*random_texts(9, 40), "", "the same words, the same words", "x" * 500]
+    slot, offsets = own.slots(pa.array(texts, pa.string()))
+    whole = own.held_by(slot, offsets)
+    monkeypatch.setattr(token_alignment, "COUNTED", 7)
+    for one, other in zip(whole, own.held_by(slot, offsets), strict=True):
+        assert one.tolist() == other.tolist()
+    own.forget()
+    assert not own.known and not len(own.pairs)
