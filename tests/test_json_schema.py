@@ -136,3 +136,25 @@ def test_targets(spark):
     assert len(summary) == 7 and summary["builder-skills"] == (True, 0) and summary["domain-skills"] == (False, 4) and summary["master"] == (False, 1)
     assert {r["target"] for r in J.validation_summary(J.validate_targets(spark.createDataFrame(files, "path string, value string"), ["master"]), ["master"]).collect()} == {"master"}
     found.unpersist()
+
+
+def test_values_are_worked_out_once(spark):
+    """An enum compares one text with all of its values, and nothing is worked out again to filter by the number of findings."""
+    from tessera.plans import stored
+
+    files = spark.createDataFrame([(1, '{"kind": "view", "amount": 1.5, "detail": {"k": 50}}'), (2, '{"kind": "x", "amount": 1, "detail": {"k": 3}}'), (3, "{"), (4, None)], "id int, value string")
+    found = J.findings(files, stored.EVENT_SCHEMA, key="id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") <= 2 and plan.lower().count("to_json") < 20
+    assert not any("transform(" in line for line in plan.splitlines() if "Filter" in line)
+    got = sorted((r["id"], r["at"], r["rule"]) for r in found.collect())
+    assert got == [(1, "detail/k", "enum"), (1, "kind", "minLength"), (2, "amount", "oneOf"), (2, "kind", "enum"), (2, "kind", "minLength"), (3, "(root)", "parse"), (4, "(root)", "missing")]
+
+
+def test_enums_of_odd_values(spark):
+    values = ["a\"b", "é", "\t", 1.0, 10, True, None, {"a": [1]}, 1 << 64]
+    check = J.compile_schema({"enum": values})
+    texts = [json.dumps(v) for v in values] + ["11", '"a"', "false", "{}"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["n"] for r in rows.select("i", F.size(check(F.parse_json("t"))).alias("n")).collect()}
+    assert got == {i: int(i >= len(values)) for i in range(len(texts))}
