@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, FloatType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, FloatType, StringType, StructField, StructType
 
 #: A stored conversation, and what its missing fields are.
 DOCUMENT = (
@@ -20,15 +22,27 @@ VECTOR = "<f4"
 LEVEL = 6
 
 
-def _zipped(text: str | None) -> bytes | None:
-    return None if text is None else zlib.compress(text.encode(), LEVEL)
+def _zipped(texts: pa.Array) -> Iterator[bytes | None]:
+    """Each text deflated; of the texts only one at a time is an object of Python's."""
+    for text in texts.cast(pa.binary()):
+        yield zlib.compress(text.as_buffer(), LEVEL) if text.is_valid else None
 
 
-def _text(body: bytes | None) -> str | None:
+def _texts(bodies: pa.Array) -> Iterator[str | None]:
+    for body in bodies:
+        try:
+            yield zlib.decompress(body.as_buffer()).decode() if body.is_valid else None
+        except (zlib.error, UnicodeDecodeError):
+            yield None
+
+
+def _release() -> None:
+    """Give unused memory back: a worker serves many tasks, and would keep its peak."""
+    pa.default_memory_pool().release_unused()
     try:
-        return None if body is None else zlib.decompress(body).decode()
-    except (zlib.error, UnicodeDecodeError):
-        return None
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def _packed(vector: np.ndarray | None) -> bytes | None:
@@ -44,12 +58,48 @@ def _each(fn: Callable, kind: DataType, column: Column) -> Column:
 
 def deflate(text: Column) -> Column:
     """A text's UTF-8 as a zlib stream; null stays null."""
-    return _each(_zipped, BinaryType(), text)
+
+    @F.arrow_udf(BinaryType())
+    def work(texts: pa.Array) -> pa.Array:
+        return pa.array(_zipped(texts), pa.binary())
+
+    return work(text)
 
 
 def inflate(body: Column) -> Column:
-    """The text of a zlib stream; null if it is cut, broken or no UTF-8."""
-    return _each(_text, StringType(), body)
+    """The text of a zlib stream; null if it is cut, broken or no UTF-8. All texts of a batch come at once: see `inflated`."""
+
+    @F.arrow_udf(StringType())
+    def work(bodies: pa.Array) -> pa.Array:
+        return pa.array(_texts(bodies), pa.string())
+
+    return work(body)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], body: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    def part(batch: pa.RecordBatch, at: int, texts: list[str | None]) -> pa.RecordBatch:
+        own = batch.slice(at, len(texts))
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == body else own.column(n) for n in own.schema.names], own.schema.names)
+
+    for batch in batches:
+        at, held, texts = 0, 0, []
+        for text in _texts(batch.column(body)):
+            texts.append(text)
+            held += len(text or "")
+            if held >= most_bytes:
+                yield part(batch, at, texts)
+                at, held, texts = at + len(texts), 0, []
+        if texts:
+            yield part(batch, at, texts)
+    _release()
+
+
+def inflated(rows: DataFrame, body: str, most_bytes: int = 4 << 20) -> DataFrame:
+    """The rows with the body's text (as `inflate` has it) in the body's place. However large the texts of a batch are, they go on as
+    soon as about `most_bytes` are inflated (one text at least)."""
+    schema = StructType([StructField(f.name, StringType()) if f.name == body else f for f in rows.schema.fields])
+
+    return rows.mapInArrow(lambda batches: _parts(batches, body, most_bytes), schema)
 
 
 def pack_vector(vector: Column) -> Column:
@@ -84,7 +134,17 @@ def body_of(doc: Column) -> Column:
 def document_of(body: Column) -> Column:
     """The document of a stored body; null if it can't be read. Missing hosts are `unknown`, missing references empty,
     missing turns none, a missing count 0."""
-    read = F.from_json(inflate(body), DOCUMENT)
+    return _document_of_text(inflate(body))
+
+
+def with_documents(archive: DataFrame, body: str = "body") -> DataFrame:
+    """The rows with `doc`, the document of each body (as `document_of` has it), in the body's place."""
+    others = [c for c in archive.columns if c != body]
+    return inflated(archive, body).select(*others, _document_of_text(F.col(body)).alias("doc"))
+
+
+def _document_of_text(text: Column) -> Column:
+    read = F.from_json(text, DOCUMENT)
     fills = {"source_host": F.lit("unknown"), "source_ref": F.lit(""), "redaction_count": F.lit(0)}
     names = [x.split(" ", 1)[0] for x in ("schema", "source_host", "source_ref", "title", "redaction_count", "turns", "title_hint")]
     fields = [F.coalesce(read[n], fills[n]).alias(n) if n in fills else read[n].alias(n) for n in names]
@@ -108,4 +168,4 @@ def load_transcript(archive: DataFrame, transcript_id: str | int | None = None,
 def newest_transcripts(archive: DataFrame) -> DataFrame:
     """(workspace_key, transcript_id, doc): the same for every workspace at once; bodies are inflated after the choice."""
     best = archive.groupBy("workspace_key").agg(F.max_by(F.struct("transcript_id", "body"), F.struct("captured_at", "transcript_id")).alias("b"))
-    return best.select("workspace_key", "b.transcript_id", document_of(F.col("b.body")).alias("doc"))
+    return with_documents(best.select("workspace_key", "b.transcript_id", "b.body"))

@@ -31,7 +31,7 @@ def _stored(spark, d):
 
 def transcript_bodies(spark, d):
     """All bodies inflated and parsed into turns and blocks; those that can't be read are a row without turns."""
-    docs = _stored(spark, d).select("transcript_id", codecs.document_of(F.col("body")).alias("doc"))
+    docs = codecs.with_documents(_stored(spark, d).select("transcript_id", "body"))
     turns = docs.select("transcript_id", F.col("doc").isNotNull().alias("readable"), "doc.source_host", "doc.redaction_count", F.explode_outer("doc.turns").alias("t"))
     blocks = turns.select("transcript_id", "readable", "source_host", "redaction_count", "t.seq", "t.role", F.posexplode_outer("t.blocks").alias("pos", "b"))
     return blocks.select("transcript_id", "readable", "source_host", "redaction_count", "seq", "role", "pos", "b.type", F.sha2("b.text", 256).alias("text_sha256"), "b.tool_name", "b.tool_input")

@@ -8,6 +8,7 @@ import struct
 import zlib
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,19 @@ def test_wide_star(spark):
 
 def test_empty_forest(spark):
     assert ordered(spark, []) == {}
+
+
+def test_texts_go_on_before_a_batch_is_inflated(spark):
+    """A batch of well deflated bodies isn't inflated as a whole."""
+    rows = [(i, None if i % 5 == 4 else zlib.compress((f"{i} " * 2000).encode())[: -5 if i % 5 == 3 else None]) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, body binary").coalesce(1)
+    got = codecs.inflated(df, "body", 20_000)
+    want = {i: f"{i} " * 2000 if i % 5 < 3 else None for i, _ in rows}
+    assert {r["i"]: r["body"] for r in got.collect()} == want
+    assert {r["i"]: r["t"] for r in df.select("i", codecs.inflate(F.col("body")).alias("t")).collect()} == want
+    bodies = pa.array([r[1] for r in rows], pa.binary())
+    parts = list(codecs._parts(iter([pa.RecordBatch.from_arrays([bodies], ["body"])]), "body", 20_000))
+    assert sum(p.num_rows for p in parts) == 40 and max(p.nbytes for p in parts) < 40_000
+    assert codecs.inflated(df.limit(0), "body").count() == 0
+    plan = codecs.with_documents(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
