@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ _FOUND = "
 REDACTION_MARKS = (("-----begin",), ("sk-",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), ("xox",), ("akia",), ("bearer",), ("://",), ("passw", "secret", "api", "token"))
 
 
+def once(v: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(v), use), F.lit(0))
+
+
 def holds_any(low: Column, marks: tuple[str, ...]) -> Column:
     return reduce(Column.__or__, (F.contains(low, F.lit(m)) for m in marks))
 
@@ -231,12 +237,12 @@ def summarise_tool_input(pairs: Column, value_most: int = 200, total_most: int =
     """`k=v` of (key, value) structs in document order; long values say how much is cut; cut, then redacted; null if empty."""
 
     def value(v: Column) -> Column:
+        cut = lambda x: F.concat(F.substring(x, 1, value_most), F.lit("… (+"), (F.length(x) - value_most).cast("string"), F.lit(" chars)"))
         flat = F.trim(F.regexp_replace(F.coalesce(v, F.lit("")), r"(?U)\s+", " "))
-        cut = F.concat(F.substring(flat, 1, value_most), F.lit("… (+"), (F.length(flat) - value_most).cast("string"), F.lit(" chars)"))
-        return F.when(F.length(flat) > value_most, cut).otherwise(flat)
+        return once(flat, lambda x: F.when(F.length(x) > value_most, cut(x)).otherwise(x))
 
     whole = F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), value(p["value"]))), ", ")
-    return F.nullif(redact(clip(whole, total_most))["text"], F.lit(""))
+    return once(once(once(whole, lambda x: clip(x, total_most)), lambda x: redact(x)["text"]), lambda x: F.nullif(x, F.lit("")))
 
 
 #: Folders and files whose names alone are sensitive.

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import once
+
 FINDING = "array<struct<path: string, rule: string, detail: string>>"
 #: Keywords that say nothing about validity.
 ANNOTATIONS = {"$schema", "$id", "title", "description", "definitions", "format", "default", "examples", "$comment"}
@@ -44,11 +46,6 @@ def _is(v: Column, kind: str) -> Column:
     raise ValueError(f"unknown type {kind}")
 
 
-def _once(v: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is worked out once, however often `use` names it."""
-    return F.get(F.transform(F.array(v), use), F.lit(0))
-
-
 def _same(v: Column, values: list) -> Column:
     """Whether a value is one of some."""
     texts = [json.dumps(x) for x in values]
@@ -82,7 +79,7 @@ def compile_schema(schema: dict) -> Callable[[Column], Column]:
     Unknown keywords, references that aren't local and schemas that hold themselves are refused.
     """
     build = _compiled(schema, schema, ())
-    return lambda v: _once(v, lambda x: F.when(x.isNotNull(), build(x, F.lit("(root)"))))
+    return lambda v: once(v, lambda x: F.when(x.isNotNull(), build(x, F.lit("(root)"))))
 
 
 def _compiled(schema: dict | bool, root: dict, within: tuple[str, ...]) -> Callable[[Column, Column], Column]:
@@ -130,7 +127,7 @@ def _compiled(schema: dict | bool, root: dict, within: tuple[str, ...]) -> Calla
     known = schema.get("properties", {})
     for name, sub in known.items():
         own = _compiled(sub, root, within)
-        rules.append(lambda v, members, path, name=name, own=own: _once(_member(members, name), lambda m: F.when(m.isNotNull(), own(m, _below(path, F.lit(name)))).otherwise(_none())))
+        rules.append(lambda v, members, path, name=name, own=own: once(_member(members, name), lambda m: F.when(m.isNotNull(), own(m, _below(path, F.lit(name)))).otherwise(_none())))
     if schema.get("additionalProperties", True) is not True:
         more = _compiled(schema["additionalProperties"], root, within)
 
@@ -159,7 +156,7 @@ def _compiled(schema: dict | bool, root: dict, within: tuple[str, ...]) -> Calla
         return lambda v, path: _none()
     if not schema.keys() & {"required", "properties", "additionalProperties"}:
         return lambda v, path: F.concat(*(r(v, None, path) for r in rules))
-    return lambda v, path: _once(_as(v, "map<string,variant>"), lambda members: F.concat(*(r(v, members, path) for r in rules)))
+    return lambda v, path: once(_as(v, "map<string,variant>"), lambda members: F.concat(*(r(v, members, path) for r in rules)))
 
 
 def findings(files: DataFrame, schema: dict, key: str = "path", value: str = "value") -> DataFrame:
@@ -171,7 +168,7 @@ def findings(files: DataFrame, schema: dict, key: str = "path", value: str = "va
         odd = F.when(text.isNull(), "missing").when(doc.isNull(), "parse")
         return F.when(odd.isNotNull(), F.array(F.struct(F.lit("(root)").alias("path"), odd.alias("rule"), F.lit("").alias("detail")))).otherwise(build(doc))
 
-    found = _once(F.col(value), lambda text: _once(F.try_parse_json(text), lambda doc: each(text, doc)))
+    found = once(F.col(value), lambda text: once(F.try_parse_json(text), lambda doc: each(text, doc)))
     # An inner explode would have all findings worked out again, to filter by their number.
     return files.select(F.col(key), F.explode_outer(found).alias("f")).filter("f is not null").select(key, F.col("f.path").alias("at"), "f.rule", "f.detail")
 

@@ -116,3 +116,14 @@ def test_cosine(spark):
     assert got == {1: 1.0, 2: 0.0, 3: -1.0, 4: 0.0, 5: None}
     eps = {r["id"]: r["c"] for r in rows.select("id", V.cosine_eps(F.col("v"), [1.0, 0.0]).alias("c")).collect()}
     assert eps[4] == 0.0 and abs(eps[1] - 1) < 1e-6 and eps[5] is None
+
+
+def test_summaries_are_worked_out_once(spark):
+    """Flattened values, redacted texts and lists of paths stand once in a plan, however often a summary names them."""
+    df = spark.createDataFrame([("a  b", " M a/b\n?? .env\n")], "v string, status string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    pairs = F.array(F.struct(F.lit("k").alias("key"), F.col("v").alias("value")))
+    assert plan(T.summarise_tool_input(pairs)).count("(?U)\\s+, ") == 1
+    assert plan(T.vcs_summary(F.col("status"))).count("split(coalesce(") == 1
+    got = df.select(T.summarise_tool_input(pairs).alias("a"), T.vcs_summary(F.col("status")).alias("b")).first()
+    assert tuple(got) == ("k=a b", " M a/b\n[1 sensitive path(s) withheld]")
