@@ -263,11 +263,14 @@ def vcs_summary(status: Column, most: int = 40) -> Column:
         name = F.trim(F.when(F.length(x) > 3, F.substr(x, F.lit(4))).otherwise(x))
         return F.trim(F.trim(F.element_at(F.split(name, " -> "), -1)), F.lit('"'))
 
-    shown = F.filter(lines, lambda x: ~is_sensitive_path(path(x)))
-    hidden, more = F.size(lines) - F.size(shown), F.size(shown) - most
-    over = F.when(more > 0, F.array(F.concat(F.lit("... and "), more.cast("string"), F.lit(" more changed path(s)")))).otherwise(none)
-    held = F.when(hidden > 0, F.array(F.concat(F.lit("["), hidden.cast("string"), F.lit(" sensitive path(s) withheld]")))).otherwise(none)
-    return F.array_join(F.concat(F.slice(shown, 1, most), over, held), "\n")
+    def summary(lines_: Column, shown: Column) -> Column:
+        hidden, more = F.size(lines_) - F.size(shown), F.size(shown) - most
+        over = F.when(more > 0, F.array(F.concat(F.lit("... and "), more.cast("string"), F.lit(" more changed path(s)")))).otherwise(none)
+        held = F.when(hidden > 0, F.array(F.concat(F.lit("["), hidden.cast("string"), F.lit(" sensitive path(s) withheld]")))).otherwise(none)
+        return F.array_join(F.concat(F.slice(shown, 1, most), over, held), "\n")
+
+    open_ = lambda x: once(path(x), lambda p: ~is_sensitive_path(p))
+    return once(lines, lambda all_: once(F.filter(all_, open_), lambda shown: summary(all_, shown)))
 
 
 def embedding_of_json(text: Column) -> Column:
