@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking, postings, sessions, synced
-from tessera.operators.staging import base_dir
+from tessera.operators.staging import base_dir, staged
 from tessera.plans import derive as D
 from tessera.plans import search as S
 from tessera.sources import snapshots
@@ -98,8 +98,8 @@ CJK_QUERY = "find 記録会議 or 索結文"
 
 
 def cjk_search(spark, d):
-    """Hits by bigrams of CJK runs."""
-    docs = S._docs(spark, d).select("id", F.translate("content", LETTERS, IDEOGRAPHS).alias("content"))
+    """Hits by bigrams of CJK runs. The made texts are stored, as both states of the index read them several times."""
+    docs = staged(S._docs(spark, d).select("id", F.translate("content", LETTERS, IDEOGRAPHS).alias("content")), "cjk-documents")
     found = _updated_postings(spark, d, docs).search(postings.query_tokens(CJK_QUERY)[postings.CJK], postings.CJK)
     return found.select("id", F.round("score", 6).alias("score"))
 

@@ -12,8 +12,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import batching, graph, merging, postings, retrieval, sessions, staging, synced
 from tessera.plans import derive, registry
+from tessera.plans import kept as kept_plans
 from tessera.sources import snapshots, tables
 
 SF = "/root/testdata/sf0.001"
@@ -274,6 +276,31 @@ def test_unchanged_texts_are_not_read(spark, tmp_path):
     assert again.n_docs == 1 and again.stats["inserted"] == 0
 
 
+def test_terms_are_counted_where_texts_are_read(spark):
+    texts = ["", None, "a b-c b-c. B-C", "会議記録会議 x", "会 議a録会録会", "𠀀会議𠀀録", "ひらカナ한글 中文中文中文", "\u212aeep \u0130n x\u0131y A\u030aB", "e\u0301t\u00e9 ab\nab\u2028ab", "word " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    found = postings.terms(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan, "counted by a shuffle of a row a word"
+    words = {r["id"]: r["w"] for r in docs.select("id", postings.words_of(F.col("content")).alias("w")).collect()}
+    runs = {r["id"]: r["r"] for r in docs.select("id", T.cjk_run_list(F.col("content")).alias("r")).collect()}
+    want = {(postings.WORD, w, i, n) for i, ws in words.items() for w, n in Counter(ws).items()}
+    want |= {(postings.CJK, p, i, n) for i, rs in runs.items() for p, n in Counter(r[k : k + 2] for r in rs for k in range(len(r) - 1)).items()}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and (postings.CJK, "中文", 6, 3) in want
+
+
+def test_made_texts_are_made_once(spark):
+    """Both states of the index read the stored texts: only the staged table's plan translates."""
+    made = []
+    real, kept_plans.staged = kept_plans.staged, lambda df, name: made.append(name) or staging.staged(df, name)
+    try:
+        found = registry.QUERIES["cjk_search"](spark, SF)
+    finally:
+        kept_plans.staged = real
+    assert made == ["cjk-documents"] and found.count() > 0
+
+
 def test_cjk_hits_come_after_word_hits(spark, tmp_path):
     docs = {1: "alpha other words of it", 2: "会議記録", 3: "alpha 会議", 4: "nothing here"}
     items = spark.createDataFrame([(i, i, "window", t, [1.0, 0.0]) for i, t in docs.items()], "id long, conv_id long, granularity string, content string, embedding array<float>")
