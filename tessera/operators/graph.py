@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -76,9 +78,14 @@ def replace_edges(old: DataFrame, new: DataFrame, structural: bool) -> DataFrame
     """Replace the structural, or all other, edges; edges without a graph survive a curated load."""
     mine = F.col("graph") == "structural"
     if structural:
-        fresh = new.withColumn("graph", F.lit("structural"))
-        rest = old.filter(~mine | F.col("graph").isNull()).join(fresh, ["src_id", "dst_id", "edge_type"], "left_anti")
-        return rest.unionByName(dedupe_edges(fresh))
+        keys = ["src_id", "dst_id", "edge_type"]
+        rest, fresh = old.filter(~mine | F.col("graph").isNull()), new.withColumn("graph", F.lit("structural"))
+        both = rest.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True)))
+        # One sort of both sides in a task. A key with a null equals no other, so old edges of such a key stay.
+        w = W.partitionBy(*keys).orderBy(F.desc("_new"))
+        whole = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+        both = both.withColumn("_first", F.row_number().over(w) == 1).withColumn("_replaced", F.first("_new").over(w) & whole)
+        return both.filter(F.when(F.col("_new"), F.col("_first")).otherwise(~F.col("_replaced"))).select(*keys, "graph")
     return dedupe_edges(old.filter(mine | F.col("graph").isNull()).unionByName(new))
 
 

@@ -311,6 +311,20 @@ def test_cjk_hits_come_after_word_hits(spark, tmp_path):
     assert [r["id"] for r in only.collect()] == [1]
 
 
+# --- edges ------------------------------------------------------------------------------------
+
+
+def test_structural_edges_are_replaced_by_one_sort(spark):
+    schema = "src_id string, dst_id string, edge_type string, graph string"
+    old = [("a", "b", "t", "domain"), ("a", "b", "t", None), ("c", "d", "t", "domain"), ("c", "d", "t", "domain"), ("e", "f", "t", "structural"), ("g", None, "t", "domain"), ("h", "i", "t", None)]
+    new = [("a", "b", "t", "x"), ("a", "b", "t", None), ("g", None, "t", "x"), ("g", None, "t", "x"), ("n", "m", "t", None)]
+    done = graph.replace_edges(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), structural=True)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    want = [("a", "b", "t", "structural"), ("c", "d", "t", "domain"), ("c", "d", "t", "domain"), ("g", None, "t", "domain"), ("g", None, "t", "structural"), ("h", "i", "t", None), ("n", "m", "t", "structural")]
+    assert Counter(tuple(r) for r in done.collect()) == Counter(want)
+    assert "Join" not in plan and plan.count("Sort [") == 1, "a task holds both sides and their classes at once"
+
+
 # --- merges -----------------------------------------------------------------------------------
 
 
