@@ -37,6 +37,11 @@ def _bucket(key: str, n: int):
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """By bucket, where a bucket that is large goes to several tasks, each of which sorts and writes its part."""
+    return rows.hint("rebalance", F.col("_bucket"))
+
+
 def _read(spark: SparkSession, held: dict, kind: str, only: list[int] | None = None) -> DataFrame | None:
     parts = sorted({f"{path}/{kind}/_bucket={b}" for b, path in held["parts"].items() if only is None or int(b) in only})
     parts = [p for p in parts if snapshots.exists(spark, p)]
@@ -100,7 +105,7 @@ def _publish(spark: SparkSession, base: str, version: int, held: dict | None, no
         fresh = units().select(key, "digest")
         fresh.withColumn("_bucket", _bucket(key, buckets)).write.partitionBy("_bucket").parquet(f"{path}/units")
         rows = derive(None)
-        rows.withColumn("_bucket", _bucket(key, buckets)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/rows")
+        _dealt(rows.withColumn("_bucket", _bucket(key, buckets))).write.partitionBy("_bucket").parquet(f"{path}/rows")
         n = spark.read.parquet(f"{path}/units").count()
         content = {
             "signature": now, "key": key, "buckets": buckets, "parts": {str(b): path for b in range(buckets)}, "tombstones": [], "n_units": n, "n_dead": 0,
@@ -131,7 +136,7 @@ def _publish(spark: SparkSession, base: str, version: int, held: dict | None, no
             kept = _read(spark, held, kind, touched).join(known, key, "left_anti")
             kept = kept if dead is None else kept.join(dead.select(key), key, "left_anti")
             both = kept.unionByName(fresh.select(*kept.columns)).withColumn("_bucket", _bucket(key, buckets))
-            both.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{kind}")
+            _dealt(both).write.partitionBy("_bucket").parquet(f"{path}/{kind}")
         parts |= {str(b): path for b in touched}
     left = [gone.filter(~F.col("_bucket").isin(touched)).select(key, "_bucket")]
     if dead is not None:

@@ -211,6 +211,21 @@ def test_searches_follow_their_tables(spark, own_tables):
     assert registry.QUERIES["channel_search"](spark, own_tables).count() == len(one)
 
 
+def test_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """The memory of the task that writes a bucket must not grow with the table."""
+    base, named = f"file://{tmp_path}/s", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    held = spark.conf.get(named)
+    spark.conf.set(named, "64k")
+    try:
+        rows = spark.range(0, 4000, 1, 8).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        done = synced.sync(spark, base, lambda: "1", lambda: rows.select("k", F.lit("d").alias("digest")), lambda keys: rows, "k", 2)
+    finally:
+        spark.conf.set(named, held)
+    files = [str(f) for f in Path(f"{tmp_path}/s").rglob("*.parquet") if "/rows/" in str(f)]
+    assert all(sum(f"_bucket={b}/" in f for f in files) > 1 for b in (0, 1)), files
+    assert done.rows.count() == done.rows.select("k").distinct().count() == 4000
+
+
 # --- the inverted index -----------------------------------------------------------------------
 
 
